@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import importlib.util
 
-from evidentia.llm import secrets, sentencepieces, token_counts
+from evidentia.llm import secrets, sentencepieces, sharding, token_counts
 
-MODULES = [secrets, token_counts, sentencepieces]
+MODULES = [secrets, token_counts, sentencepieces, sharding]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
