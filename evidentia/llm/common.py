@@ -29,12 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and reads it from there, so that later uses
     neither recompute it nor depend on one executor. The folder is the session's
-    ``spark.checkpoint.dir``; one is set here only where the session has none (tests)."""
+    ``spark.checkpoint.dir``; one is set here only where the session has none (tests). Then the JVM
+    collects its garbage, so that Spark's cleaner frees the shuffle files that the written table replaces."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="evidentia-checkpoint-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def kept(df: DataFrame) -> DataFrame:
