@@ -195,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pd.concat(out)
 
     sampled = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
-    learnt = sampled.groupBy(F.lit(0)).applyInPandas(learn, "question string, feature int, weight double").collect()
+    learnt = sampled.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(learn, "question string, feature int, weight double").collect()
     return {q: {r.feature: r.weight for r in learnt if r.question == q} for q in QUESTIONS}
 
 

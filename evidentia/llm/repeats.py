@@ -170,7 +170,7 @@ def covered(df: DataFrame, length: int = 400, text_col: str = "text") -> DataFra
         lo = pdf["lo"].to_numpy()[of]
         return pd.DataFrame({"c": pdf["c"].to_numpy()[of], "first": (lo + first).astype(np.int32), "last": (lo + last).astype(np.int32)})
 
-    judged = tasks.groupBy(F.pmod("h", F.lit(n_tasks)).alias("task"), "bi", "bj").applyInPandas(judge, "c bigint, first int, last int")
+    judged = tasks.withColumn("task", F.pmod("h", F.lit(n_tasks))).groupBy("task", "bi", "bj").applyInPandas(judge, "c bigint, first int, last int")
     runs = whole.unionByName(judged).distinct().groupBy("c").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
     return runs.select("c", merge_runs("runs").alias("spans"))
 
