@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import importlib.util
 
-from evidentia.llm import embedding_dedup, html_extraction, ngram_join, quality, repeats, secrets, sentencepieces, sharding, token_counts
+from evidentia.llm import decontamination, embedding_dedup, html_extraction, ngram_join, quality, repeats, secrets, sentencepieces, sharding, token_counts
 
-MODULES = [secrets, ngram_join, token_counts, sentencepieces, repeats, quality, html_extraction, sharding, embedding_dedup]
+MODULES = [secrets, ngram_join, token_counts, sentencepieces, repeats, quality, html_extraction, sharding, embedding_dedup, decontamination]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLE", {}).items()}

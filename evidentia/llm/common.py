@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,23 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it from there, so that later uses
-    neither recompute it nor depend on one executor. The folder is the session's
-    ``spark.checkpoint.dir``; one is set here only where the session has none (tests). Then the JVM
-    collects its garbage, so that Spark's cleaner frees the shuffle files that the written table replaces."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; one is set here only where the session has none (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="evidentia-checkpoint-"))
-    out = df.checkpoint(eager=True)
-    spark.sparkContext._jvm.System.gc()
-    return out
+    return spark.sparkContext.getCheckpointDir()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A small result used more than once, held on disk by Spark and recomputed if an executor goes."""
-    return df.persist(StorageLevel.DISK_ONLY)
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared checkpoint folder and reads it from there, so that later uses neither
+    recompute it nor depend on one executor. Then the JVM collects its garbage, so that Spark's cleaner
+    frees the shuffle files that the written table replaces."""
+    checkpoint_folder(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def sha256_hex(data: bytes) -> str:

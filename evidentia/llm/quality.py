@@ -246,8 +246,9 @@ def filter_documents(docs: DataFrame, weights: Weights, text_col: str = "text")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay, with their scores."""
     docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+    return score(docs, train(docs, table(spark, sf_dir, "labels"))).where("keep").withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"op6_quality_classifier": op6_quality_classifier}

@@ -232,15 +232,37 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     id if ``end``. Null and empty texts have only the end id; a null id stays; other columns are not
     read. One pass without a shuffle."""
 
-    def one(batch: pa.RecordBatch) -> dict[str, list]:
-        tail = [model(model_path).end] if end else []
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tail = [str(model(model_path).end)] if end else []
         coded = encode_texts(model_path, [t or "" for t in batch.column(1).to_pylist()])
-        return {"id": batch.column(0).to_pylist(), "ids": [[int(i) for ids, _ in t for i in ids.split()] + tail for t in coded]}
+        ids = [np.fromstring(" ".join([*(x for x, _ in t), *tail]), dtype=np.int32, sep=" ") for t in coded]
+        edges = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(ids)))], names=["id", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return over_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), one, f"id {kind}, ids array<int>")
 
 
+def encode_and_check(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` with ``n_tokens`` (end id included) and ``exact``: whether the ids decode to the text
+    itself, as they do unless it holds the sign that stands for a space. Null counts as empty."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        of = model(model_path)
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        coded = encode_texts(model_path, texts)
+        back = {x: b"".join([of.raw[int(i)] for i in x.split()]) for x in {x for t in coded for x, _ in t}}
+        exact = [b"".join([back[x] for x, _ in t])[1:] == text.encode("utf-8", "surrogatepass") for t, text in zip(coded, texts)]
+        ids = [np.fromstring(" ".join([*(x for x, _ in t), str(of.end)]), dtype=np.int32, sep=" ") for t in coded]
+        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(ids)))
+        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes), pa.array(exact)], names=["id", "ids", "n_tokens", "exact"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return over_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), one, f"id {kind}, ids array<int>, n_tokens bigint, exact boolean")
+
+
 def decode(df: DataFrame, model_path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """One row per input row: the id as ``id`` and the ``text`` of the ids; null ids give null."""
 
