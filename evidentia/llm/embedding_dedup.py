@@ -22,8 +22,11 @@ from evidentia.llm.components import components
 
 #: Vectors on which codebooks are fitted, at most; chosen by a hash of the vector.
 FIT = 20_000
-#: Vectors that a codeword of a half should hold on average, and codewords of a half at most.
-PER_CELL, CODES = 64, 64
+#: Vectors of the largest label that a cell should hold on average, and codewords of a half at most.
+#: Finer cells cost more visits than they save comparisons where vectors fill the space evenly.
+PER_CELL, CODES = 1024, 64
+#: Vectors that a worker probes at once.
+SLICE = 1000
 #: Vectors in one block of a cell.
 BLOCK = 2048
 
@@ -96,7 +99,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     # Equal vectors of a label are one class; the class's vector and its number of rows go on.
     members = cut(rows.where(usable).select("id", "label", "v", F.unhex(F.md5(F.to_json("v"))).alias("h")))
     classes = cut(members.groupBy("label", "h").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"), F.size(F.first("v")).alias("dims")))
-    sizes = classes.groupBy("dims").agg(F.count("*").alias("n")).orderBy("dims").collect()  # one row for each length of vector
+    sizes = classes.groupBy("dims", "label").agg(F.count("*").alias("n")).groupBy("dims").agg(F.max("n").alias("n")).orderBy("dims").collect()  # one row for each length of vector
     books = {}
     for s in sizes:
         sample = np.array([r.v for r in classes.where(F.col("dims") == s.dims).orderBy(F.xxhash64("h", "label")).limit(FIT).select("v").collect()])
@@ -109,7 +112,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
 
     def probe(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
-            for dims, part in pdf.groupby("dims"):
+            slices = (part.iloc[at : at + SLICE] for _, part in pdf.groupby("dims") for at in range(0, len(part), SLICE))
+            for part in slices:
+                dims = int(part["dims"].iloc[0])
                 half, one, two = shared.value[dims]
                 x = _unit(np.array(part["v"].tolist()))
                 own1, low1 = bounds(x[:, :half], one)
