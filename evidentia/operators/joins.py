@@ -40,7 +40,7 @@ def unprocessed(all_rows: DataFrame, done: DataFrame, key: list[str]) -> DataFra
 
 def resumable(all_rows: DataFrame, log: DataFrame, key: str, ordinal: str) -> DataFrame:
     """Rows not in the log, and the log's last one again, since it may be unfinished."""
-    last = log.agg(F.max(F.struct(ordinal, key)).alias("m")).select(F.col(f"m.{key}").alias(key))
+    last = log.agg(F.max(F.struct(F.col(ordinal).alias("_o"), F.col(key).alias("_k"))).alias("m")).select(F.col("m._k").alias(key))
     return all_rows.join(log.select(key).distinct().join(F.broadcast(last), key, "left_anti"), key, "left_anti")
 
 

@@ -1,4 +1,6 @@
 """All queries of the engine by name, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from evidentia.plans import evidence, retrieval, textual  # noqa: F401
+from evidentia.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
