@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from evidentia.llm.blocks import block_pairs
 from evidentia.llm.common import as_bytes, cut, mix64, over_batches, table
 
-#: Bytes of an anchor string; contexts in one task; members in one block of a hot anchor.
-ANCHOR, TASK, BLOCK = 64, 8192, 2048
+#: Bytes of an anchor string; contexts in one task; members in one block of a hot anchor; windows
+#: sorted at once.
+ANCHOR, TASK, BLOCK, CELLS = 64, 8192, 1024, 500_000
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -44,8 +45,10 @@ class Fingerprints:
     def of(self, start: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.power[start])
 
-    def all_of(self, k: int) -> np.ndarray:
-        return mix64((self.sums[k:] - self.sums[:-k]) * self.power[:-k])
+    def all_of(self, k: int, mixed: bool = True) -> np.ndarray:
+        out = self.sums[k:] - self.sums[:-k]
+        out *= self.power[:-k]
+        return mix64(out) if mixed else out
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -75,34 +78,69 @@ def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, F
     return at, grams[at], prints
 
 
-def repeated(contexts: list[bytes], key: np.ndarray, offset: np.ndarray, length: int, digits: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def twins(state: np.ndarray) -> np.ndarray:
+    """Which elements have an equal one in their row."""
+    if state.shape[1] == 2:
+        return np.repeat(state[:, :1] == state[:, 1:], 2, axis=1)
+    by = np.argsort(state, axis=1)
+    ordered = np.take_along_axis(state, by, axis=1)
+    same = ordered[:, 1:] == ordered[:, :-1]
+    again, out = np.zeros(state.shape, dtype=bool), np.zeros(state.shape, dtype=bool)
+    again[:, 1:] |= same
+    again[:, :-1] |= same
+    np.put_along_axis(out, by, again, axis=1)
+    return out
+
+
+def repeated(contexts: list[bytes], key: np.ndarray, offset: np.ndarray, length: int, width: int, digits: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of a context, first byte, last byte and one) of what repeated windows cover in contexts.
-    A context holds an anchor of fingerprint ``key`` at ``offset``; only windows that hold it count."""
+
+    A context holds an anchor of fingerprint ``key`` at ``offset``; its windows start 0 to ``width``
+    bytes before that, and windows of one anchor and start are a row of the sort. Groups of as many
+    contexts are sorted together, row by row; a row in which no two agree in a digit is done.
+    """
     sizes = np.array([len(c) for c in contexts], dtype=np.int64)
     begin = np.cumsum(sizes) - sizes
     prints = Fingerprints(np.frombuffer(b"".join(contexts), np.uint8))
-    starts = np.maximum(0, np.minimum(offset, sizes - length) + 1) * (sizes >= length)
-    of = np.repeat(np.arange(len(contexts)), starts)
-    first = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
-    group = mix64(key[of] ^ mix64((offset[of] - first).astype(np.uint64)))
-    edges = [length * d // digits for d in range(digits + 1)]
-    for lo, hi in zip([None, *edges], edges):
-        if lo is not None:
-            at = begin[of] + first
-            group = mix64(group * _ROOT + prints.of(at + lo, at + hi))
-        order = np.argsort(group, kind="stable")
-        same = group[order][1:] == group[order][:-1]
-        alone = ~(np.concatenate(([False], same)) | np.concatenate((same, [False])))
-        keep = order[~alone[: len(order)]] if len(order) else order
-        of, first, group = of[keep], first[keep], group[keep]
-    if not len(of):
+    order = np.argsort(key, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0))) if len(order) else np.zeros(0, np.int64)
+    count = np.diff(np.concatenate((edge, [len(order)])))
+    cuts = [length * d // digits for d in range(digits + 1)]
+    digit = [prints.all_of(hi - lo, mixed=False) for lo, hi in zip(cuts, cuts[1:])] if sizes.sum() >= length else []
+    back = np.arange(width + 1)
+    out = []
+    for m in np.unique(count[count > 1]):
+        groups = edge[count == m]
+        step = max(1, CELLS // (int(m) * (width + 1)))
+        for g in range(0, len(groups), step):
+            member = order[groups[g : g + step, None] + np.arange(m)]  # groups by members
+            start = offset[member][:, None, :] - back[None, :, None]  # groups by starts by members
+            inside = (start >= 0) & (start + length <= sizes[member][:, None, :])
+            at = np.where(inside, begin[member][:, None, :] + start, 0).reshape(-1, m)
+            inside = inside.reshape(-1, m)
+            rows = np.flatnonzero(inside.sum(1) > 1)
+            # Windows that do not fit agree with nothing.
+            odd, state = np.arange(1, m + 1, dtype=np.uint64), None
+            for lo, digit_at in zip(cuts, digit):
+                if not len(rows):
+                    break
+                live = inside[rows]
+                now = digit_at[np.where(live, at[rows] + lo, 0)]
+                state = np.where(live, now if state is None else mix64(state[rows] * _ROOT + now), odd)
+                twin = twins(state) & live
+                inside, full = np.zeros_like(inside), np.zeros(at.shape, dtype=np.uint64)
+                inside[rows], full[rows] = twin, state
+                state, rows = full, rows[twin.any(axis=1)]
+            hit = inside.reshape(len(member), width + 1, m)
+            some = hit.any(axis=1)
+            if some.any():
+                least, most = hit.argmax(axis=1), width - hit[:, ::-1].argmax(axis=1)
+                of = member[some]
+                # Windows around one anchor overlap, so that what they cover is one run.
+                out.append((of, offset[of] - most[some], offset[of] - least[some] + length))
+    if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # Windows around one anchor overlap, so that what they cover is one run.
-    order = np.lexsort((first, of))
-    of, first = of[order], first[order]
-    edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-    last = np.concatenate((edge[1:], [len(of)])) - 1
-    return of[edge], first[edge], first[last] + length
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def text_key(data: bytes) -> int:
@@ -166,12 +204,12 @@ def covered(df: DataFrame, length: int = 400, text_col: str = "text") -> DataFra
     n_tasks = max(1, -(-kinds.count() // TASK))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        of, first, last = repeated(list(pdf["context"]), pdf["h"].to_numpy().view(np.uint64), pdf["offset"].to_numpy().astype(np.int64), length)
+        of, first, last = repeated(list(pdf["context"]), pdf["h"].to_numpy().view(np.uint64), pdf["offset"].to_numpy().astype(np.int64), length, left)
         lo = pdf["lo"].to_numpy()[of]
         return pd.DataFrame({"c": pdf["c"].to_numpy()[of], "first": (lo + first).astype(np.int32), "last": (lo + last).astype(np.int32)})
 
     judged = tasks.withColumn("task", F.pmod("h", F.lit(n_tasks))).groupBy("task", "bi", "bj").applyInPandas(judge, "c bigint, first int, last int")
-    runs = whole.unionByName(judged).distinct().groupBy("c").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    runs = whole.unionByName(judged).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
     return runs.select("c", merge_runs("runs").alias("spans"))
 
 
