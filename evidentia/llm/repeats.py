@@ -119,6 +119,8 @@ def repeated(contexts: list[bytes], key: np.ndarray, offset: np.ndarray, length:
             at = np.where(inside, begin[member][:, None, :] + start, 0).reshape(-1, m)
             inside = inside.reshape(-1, m)
             rows = np.flatnonzero(inside.sum(1) > 1)
+            if not len(rows):
+                continue
             # Windows that do not fit agree with nothing.
             odd, state = np.arange(1, m + 1, dtype=np.uint64), None
             for lo, digit_at in zip(cuts, digit):
