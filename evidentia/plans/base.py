@@ -50,3 +50,14 @@ def tok(x: str) -> str:
 
 def jac(a: str, b: str) -> str:
     return JACCARD.format(a, b)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, beside the checkpoints; made up only where the
+    session names none (tests)."""
+    import tempfile
+    import uuid
+
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidentia-"))
+    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
