@@ -39,7 +39,8 @@ VERIFY_PROMPT = (
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits; null gives null."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
 def words(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
-from evidentia.functions.scorers import Lexical, cosine, dot
+from evidentia.functions.scorers import cosine, dot, overlap
 from evidentia.operators import rank as R
 from evidentia.plans.base import STORED, claims, jac, query, stored, t, tok
 
@@ -130,8 +130,9 @@ PAIRS = f"pairs as (select claim_id, doc_id * 10000 + chunk as chunk_id, body, r
 
 
 def scored_chunks(s, d):
-    scored = chunked(s, d).join(R.small(claims(s, d)), "claim_id")
-    return scored.select("claim_id", (F.col("doc_id") * 10000 + F.col("chunk")).alias("chunk_id"), "body", F.round(Lexical().score_pairs(F.col("claim"), F.col("body")), 6).alias("score"))
+    asked = claims(s, d).select("claim_id", F.array_distinct(T.tokens(F.col("claim"))).alias("asked"))
+    scored = chunked(s, d).join(R.small(asked), "claim_id")
+    return scored.select("claim_id", (F.col("doc_id") * 10000 + F.col("chunk")).alias("chunk_id"), "body", F.round(overlap(F.col("asked"), F.array_distinct(T.tokens(F.col("body")))), 6).alias("score"))
 
 
 @query(f"with recursive {CHUNKS}, {PAIRS} select claim_id, chunk_id, score, rank from (select *, row_number() over (partition by claim_id order by score desc, chunk_id) as rank from pairs) where rank <= 10")
