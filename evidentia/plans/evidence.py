@@ -143,15 +143,15 @@ def reorder_by_ids(s, d):
 
 # --- Rounds --------------------------------------------------------------------------------------
 
-ROUND = """(select conv_id as claim_id, (turn)::int as q_idx, text[1:30] as question, case when (conv_id + turn + {r}) % 4 = 0 then null when (conv_id + turn + {r}) % 5 = 0 then 'Sorry, no information' else text[1:40] end as answer, ['u' || turn, 'v' || conv_id] as urls, case when turn % 3 = 0 then null else (turn % 2)::int end as chunk_idx, {r} as round from conversations)"""
+ROUND = """(select conv_id as claim_id, (turn)::int as q_idx, text as question, case when (conv_id + turn + {r}) % 4 = 0 then null when (conv_id + turn + {r}) % 5 = 0 then 'Sorry, no information' else text end as answer, ['u' || turn, 'v' || conv_id] as urls, case when turn % 3 = 0 then null else (turn % 2)::int end as chunk_idx, {r} as round from conversations)"""
 
 
 def round_table(s, d, r):
     """A round of questions made from conversations: some without an answer, some that say nothing."""
     k = F.col("conv_id") + F.col("turn") + r
-    answer = F.when(k % 4 == 0, None).when(k % 5 == 0, "Sorry, no information").otherwise(F.substring("text", 1, 40))
+    answer = F.when(k % 4 == 0, None).when(k % 5 == 0, "Sorry, no information").otherwise(F.col("text"))
     return t(s, d, "conversations").select(
-        F.col("conv_id").alias("claim_id"), F.col("turn").cast("int").alias("q_idx"), F.substring("text", 1, 30).alias("question"), answer.alias("answer"),
+        F.col("conv_id").alias("claim_id"), F.col("turn").cast("int").alias("q_idx"), F.col("text").alias("question"), answer.alias("answer"),
         F.array(F.concat(F.lit("u"), F.col("turn").cast("string")), F.concat(F.lit("v"), F.col("conv_id").cast("string"))).alias("urls"), F.when(F.col("turn") % 3 == 0, None).otherwise((F.col("turn") % 2).cast("int")).alias("chunk_idx"),
     )
 

@@ -104,15 +104,14 @@ def noinfo_detect(s, d):
 
 
 @query(f"""select doc_id, list_contains(list_transform({ANSWERS}, lambda c: contains(c, 'Sorry')), true) as has_error, contains(lower(lang), 'e') or (contains(lower(text), 'no ') and not contains(lower(text), 'no answer could be found')) as yes_no,
-len({tok('text')}) < 400 as in_budget, not contains(text, 'claim') as no_mention, case when lang = 'en' then text[1:20] || ', ' || source else text[1:20] end as typed, contains(text, 'null null') as placeholder from documents""")
+len({tok('text')}) < 400 as in_budget, not contains(text, 'claim') as no_mention, md5(case when lang = 'en' then text || ', ' || source else text end) as typed, contains(text, 'null null') as placeholder from documents""")
 def answer_predicates(s, d):
     """Predicates over answers and chunks."""
     x, lang = F.col("text"), F.col("lang")
     yes = (F.contains(F.lower(lang), F.lit("e")) | (F.contains(F.lower(x), F.lit("no ")) & ~F.contains(F.lower(x), F.lit("no answer could be found"))))
-    head = F.substring(x, 1, 20)
     return answers(s, d).join(t(s, d, "documents").select("doc_id", "source"), "doc_id").select(
         "doc_id", T.has_error(F.col("answers"), "Sorry").alias("has_error"), yes.alias("yes_no"), (F.size(T.tokens(x)) < 400).alias("in_budget"), (~T.mentions_claim(x)).alias("no_mention"),
-        F.when(lang == "en", T.typed_answer(head, F.lit("Boolean"), F.col("source"))).otherwise(head).alias("typed"), T.placeholder(x).alias("placeholder"),
+        F.md5(T.typed_answer(x, F.when(lang == "en", "Boolean"), F.col("source"))).alias("typed"), T.placeholder(x).alias("placeholder"),
     )
 
 
@@ -162,10 +161,10 @@ def question_parse(s, d):
     return got.select("doc_id", "first", *[F.size(c).alias(f"n_{c}") for c in "abc"], *[F.md5(F.array_join(c, "|")).alias(c) for c in "abc"])
 
 
-@query("select doc_id, case when contains(text[-3:], '?') then text else text || '?' end as q from (select doc_id, right(replace(text, 'the', '?'), 20) as text from documents)")
+@query("select doc_id, md5(case when contains(text[-3:], '?') then text else text || '?' end) as q from (select doc_id, replace(text, '.', '?') as text from documents)")
 def question_mark(s, d):
     """T8."""
-    return t(s, d, "documents").select("doc_id", T.with_question_mark(F.expr("right(replace(text, 'the', '?'), 20)")).alias("q"))
+    return t(s, d, "documents").select("doc_id", F.md5(T.with_question_mark(F.replace(F.col("text"), F.lit("."), F.lit("?")))).alias("q"))
 
 
 @query(f"""select claim_id, 512 - len({tok('claim')}) - 3 as budget, len(list_slice({tok('claim')}, 1, greatest(0, 30 - 5 - 10)))::int as cut, 'They stated ' || claim || '  ' || claim as q, claim || claim || 'x' as dense, 'Instruct: Find it' || chr(10) || 'Query: ' || claim as instruct,

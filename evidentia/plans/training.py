@@ -18,12 +18,12 @@ def samples(s, d):
     return t(s, d, "documents").select("doc_id", F.transform(T.tokens(F.col("text")), lambda w: F.length(w)).alias("ids"))
 
 
-@query(f"""with c as (select doc_id, {IDS} as ids from documents), p as (select doc_id, list_slice(ids, 1, 4) as a, list_slice(ids, 5, 12) as b from c)
-select doc_id, array_to_string(list_concat(a, b), ' ') as input_ids, len(list_concat(a, b))::int as attention, array_to_string(list_concat(list_transform(a, lambda x: -100), b), ' ') as labels from p""")
+@query(f"""with c as (select doc_id, {IDS} as ids from documents), p as (select doc_id, list_slice(ids, 1, 4) as a, list_slice(ids, 5, len(ids)) as b from c)
+select doc_id, md5(array_to_string(list_concat(a, b), ' ')) as input_ids, len(list_concat(a, b))::int as attention, md5(array_to_string(list_concat(list_transform(a, lambda x: -100), b), ' ')) as labels from p""")
 def label_mask(s, d):
     """Prompts masked in the labels, all attended to."""
-    got = samples(s, d).select("doc_id", *B.mask_labels(F.slice("ids", 1, 4), F.slice("ids", 5, 8)))
-    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    got = samples(s, d).select("doc_id", *B.mask_labels(F.slice("ids", 1, 4), F.slice("ids", F.lit(5), F.greatest(F.size("ids"), F.lit(1)))))
+    joined = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), " "))
     return got.select("doc_id", joined("input_ids").alias("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("attention"), joined("labels").alias("labels"))
 
 
