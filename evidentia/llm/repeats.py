@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.blocks import block_pairs
+from evidentia.llm.blocks import spread as spread_blocks
 from evidentia.llm.common import as_bytes, cut, mix64, over_batches, table
 
 #: Bytes of an anchor string; contexts in one task; members in one block of a hot anchor; windows
@@ -186,23 +186,23 @@ def covered(df: DataFrame, length: int = 400, text_col: str = "text") -> DataFra
     kinds = cut(marks.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct("c", "at")).alias("one")))
     whole = marks.join(kinds.where("n > 1").select("h", "x"), ["h", "x"]).select("c", F.greatest(F.lit(0), F.col("at") - left).alias("first"), F.col("hi").alias("last")).where(F.col("last") - F.col("first") >= length)
     open_groups = kinds.groupBy("h").agg(F.count("*").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1").select("h", "n")
-    asked = kinds.join(open_groups.select("h"), "h").select("h", "one.c", "one.at").groupBy("c").agg(F.collect_list(F.struct("h", "at")).alias("asked"))
+    asked = kinds.select("h", "one").join(open_groups, "h").select("h", "n", "one.c", "one.at").groupBy("c").agg(F.collect_list(F.struct("h", "at", "n")).alias("asked"))
 
     def keyed(batch: pa.RecordBatch) -> dict[str, list]:
         return {"c": [text_key(x) for x in as_bytes(batch.column(0))], "text": batch.column(0).to_pylist()}
 
     def around(batch: pa.RecordBatch) -> dict[str, list]:
-        out: dict[str, list] = {"h": [], "c": [], "lo": [], "offset": [], "context": []}
+        out: dict[str, list] = {"h": [], "n": [], "c": [], "lo": [], "offset": [], "context": []}
         for c, data, places in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
             for p in places:
                 lo = max(0, p["at"] - left)
-                for name, v in zip(out, (p["h"], c, lo, p["at"] - lo, data[lo : p["at"] + length])):
+                for name, v in zip(out, (p["h"], p["n"], c, lo, p["at"] - lo, data[lo : p["at"] + length])):
                     out[name].append(v)
         return out
 
     distinct = over_batches(texts, keyed, "c bigint, text string")
-    contexts = over_batches(distinct.join(asked, "c").dropDuplicates(["c"]).select("c", "text", "asked"), around, "h bigint, c bigint, lo int, offset int, context binary")
-    tasks = block_pairs(contexts, "h", open_groups, BLOCK, F.xxhash64("c", "lo"))
+    contexts = over_batches(distinct.join(asked, "c").dropDuplicates(["c"]).select("c", "text", "asked"), around, "h bigint, n bigint, c bigint, lo int, offset int, context binary")
+    tasks = spread_blocks(contexts, "n", BLOCK, F.xxhash64("c", "lo"))
     n_tasks = max(1, -(-kinds.count() // TASK))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
