@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidentia.functions import text as T
 from evidentia.operators import dedup, joins, setops
 from evidentia.operators import evidence as E
 from evidentia.operators.rank import ordinal
