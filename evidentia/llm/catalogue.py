@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
-
 from evidentia.llm import decontamination, embedding_dedup, html_extraction, ngram_join, quality, repeats, secrets, sentencepieces, sharding, token_counts
 
 MODULES = [secrets, ngram_join, token_counts, sentencepieces, repeats, quality, html_extraction, sharding, embedding_dedup, decontamination]

@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: White space of the word contracts: space and the bytes 9 to 13.
 SPACE = np.zeros(256, dtype=bool)
