@@ -101,7 +101,7 @@ def posteriors(patterns: list[tuple[str, int]], rounds: int = 60) -> dict[str, f
     return dict(zip(names, p.tolist()))
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=80_000)
 def word_features(word: str) -> tuple[int, ...]:
     names = ["w:" + word, *(f"b{k}:" + word[:k] for k in (4, 5, 6) if len(word) > k)]
     return tuple(64 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (FEATURES - 64) for x in names)

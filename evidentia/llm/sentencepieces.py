@@ -20,7 +20,7 @@ from evidentia.llm.common import over_batches, sha256_hex, table
 
 SPACE = "▁"
 #: Segments whose ids a worker remembers; it forgets all of them beyond that.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 _NEVER = np.int64(1 << 40)
 
