@@ -15,7 +15,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 #: Bytes of text that a worker handles at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
