@@ -92,26 +92,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _PLACE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: What a byte adds to its word's hash: nothing for white space; A-Z count as a-z.
+_VALUE = np.where(SPACE, 0, np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + 1).astype(np.uint64)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of the lower-cased words of all texts in order, index of each text's first word,
     with the total at the end). Words are runs of bytes that are not white space; A-Z are lower-cased."""
-    joined = np.frombuffer(b"\n".join(texts).lower() + b"\n", dtype=np.uint8)
+    joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
     space = SPACE[joined]
-    solid = ~space
-    first = np.flatnonzero(solid & np.concatenate(([True], space[:-1])))
+    start = ~space
+    start[1:] &= space[:-1]
+    first = np.flatnonzero(start)
     bounds = np.concatenate(([0], np.searchsorted(first, ends)))
     if not len(first):
         return np.zeros(0, np.uint64), bounds
-    at = np.flatnonzero(solid)
-    lengths = np.add.reduceat(solid, first).astype(np.int64)
-    start = np.cumsum(lengths) - lengths
-    place = np.arange(len(at)) - np.repeat(start, lengths)
-    values = joined[at].astype(np.uint64) + np.uint64(1)
-    if lengths.max() > 4096:
-        values += (place >> 12).astype(np.uint64) * np.uint64(257)
-        place = place & 4095
-    return mix64(np.add.reduceat(values * _PLACE[place], start) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), bounds
+    values = _VALUE[joined[first[0] :]]
+    # A word's stretch goes up to the next word; the white space in it adds nothing.
+    place = np.arange(len(values)) - np.repeat(first - first[0], np.diff(np.append(first, len(joined))))
+    if place.max() > 4095:
+        values += (place >> 12).astype(np.uint64) * np.uint64(257) * (values > 0)
+        place &= 4095
+    values *= _PLACE[place]
+    return mix64(np.add.reduceat(values, first - first[0])), bounds
 
 
 _TURN = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
