@@ -180,22 +180,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             total[key] = total.get(key, 0) + r["count"]
         belief[q] = posteriors(sorted(total.items()))
     unlabelled = ((F.col("low") == "-") & (F.col("toxic") == "-")).cast("int")
-    chosen = voted.where("id is not null").select("id", "low", "toxic", F.xxhash64("id").alias("place"), unlabelled.alias("last")).orderBy("last", "place", "id").limit(sample)
+    chosen = voted.where("id is not null").select("id", "votes", "low", "toxic", F.xxhash64("id").alias("place"), unlabelled.alias("last")).orderBy("last", "place", "id").limit(sample)
+
+    def featured(batch: pa.RecordBatch) -> dict[str, list]:
+        out = {n: batch.column(i).to_pylist() for i, n in enumerate(("id", "votes", "low", "toxic", "place"))}
+        return out | {"x": [np.array(sorted(text_features(t)), dtype=np.int32).tobytes() for t in batch.column(5).to_pylist()]}
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", "id", "text"])
-        x = [np.array(sorted(text_features(t)), dtype=np.int64) for t in pdf["text"]]
-        seen = [votes(t) for t in pdf["text"]]
+        pdf = pdf.sort_values(["place", "id"])
+        x = [np.frombuffer(b, dtype=np.int32) for b in pdf["x"]]
         out = []
         for q in QUESTIONS:
             a, b = LABELLERS[q]
-            y = np.array([belief[q].get(v[a:b] + h, 0.5) for v, h in zip(seen, pdf[q])])
+            y = np.array([belief[q].get(v[a:b] + h, 0.5) for v, h in zip(pdf["votes"], pdf[q])])
             w = fit(x, y)
             out.append(pd.DataFrame({"question": q, "feature": list(w), "weight": list(w.values())}))
         return pd.concat(out)
 
-    sampled = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
-    learnt = sampled.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(learn, "question string, feature int, weight double").collect()
+    sampled = rows.join(F.broadcast(chosen.drop("last")), "id").dropDuplicates(["id"]).select("id", "votes", "low", "toxic", "place", "text")
+    with_features = over_batches(sampled, featured, f"id {kind}, votes string, low string, toxic string, place bigint, x binary")
+    learnt = with_features.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(learn, "question string, feature int, weight double").collect()
     return {q: {r.feature: r.weight for r in learnt if r.question == q} for q in QUESTIONS}
 
 
