@@ -136,3 +136,15 @@ def test_common_subsequence():
     a, b = np.array([1, 2, 3, 4, 5]), np.array([9, 1, 3, 9, 5])
     assert D.common_subsequence(a, b).tolist() == [0, 1, 1, 2, 2, 3]
     assert D.answer_of(b"Who was it? It was me.") == (3, 6)
+
+
+def longer(rng, n):
+    return " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" for _ in range(n))
+
+
+def test_more_items_than_dimensions(make, spark):
+    rng = random.Random(11)
+    items = [(k, longer(rng, 28)) for k in range(2000)]
+    rows = [(k, prose(rng, 40) + " " + t + " " + prose(rng, 40)) for k, t in items[:100]]
+    got = {(r.id, r.item) for r in D.find_leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, k) for k, _ in items[:100]}
