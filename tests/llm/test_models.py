@@ -148,3 +148,13 @@ def test_more_items_than_dimensions(make, spark):
     rows = [(k, prose(rng, 40) + " " + t + " " + prose(rng, 40)) for k, t in items[:100]]
     got = {(r.id, r.item) for r in D.find_leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(k, k) for k, _ in items[:100]}
+
+
+def test_items_longer_than_a_passage(make, spark):
+    rng = random.Random(12)
+    items = [(k, longer(rng, 300 * (k + 1))) for k in range(4)]
+    rows = [(k, prose(rng, 90) + " " + t + " " + prose(rng, 90)) for k, t in items]
+    rows += [(10 + k, prose(rng, 50) + " " + " ".join(t.split()[len(t.split()) // 10 :]) + " " + prose(rng, 50)) for k, t in items]
+    rows += [(20 + k, " ".join(t.split()[: len(t.split()) // 2])) for k, t in items]
+    got = {(r.id, r.item) for r in D.find_leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d + k, k) for k, _ in items for d in (0, 10)}
