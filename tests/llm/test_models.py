@@ -158,3 +158,14 @@ def test_items_longer_than_a_passage(make, spark):
     rows += [(20 + k, " ".join(t.split()[: len(t.split()) // 2])) for k, t in items]
     got = {(r.id, r.item) for r in D.find_leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(d + k, k) for k, _ in items for d in (0, 10)}
+
+
+def test_an_item_in_many_documents(make, spark):
+    rng = random.Random(13)
+    items = [(k, longer(rng, 20)) for k in range(60)]
+    others = " ".join(t for _, t in items[1:]).split()
+    rows = [(i, longer(rng, 100)) for i in range(200)]
+    for i in range(0, 200, 2):
+        rows[i] = (i, " ".join(rng.choice(others) for _ in range(60)) + " " + items[0][1] + " " + " ".join(rng.choice(others) for _ in range(60)))
+    got = {r.id for r in D.find_leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect() if r.item == 0}
+    assert got == set(range(0, 200, 2))
