@@ -63,13 +63,10 @@ class Lexical:
 def exact_meteor(left: list[str], right: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
     """METEOR of token lists by its exact stage: harmonic mean of precision and recall over unigram
     matches, less a penalty for the chunks they fall into. No stems or synonyms."""
-    free = list(range(len(right)))
-    match: list[int] = []
-    for w in left:
-        at = next((j for j in free if right[j] == w), -1)
-        if at >= 0:
-            free.remove(at)
-        match.append(at)
+    free: dict[str, list[int]] = {}
+    for j in range(len(right) - 1, -1, -1):
+        free.setdefault(right[j], []).append(j)
+    match = [free[w].pop() if free.get(w) else -1 for w in left]
     hits = [j for j in match if j >= 0]
     if not hits:
         return 0.0

@@ -283,6 +283,6 @@ def mojibake_repair(s, d):
 
 @query()
 def meteor_exact(s, d):
-    """METEOR by its exact stage, between each claim and the first line of its store's documents."""
-    first = stored(s, d).select("claim_id", "doc_id", F.split("text", "\n")[0].alias("line"))
-    return first.join(F.broadcast(claims(s, d)), "claim_id").select("claim_id", "doc_id", F.round(meteor(F.col("line"), F.col("claim")), 6).alias("score"))
+    """METEOR by its exact stage, between each claim and the whole texts of its store's documents."""
+    texts = stored(s, d).select("claim_id", "doc_id", "text")
+    return texts.join(F.broadcast(claims(s, d)), "claim_id").select("claim_id", "doc_id", F.round(meteor(F.col("text"), F.col("claim")), 6).alias("score"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.scorers import embed_once, exact_meteor, with_model
 from evidentia.operators import datasets, dedup, metrics, rank, setops
+from evidentia.plans.catalogue import QUERIES
 
 
 def test_partitions(spark):
@@ -101,6 +102,14 @@ def test_meteor():
     assert math.isclose(exact_meteor(["a", "b"], ["a", "b"]), 1 - 0.5 * (1 / 2) ** 3)
 
 
+def test_meteor_scores_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(0, "c d")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, "a b\nc d", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["meteor_exact"](spark, str(tmp_path)).first().score
+    assert math.isclose(got, round(exact_meteor(["a", "b", "c", "d"], ["c", "d"]), 6))
+    assert got > 0
+
+
 def test_set_operations(spark):
     a = spark.range(5)
     assert setops.missing_ids(a, "id", 7).count() == 2
