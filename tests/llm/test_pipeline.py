@@ -22,3 +22,10 @@ def test_null_rows_pass_through(spark):
         rows = stage(spark, rows, DATA)
         assert rows.where("doc_id is null").count() == 1
     assert C.STAGES[-1][1](spark, rows, DATA).count() == 2
+
+
+def test_documents_without_an_id_are_searched(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    rows = spark.createDataFrame([(None, "Before. " + item + " After."), (None, "Nothing of it here."), (None, None), (1, item), (2, "Nor here.")], "doc_id long, text string")
+    left = dict(C.STAGES)["decontamination"](spark, rows, DATA).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, ""), (0, "Nothing of it here."), (2, "Nor here.")]
