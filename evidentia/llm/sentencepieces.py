@@ -1,6 +1,6 @@
 """SentencePiece byte-pair encoding and decoding in vectorised merge rounds.
 
-Text falls into segments (a run of spaces with the letters after it) across which no piece of the
+Text falls into segments (a run of spaces with what follows it) across which no piece of the
 vocabulary reaches. The distinct segments of a batch lie in one flat array of symbols. Each round
 finds the best pair of every segment with a segmented minimum, merges all its occurrences from the
 left at once and compacts the array, until no pair is left.
@@ -9,7 +9,9 @@ left at once and compacts the array, until no pair is left.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import over_batches, sha256_hex, table
 
 SPACE = "▁"
-#: Segments whose ids a worker remembers; it forgets all of them beyond that.
-REMEMBERED = 400_000
+#: Fixed value: how the unknown piece decodes.
+UNKNOWN = " ⁇ "
+#: Characters of segments and their ids that a worker remembers, about; it forgets all beyond that.
+REMEMBERED = 4 << 20
 
 _NEVER = np.int64(1 << 40)
 
@@ -42,12 +46,10 @@ class PieceModel:
         self.id = {p: i for i, p in enumerate(pieces) if not special[i] and not of.is_byte(i)}
         if any(SPACE in p.lstrip(SPACE) for p in self.id) or any("\n" in p for p in self.id):
             raise ValueError("pieces reach across segments")
-        #: Bytes of each piece in decoded text; control pieces have none.
-        self.raw = [b"" if special[i] else bytes([int(p[3:5], 16)]) if of.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        #: Bytes of each piece in decoded text; control pieces have none, the unknown one has a mark.
+        self.raw = [UNKNOWN.encode() if of.is_unknown(i) else b"" if special[i] else bytes([int(p[3:5], 16)]) if of.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.unknown = [of.is_unknown(i) for i in range(n)]
         self.raw_byte = [of.is_byte(i) for i in range(n)]
-        # No piece has a letter before one of these signs, so words and the signs after them merge apart.
-        signs = [c for c in ".,;:!?%$&*#|" if not any(a.isalpha() and b == c for p in self.id for a, b in zip(p, p[1:]))]
-        self.border = re.compile(rf"(?<=[^\W\d_])(?=[{re.escape(''.join(signs))}])") if signs else re.compile(r"(?!)")
         # Pieces by score, best first; the place in that order is the rank of a merge into the piece.
         order = sorted(self.id.values(), key=lambda i: (-of.get_score(i), i))
         place = {i: r for r, i in enumerate(order)}
@@ -62,7 +64,14 @@ class PieceModel:
         self.keys = np.array(keys, dtype=np.int64)[by_key]
         self.ranks = np.array(ranks, dtype=np.int64)[by_key]
         self.at_rank = np.array(order, dtype=np.int64)
-        self.remembered: dict[str, tuple[str, int]] = {}
+        #: Each piece's id as text after a space.
+        self.written = [f" {i}" for i in range(n)]
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties what is remembered: for each segment its number, and by number where its ids lie in ``flat``."""
+        self.number: dict[str, int] = {}
+        self.flat, self.edges, self.size = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = np.where((a >= 0) & (b >= 0), a * self.n + b, -1)
@@ -121,40 +130,50 @@ class PieceModel:
         order = np.argsort(owner, kind="stable")
         return symbols[order], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(segments)))))
 
-    def ids_of(self, symbols: list[int]) -> list[int]:
-        out: list[int] = []
-        for s in symbols:
-            if s >= 0:
-                out.append(s)
-            else:
-                out += [self.byte_id[b] for b in chr(-1 - s).encode("utf-8", "surrogatepass")]
-        return out
-
     def learn(self, segments: list[str]) -> None:
-        """Encodes segments and remembers each one's ids as text, joined by spaces, and their number."""
-        known, parted = self.remembered, [self.border.split(s) for s in segments]
-        for some in _some(list({p for parts in parted for p in parts if p not in known})):
-            symbols, bounds = self.merge_rounds(some)
-            flat, edges = symbols.tolist(), bounds.tolist()
-            for i, part in enumerate(some):
-                ids = self.ids_of(flat[edges[i] : edges[i + 1]])
-                known[part] = (" ".join(map(str, ids)), len(ids))
-        for segment, parts in zip(segments, parted):
-            if len(parts) > 1:
-                of = [known[p] for p in parts]
-                known[segment] = (" ".join([x for x, _ in of]), sum([n for _, n in of]))
-
-
-def _some(segments: list[str], limit: int = 1 << 20) -> list[list[str]]:
+        """Encodes segments and remembers their ids, bytes of characters without a piece included."""
+        flat, sizes = [self.flat], [np.diff(self.edges)]
+        for some in _some(segments):
+            symbols, bounds = self.merge_rounds([" " + s if s[:1] != "\n" else s for s in some])
+            bare = symbols < 0
+            if bare.any():
+                points, which = np.unique(symbols[bare], return_inverse=True)
+                coded = [[self.byte_id[b] for b in chr(-1 - int(x)).encode("utf-8", "surrogatepass")] for x in points]
+                times = np.ones(len(symbols), np.int64)
+                times[bare] = np.array([len(c) for c in coded])[which]
+                begin = np.cumsum(times) - times
+                out = np.repeat(symbols, times)
+                for k in range(4):
+                    has = times[bare] > k
+                    out[begin[bare][has] + k] = np.array([c[k] if k < len(c) else 0 for c in coded])[which][has]
+                symbols, bounds = out, np.append(begin, len(out))[bounds]
+            flat.append(symbols.astype(np.int32))
+            sizes.append(np.diff(bounds))
+        first = len(self.number)
+        self.number.update(zip(segments, range(first, first + len(segments))))
+        self.flat, self.edges = np.concatenate(flat), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        self.size += sum(map(len, segments)) + len(self.flat) - len(flat[0])
+
+    def ids_of(self, parted: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of texts given as segments, one text after the other; each text's first id, the total at the end)."""
+        number = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parted)), np.int64)
+        begin, sizes = self.edges[number], np.diff(self.edges)[number]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.flat[np.repeat(begin - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate(([0], np.cumsum([len(t) for t in parted])))]
+
+
+def _some(segments: list[str], limit: int = 1 << 19) -> Iterable[list[str]]:
     """Lists of segments with about ``limit`` characters each."""
-    out, size = [[]], 0
+    out, size = [], 0
     for s in segments:
         if size and size + len(s) > limit:
-            out.append([])
-            size = 0
-        out[-1].append(s)
-        size += len(s)
-    return out
+            yield out
+            out, size = [], 0
+        out.append(s)
+        size += len(s) + 1
+    if out:
+        yield out
 
 
 @lru_cache(maxsize=2)
@@ -162,25 +181,32 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-_SEGMENT = re.compile(r" +[^ \n]*|\n|[^ \n]+")
+_SEGMENT = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
 
 
 def segments_of(text: str) -> list[str]:
-    """The text with the space that the model puts before it, as segments."""
-    return _SEGMENT.findall(" " + text.replace(SPACE, " ")) if text else []
+    """The text with the space that the model puts before it, as segments. A segment that begins with
+    no line break has one more space before it than is written here. No piece holds a line break."""
+    if not text:
+        return []
+    out = text.replace(SPACE, " ").replace("\n", " \n").split(" ")
+    if "" in out:  # several spaces in a row, or some at a line's end
+        return [s[1:] if s[0] == " " else s for s in _SEGMENT.findall(" " + text.replace(SPACE, " "))]
+    return out
 
 
-def encode_texts(path: str, texts: list[str]) -> list[list[tuple[str, int]]]:
-    """For each text, (ids joined by spaces, number of ids) of its segments in order."""
+def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, one after the other; each text's first id, the total at the end)."""
     of = model(path)
-    cut = [segments_of(t) for t in texts]
-    known = of.remembered
-    new = list({s for t in cut for s in t if s not in known})
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list({s for t in cut for s in t})
-    of.learn(new)
-    return [[known[s] for s in t] for t in cut]
+    if of.size > REMEMBERED:
+        of.forget()
+    parted = [segments_of(t) for t in texts]
+    of.learn(sorted(set().union(*parted).difference(of.number)))
+    return of.ids_of(parted)
+
+
+def _with_end(ids: np.ndarray, edges: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.insert(ids, edges[1:], end), edges + np.arange(len(edges))
 
 
 def decode_ids(path: str, ids: list[int]) -> str:
@@ -197,12 +223,12 @@ def decode_ids(path: str, ids: list[int]) -> str:
     for i in ids:
         if of.raw_byte[i]:
             run += of.raw[i]
-        elif of.raw[i]:
+        else:
             flush()
+            if not of.raw[i]:
+                continue
             text = of.raw[i].decode()
-            out.append(text[1:] if first and text.startswith(" ") else text)
-        else:
-            continue
+            out.append(text[1:] if first and text.startswith(" ") and not of.unknown[i] else text)
         first = False
     flush()
     return "".join(out)
@@ -233,11 +259,10 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     read. One pass without a shuffle."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tail = [str(model(model_path).end)] if end else []
-        coded = encode_texts(model_path, [t or "" for t in batch.column(1).to_pylist()])
-        ids = [np.fromstring(" ".join([*(x for x, _ in t), *tail]), dtype=np.int32, sep=" ") for t in coded]
-        edges = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(ids)))], names=["id", "ids"])
+        ids, edges = encode_texts(model_path, [t or "" for t in batch.column(1).to_pylist()])
+        if end:
+            ids, edges = _with_end(ids, edges, model(model_path).end)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32()))], names=["id", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return over_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), one, f"id {kind}, ids array<int>")
@@ -248,16 +273,11 @@ def encode_and_check(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
     itself, as they do unless it holds the sign that stands for a space. Null counts as empty."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        of = model(model_path)
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        coded = encode_texts(model_path, texts)
-        back = {x: b"".join([of.raw[int(i)] for i in x.split()]) for x in {x for t in coded for x, _ in t}}
-        exact = [b"".join([back[x] for x, _ in t])[1:] == text.encode("utf-8", "surrogatepass") for t, text in zip(coded, texts)]
-        ids = [np.fromstring(" ".join([*(x for x, _ in t), str(of.end)]), dtype=np.int32, sep=" ") for t in coded]
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(ids)))
-        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes), pa.array(exact)], names=["id", "ids", "n_tokens", "exact"])
+        of, texts = model(model_path), [t or "" for t in batch.column(1).to_pylist()]
+        ids, edges = encode_texts(model_path, texts)
+        exact = [b"".join(map(of.raw.__getitem__, ids[lo:hi].tolist()))[1:] == t.encode("utf-8", "surrogatepass") for t, lo, hi in zip(texts, edges, edges[1:])]
+        ids, edges = _with_end(ids, edges, of.end)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(edges)), pa.array(exact)], names=["id", "ids", "n_tokens", "exact"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return over_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), one, f"id {kind}, ids array<int>, n_tokens bigint, exact boolean")
@@ -277,34 +297,29 @@ def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     """One row per input row: the id as ``id``, ``n_tokens`` (with the end id), ``ids_sha256`` and
     ``decoded_sha256``, the digests of the decimal ids joined by one space and of the decoded text.
 
-    The decoded text comes from the ids, by the segment's ids once for each distinct segment.
-    Null counts as empty.
+    Encoded texts decode to their ids' bytes but for the first space: the bytes of a character that has
+    no piece are all there, in order. Null counts as empty.
     """
 
     def one(batch: pa.RecordBatch) -> dict[str, list]:
         of = model(model_path)
-        coded = encode_texts(model_path, [t or "" for t in batch.column(1).to_pylist()])
-        back: dict[str, bytes] = {}
-        n, ids, text = [], [], []
-        for t in coded:
-            n.append(sum(k for _, k in t) + 1)
-            ids.append(sha256_hex(" ".join([*(x for x, _ in t), str(of.end)]).encode()))
-            # Byte pieces of one character never lie in two segments, so segments decode one by one.
-            raw = bytearray()
-            for x, _ in t:
-                part = back.get(x)
-                if part is None:
-                    part = back[x] = b"".join([of.raw[int(i)] for i in x.split()])
-                raw += part
-            raw = bytes(raw)
-            text.append(sha256_hex(raw[1:] if raw.startswith(b" ") and t else raw))
-        return {"id": batch.column(0).to_pylist(), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": text}
+        ids, edges = _with_end(*encode_texts(model_path, [t or "" for t in batch.column(1).to_pylist()]), of.end)
+        each = [ids[lo:hi].tolist() for lo, hi in zip(edges, edges[1:])]
+        return {
+            "id": batch.column(0).to_pylist(),
+            "n_tokens": np.diff(edges),
+            "ids_sha256": [sha256_hex("".join(map(of.written.__getitem__, x))[1:].encode()) for x in each],
+            "decoded_sha256": [sha256_hex(b"".join(map(of.raw.__getitem__, x))[1:]) for x in each],
+        }
 
     kind = df.schema[id_col].dataType.simpleString()
     return over_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), one, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``round_trip`` of every document: doc_id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts
+    have the end id alone and decode to nothing; null and repeated ids give their rows; very long texts
+    are encoded whole, a segment at a time; an empty table gives no rows; other columns are not read."""
     import public_tokenizers
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
