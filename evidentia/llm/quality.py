@@ -1,18 +1,19 @@
 """Quality classifier: a weak-label model and a hashed linear scorer.
 
 Overlapping heuristic labellers (and the human labels, one more labeller) vote 1, 0 or nothing on two
-questions: is the text low in quality, is it toxic. Expectation-maximisation over the counts of vote
-patterns, which cover all documents, estimates how often each labeller is right, and so the posterior
-of every pattern. Posteriors of a bounded sample of labelled documents train two sparse linear scorers
-over hashed words, word beginnings and text shapes; these score every document.
+questions: is the text low in quality, is it toxic. Some look at the text's shape, one at a short list
+of insults, and some at words and word beginnings that go with the human label in a bounded sample,
+whatever the language. Expectation-maximisation over the counts of vote patterns, which cover all
+documents, estimates how often each labeller is right, and so the posterior of every pattern.
+Posteriors of the sample train two sparse linear scorers over hashed words, word beginnings and text
+shapes; these score every document. Texts are taken apart in numpy, many at a time.
 """
 
 from __future__ import annotations
 
 import math
-import re
-import zlib
-from functools import lru_cache
+from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -20,65 +21,155 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, over_batches, table
+from evidentia.llm.common import CHUNK_BYTES, SPACE, as_bytes, cut, mix64, over_batches, table
 
-#: Labelled documents that the scorers are fitted on, at most; chosen by a hash of the id.
+#: Documents that the scorers and the labellers' word lists are fitted on, at most: labelled ones
+#: first, by a hash of the id.
 SAMPLE = 20_000
-FEATURES = 1 << 20
+#: Hashed features of a kind: words, and their first 4, 5 and 6 bytes; then bins of the text's shape.
+KIND, BEGINNINGS, BINS = 1 << 19, (4, 5, 6), 256
+FEATURES = (1 + len(BEGINNINGS)) * KIND + BINS
 
 # Words that insult.
-INSULTS_A = {"idiot", "moron", "stupid", "loser", "imbecile", "dumb", "fool", "coward"}
-INSULTS_B = {"scum", "trash", "pathetic", "worthless", "disgusting", "clown", "garbage", "vermin"}
+INSULTS = ("idiot", "moron", "stupid", "loser", "imbecile", "dumb", "fool", "coward", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "garbage", "vermin")
 
-_WORD = re.compile(r"[^\W\d_]+")
-_SIGNS = frozenset("!#$%&*|@^~<>={}[]\\")
 QUESTIONS = ("low", "toxic")
 
+_SIGN, _LETTER, _UPPER, _LOWER = (np.zeros(256, dtype=bool) for _ in range(4))
+_SIGN[list(b"!#$%&*|@^~<>={}[]\\")] = True
+_UPPER[65:91] = _LOWER[97:123] = True
+_LETTER[128:] = True
+_LETTER |= _UPPER | _LOWER
+#: What a letter adds to its word's hash, A-Z as a-z, and one odd multiplier for each place in a word.
+_VALUE = np.where(_LETTER, np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + 1, 0).astype(np.uint64)
+_PLACE = np.random.Generator(np.random.PCG64(61)).integers(1, 2**63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+#: Shares of a text, as columns of ``Parsed.shape``: tokens that end in a sign, that are a bar, words in
+#: capitals, tokens that begin with a letter, lines that occurred before, tokens like the one before;
+#: then tokens and their mean length.
+SHARES = ("signs", "bars", "upper", "alpha", "again", "echo", "words", "long")
+
+
+@dataclass
+class Parsed:
+    """Features of several texts: entries (text, feature), not yet distinct, and a row of shares for each text."""
+
+    text: np.ndarray
+    feature: np.ndarray
+    shape: np.ndarray
+
+
+def parse(texts: list[bytes]) -> Parsed:
+    """Words are runs of ASCII letters and bytes from 128 on; tokens are parted by white space."""
+    n = len(texts)
+    data = np.frombuffer(b"\n".join([b"", *texts, b""]), dtype=np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    letter = _LETTER[data]
+    change = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    first, last = change[::2], change[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    if len(first):
+        place = np.arange(len(data), dtype=np.int32)
+        place -= np.repeat(np.concatenate(([0], first)).astype(np.int32), np.diff(np.concatenate(([0], first, [len(data)]))))
+        np.cumsum(_VALUE[data] * _PLACE[place & 1023], out=sums[1:])
+    owner, size = np.searchsorted(ends, first), last - first
+    text, feature = [owner], [_slot(sums[last] - sums[first], 0)]
+    for kind, k in enumerate(BEGINNINGS, 1):
+        long = size > k
+        text.append(owner[long])
+        feature.append(_slot(sums[first[long] + k] - sums[first[long]], kind))
+    shape = np.zeros((n, len(SHARES)))
+    token = ~SPACE[data]
+    change = np.flatnonzero(token[1:] != token[:-1]) + 1
+    first, last = change[::2], change[1::2]
+    owner = np.searchsorted(ends, first)
+    count = lambda some: np.bincount(owner[some], minlength=n)
+    tokens, starts = count(slice(None)), letter[first]
+    few = np.maximum(tokens, 1)
+    upper, lower = (np.concatenate(([0], np.cumsum(x[data]))) for x in (_UPPER, _LOWER))
+    words = count(starts)
+    shape[:, 0] = count(_SIGN[data[last - 1]]) / few
+    shape[:, 1] = count((last - first == 1) & (data[first] == 124)) / few
+    shape[:, 2] = count(starts & (last - first > 1) & (upper[last] > upper[first]) & (lower[last] == lower[first])) / np.maximum(words, 1)
+    shape[:, 3] = words / few
+    for i, t in enumerate(texts):
+        lines = [x for x in t.split(b"\n") if x]
+        parts = t.split()
+        shape[i, 4] = 1 - len(set(lines)) / max(1, len(lines))
+        shape[i, 5] = sum(map(eq, parts, parts[1:])) / few[i]
+    shape[:, 6] = tokens
+    shape[:, 7] = np.bincount(owner, weights=last - first, minlength=n) / few
+    bins = np.concatenate(((10 * shape[:, :6]).astype(int) + 11 * np.arange(6), np.minimum(np.log2(1 + shape[:, 6:7]), 31).astype(int) + 66, np.minimum(shape[:, 7:], 31).astype(int) + 98), axis=1)
+    text.append(np.repeat(np.arange(n), 9))
+    feature.append(FEATURES - BINS + np.concatenate((bins, np.full((n, 1), BINS - 1)), axis=1).ravel())
+    return Parsed(np.concatenate(text), np.concatenate(feature), shape)
+
+
+def _slot(h: np.ndarray, kind: int) -> np.ndarray:
+    return kind * KIND + (mix64(h) % np.uint64(KIND)).astype(np.int64)
+
+
+def distinct(p: Parsed, n: int) -> list[np.ndarray]:
+    """The distinct features of each text, in order."""
+    entry = np.unique(p.text * FEATURES + p.feature)
+    return np.split(entry % FEATURES, np.searchsorted(entry // FEATURES, np.arange(1, n))) if n else []
+
+
+#: Of each question, the labellers that look at lists made from the sample: by kind of feature.
+MINED = {"low": (0,), "toxic": (0, 1, 2, 3)}
+#: Fewest sampled texts of the class that hold a feature of such a list.
+SEEN = 4
+
+
+def shape_votes(shape: np.ndarray) -> list[str]:
+    """The votes of those labellers on quality that look at the text's shape: "1" for low, "0" for not,
+    "-" for no opinion. Each looks for one fault; the last one votes for texts with no trace of any."""
+    if not len(shape):
+        return []
+    s = dict(zip(SHARES, shape.T))
+    faults = [s["signs"] > 0.25, s["upper"] > 0.6, s["bars"] > 0.15, (s["again"] > 0.5) & (s["words"] > 20), s["echo"] > 0.2, s["alpha"] < 0.6]
+    sound = (s["signs"] < 0.02) & (s["upper"] < 0.1) & (s["bars"] == 0) & (s["again"] < 0.2) & (s["echo"] < 0.02) & (s["alpha"] > 0.8)
+    return ["".join(row) for row in np.stack([*(np.where(f, "1", "-") for f in faults), np.where(sound, "0", "-")], axis=1)]
+
+
+def list_votes(lists: dict[str, list[np.ndarray]], n: int, text: np.ndarray, feature: np.ndarray) -> dict[str, list[str]]:
+    """For each question, the votes of its labellers that look at lists of features, from distinct
+    entries (text, feature): "1" if at least two features are in the list, or a hundredth of the text's
+    words, else no opinion; and of one that votes "0" where no list has any."""
+    out, words = {}, np.bincount(text[feature < KIND], minlength=n)
+    for q in QUESTIONS:
+        hits = np.stack([np.bincount(text[some[feature]], minlength=n) for some in lists[q]], axis=1)
+        cast = np.where((hits > 1) | (100 * hits > words[:, None]), "1", "-")
+        none = np.where((hits == 0).all(axis=1), "0", "-")
+        out[q] = ["".join(row) for row in np.concatenate((cast, none[:, None]), axis=1)]
+    return out
+
+
+def insult_list() -> np.ndarray:
+    some = np.zeros(FEATURES, dtype=bool)
+    p = parse([" ".join(INSULTS).encode()])
+    some[p.feature[p.feature < KIND]] = True
+    return some
 
-def shape(text: str) -> dict[str, float]:
-    """Shares that the labellers and the scorer look at."""
-    tokens = text.split()
-    n = max(1, len(tokens))
-    letters = [t for t in tokens if t[:1].isalpha()]
-    lines = [x for x in text.split("\n") if x]
-    return {
-        "signs": sum(t[-1] in _SIGNS for t in tokens) / n,
-        "bars": sum(t == "|" for t in tokens) / n,
-        "upper": sum(t.isupper() and len(t) > 1 for t in letters) / max(1, len(letters)),
-        "alpha": len(letters) / n,
-        "again": 1 - len(set(lines)) / max(1, len(lines)),
-        "echo": sum(map(str.__eq__, tokens, tokens[1:])) / n,
-        "words": float(len(tokens)),
-        "long": sum(map(len, tokens)) / n,
-    }
-
-
-def votes(text: str) -> str:
-    """One character for each labeller: first those on quality, then those on toxicity; "1" for low or
-    toxic, "0" for not, "-" for no opinion."""
-    s = shape(text)
-    words = set(_WORD.findall(text.lower()))
-    out = [
-        "1" if s["signs"] > 0.25 else "0" if s["signs"] < 0.02 else "-",
-        "1" if s["upper"] > 0.6 else "0" if s["upper"] < 0.1 else "-",
-        "1" if s["bars"] > 0.15 else "0" if s["bars"] == 0 else "-",
-        "1" if s["again"] > 0.5 and s["words"] > 20 else "-",
-        "1" if s["echo"] > 0.2 else "0" if s["echo"] < 0.02 else "-",
-        "1" if s["alpha"] < 0.6 else "0" if s["alpha"] > 0.8 else "-",
-        "1" if words & INSULTS_A else "-",
-        "1" if words & INSULTS_B else "-",
-        "1" if len(words & (INSULTS_A | INSULTS_B)) > 1 else "-",
-    ]
-    return "".join(out)
-
-
-LABELLERS = {"low": (0, 6), "toxic": (6, 9)}
+
+def to_lists(mined: dict[str, np.ndarray]) -> dict[str, list[np.ndarray]]:
+    """The lists of each question's labellers, as a mark for each feature."""
+    out: dict[str, list[np.ndarray]] = {"low": [], "toxic": [insult_list()]}
+    for q in QUESTIONS:
+        for kind in MINED[q]:
+            some = np.zeros(FEATURES, dtype=bool)
+            of = mined.get(q, np.zeros(0, np.int64))
+            some[of[of // KIND == kind]] = True
+            out[q].append(some)
+    return out
 
 
 def posteriors(patterns: list[tuple[str, int]], rounds: int = 60) -> dict[str, float]:
     """P(1) of every vote pattern, from the patterns' counts, by expectation-maximisation of a model in
     which labellers err independently given the truth. The last vote is the human one and, where cast,
-    settles the truth but for one case in a hundred. No patterns give no posteriors."""
+    settles the truth but for one case in a hundred; if both answers occur, the first round learns from
+    those cases alone, so that it starts from the labellers' measured accuracies. No opinion is no
+    evidence. No patterns give no posteriors."""
     if not patterns:
         return {}
     names = [p for p, _ in patterns]
@@ -89,51 +180,34 @@ def posteriors(patterns: list[tuple[str, int]], rounds: int = 60) -> dict[str, f
     p = np.where(cast > 0, (positive + 0.1) / (cast + 0.5), 0.05)
     p = np.where((positive > 0) & (p < 0.5), 0.5 + p / 2, p)
     p = np.where(vote[:, -1] == 0, p, np.where(vote[:, -1] == 2, 0.99, 0.01))
-    for _ in range(rounds):
-        prior = np.clip((count * p).sum() / count.sum(), 1e-4, 1 - 1e-4)
+    told = {"0", "1"} <= {x[-1] for x in names}
+    for k in range(rounds):
+        mass = np.where(vote[:, -1] > 0, count, 0.0) if told and k == 0 else count
+        prior = np.clip((mass * p).sum() / mass.sum(), 1e-4, 1 - 1e-4)
         odds = np.full(len(names), math.log(prior / (1 - prior)))
         for j in range(vote.shape[1] - 1):
-            yes = np.array([(count * p)[vote[:, j] == v].sum() + 0.5 for v in range(3)])
-            no = np.array([(count * (1 - p))[vote[:, j] == v].sum() + 0.5 for v in range(3)])
-            odds += (np.log(yes / yes.sum()) - np.log(no / no.sum()))[vote[:, j]]
+            yes = np.array([(mass * p)[vote[:, j] == v].sum() + 0.5 for v in range(3)])
+            no = np.array([(mass * (1 - p))[vote[:, j] == v].sum() + 0.5 for v in range(3)])
+            odds += np.where(vote[:, j] > 0, (np.log(yes / yes.sum()) - np.log(no / no.sum()))[vote[:, j]], 0.0)
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         p = np.where(vote[:, -1] == 0, p, np.where(vote[:, -1] == 2, 0.99, 0.01))
     return dict(zip(names, p.tolist()))
 
 
-@lru_cache(maxsize=80_000)
-def word_features(word: str) -> tuple[int, ...]:
-    names = ["w:" + word, *(f"b{k}:" + word[:k] for k in (4, 5, 6) if len(word) > k)]
-    return tuple(64 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (FEATURES - 64) for x in names)
-
-
-def text_features(text: str) -> set[int]:
-    """Hashed words, their beginnings and the text's shares in tenths, each once."""
-    out: set[int] = {0}
-    for w in set(_WORD.findall(text.lower())):
-        out.update(word_features(w))
-    s = shape(text)
-    for name in ("signs", "bars", "upper", "alpha", "again", "echo"):
-        out.add(64 + zlib.crc32(f"{name}:{int(10 * s[name])}".encode()) % (FEATURES - 64))
-    for name, v in (("words", math.log2(1 + s["words"])), ("long", s["long"])):
-        out.add(64 + zlib.crc32(f"{name}:{int(min(v, 30))}".encode()) % (FEATURES - 64))
-    return out
-
-
 def associated(rows: list[np.ndarray], target: np.ndarray, sure: float = 2.5, least: float = 1.0) -> np.ndarray:
     """Which features go with the answer 1: the log ratio of their rates in both classes, less ``sure``
-    standard errors, passes ``least``. Feature 0, the constant, always counts."""
+    standard errors, passes ``least``. The last feature, the constant, always counts."""
     joined = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     weight = np.repeat(target, [len(r) for r in rows])
     yes = np.bincount(joined, weights=weight, minlength=FEATURES)
     no = np.bincount(joined, weights=1 - weight, minlength=FEATURES)
     ratio = np.log((yes + 0.5) / (target.sum() + 1)) - np.log((no + 0.5) / (len(target) - target.sum() + 1))
     good = ratio - sure * np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5)) > least
-    good[0] = True
+    good[-1] = True
     return good
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray, steps: int = 60_000, alpha: float = 0.3, l1: float = 0.05, l2: float = 0.5) -> dict[int, float]:
+def fit(rows: list[np.ndarray], target: np.ndarray, steps: int = 60_000, alpha: float = 0.3, l1: float = 0.05, l2: float = 0.5) -> np.ndarray:
     """Weights of a logistic scorer over associated features by follow-the-regularised-leader, sparse
     by its l1 term. The same rows in the same order give the same weights."""
     good = associated(rows, target)
@@ -146,85 +220,127 @@ def fit(rows: list[np.ndarray], target: np.ndarray, steps: int = 60_000, alpha:
             g = 1 / (1 + math.exp(-max(-30.0, min(30.0, w.sum())))) - y
             z[x] = zx + g - (np.sqrt(n[x] + g * g) - root) / alpha * w
             n[x] += g * g
-    live = np.flatnonzero(np.abs(z) > l1)
-    w = -(z[live] - np.sign(z[live]) * l1) / ((1 + np.sqrt(n[live])) / alpha + l2)
-    return dict(zip(live.tolist(), w.tolist()))
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((1 + np.sqrt(n)) / alpha + l2))
 
 
-Weights = dict[str, dict[int, float]]
+#: A weight for each feature, by question; none if there was nothing to learn from.
+Weights = dict[str, np.ndarray]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Weights:
     """Scorers for both questions from documents and human labels (``id_col``, ``quality``, ``toxic``;
     0, 1 or null; the larger of repeated labels counts).
 
-    Vote patterns are counted over all documents. The fit sees at most ``sample`` documents, those with
-    human labels first, in one task. Without documents the scorers are empty and reject nothing.
+    Vote patterns are counted over all documents, null texts as empty. Word lists and scorers are fitted
+    on at most ``sample`` documents, those with human labels first, in one task; of rows with one id,
+    the least text counts; rows without an id are voted on, not fitted on. Without documents there are
+    no weights and nothing is rejected. Very long texts are taken apart whole, a row at a time.
     """
+    spark = docs.sparkSession
     given = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((1 - F.max("quality")).alias("low"), F.max("toxic").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["id"]
+    human = lambda c: F.coalesce(F.col(c).cast("int").cast("string"), F.lit("-"))
+    marked = lambda df: df.join(given, "id", "left").withColumns({q: human(q) for q in QUESTIONS})
 
-    def vote(batch: pa.RecordBatch) -> dict[str, list]:
-        return {"id": batch.column(0).to_pylist(), "votes": [votes(t) for t in batch.column(1).to_pylist()]}
+    unlabelled = ((F.col("low") == "-") & (F.col("toxic") == "-")).cast("int")
+    ids = rows.where("id is not null").select("id").distinct()
+    chosen = marked(ids).select("id", "low", "toxic", F.xxhash64("id").alias("place"), unlabelled.alias("last")).orderBy("last", "place", "id").limit(sample)
+    sampled = rows.join(F.broadcast(chosen.drop("last")), "id").groupBy("id", "low", "toxic", "place").agg(F.min("text").alias("text"))
 
-    human = lambda c: F.coalesce(F.col(c).cast("int").cast("string"), F.lit("-"))
-    voted = cut(over_batches(rows, vote, f"id {kind}, votes string").join(given, "id", "left").select("id", "votes", human("low").alias("low"), human("toxic").alias("toxic")))
-    counts = voted.groupBy("votes", "low", "toxic").count().collect()  # one row for each pattern that occurs
+    def featured(batch: pa.RecordBatch) -> dict[str, list]:
+        texts = as_bytes(batch.column(4))
+        p = parse(texts)
+        out = {n: batch.column(i).to_pylist() for i, n in enumerate(("id", "low", "toxic", "place"))}
+        return out | {"shape": shape_votes(p.shape), "x": [x.astype(np.int32).tobytes() for x in distinct(p, len(texts))]}
+
+    fitted_on = cut(over_batches(sampled, featured, f"id {kind}, low string, toxic string, place bigint, shape string, x binary")).withColumn("one", F.lit(0))
+
+    def mine(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"question": [], "feature": []}).astype({"question": str, "feature": int})]
+        for q in QUESTIONS:
+            with_label = pdf[pdf[q] != "-"]
+            x = [np.frombuffer(b, dtype=np.int32) for b in with_label["x"]]
+            y = (with_label[q] == "1").to_numpy(float)
+            seen = np.bincount(np.concatenate([r for r, one in zip(x, y) if one] or [np.zeros(0, int)]), minlength=FEATURES)
+            good = np.flatnonzero(associated(x, y) & (seen >= SEEN))
+            out.append(pd.DataFrame({"question": q, "feature": good[good < FEATURES - BINS]}))
+        return pd.concat(out)
+
+    found = fitted_on.groupBy("one").applyInPandas(mine, "question string, feature int").collect()  # a row for each listed feature
+    mined = spark.sparkContext.broadcast({q: np.array(sorted(r.feature for r in found if r.question == q), dtype=np.int64) for q in QUESTIONS})
+
+    def vote(batch: pa.RecordBatch) -> dict[str, list]:
+        texts = as_bytes(batch.column(1))
+        p = parse(texts)
+        entry = np.unique(p.text * FEATURES + p.feature)
+        cast = list_votes(_kept(mined, to_lists), len(texts), entry // FEATURES, entry % FEATURES)
+        return {"id": batch.column(0).to_pylist(), "low_votes": [a + b for a, b in zip(shape_votes(p.shape), cast["low"])], "toxic_votes": cast["toxic"]}
+
+    voted = marked(over_batches(rows, vote, f"id {kind}, low_votes string, toxic_votes string"))
+    counts = voted.groupBy("low_votes", "toxic_votes", "low", "toxic").count().collect()  # one row for each pattern that occurs
     belief = {}
     for q in QUESTIONS:
-        a, b = LABELLERS[q]
         total: dict[str, int] = {}
         for r in counts:
-            key = r.votes[a:b] + r[q]
+            key = r[f"{q}_votes"] + r[q]
             total[key] = total.get(key, 0) + r["count"]
         belief[q] = posteriors(sorted(total.items()))
-    unlabelled = ((F.col("low") == "-") & (F.col("toxic") == "-")).cast("int")
-    chosen = voted.where("id is not null").select("id", "votes", "low", "toxic", F.xxhash64("id").alias("place"), unlabelled.alias("last")).orderBy("last", "place", "id").limit(sample)
-
-    def featured(batch: pa.RecordBatch) -> dict[str, list]:
-        out = {n: batch.column(i).to_pylist() for i, n in enumerate(("id", "votes", "low", "toxic", "place"))}
-        return out | {"x": [np.array(sorted(text_features(t)), dtype=np.int32).tobytes() for t in batch.column(5).to_pylist()]}
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["place", "id"])
         x = [np.frombuffer(b, dtype=np.int32) for b in pdf["x"]]
+        cast = list_votes(to_lists(mined.value), len(x), np.repeat(np.arange(len(x)), [len(r) for r in x]), np.concatenate(x))
         out = []
         for q in QUESTIONS:
-            a, b = LABELLERS[q]
-            y = np.array([belief[q].get(v[a:b] + h, 0.5) for v, h in zip(pdf["votes"], pdf[q])])
-            w = fit(x, y)
-            out.append(pd.DataFrame({"question": q, "feature": list(w), "weight": list(w.values())}))
+            own = [a + b for a, b in zip(pdf["shape"], cast[q])] if q == "low" else cast[q]
+            w = fit(x, np.array([belief[q].get(v + h, 0.5) for v, h in zip(own, pdf[q])]))
+            live = np.flatnonzero(w)
+            out.append(pd.DataFrame({"question": q, "feature": live, "weight": w[live]}))
         return pd.concat(out)
 
-    sampled = rows.join(F.broadcast(chosen.drop("last")), "id").dropDuplicates(["id"]).select("id", "votes", "low", "toxic", "place", "text")
-    with_features = over_batches(sampled, featured, f"id {kind}, votes string, low string, toxic string, place bigint, x binary")
-    learnt = with_features.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(learn, "question string, feature int, weight double").collect()
-    return {q: {r.feature: r.weight for r in learnt if r.question == q} for q in QUESTIONS}
+    learnt = fitted_on.groupBy("one").applyInPandas(learn, "question string, feature int, weight double").collect()  # at most a row for each feature
+    weights = {}
+    for q in QUESTIONS:
+        if of := [r for r in learnt if r.question == q]:
+            weights[q] = np.zeros(FEATURES, np.float32)
+            weights[q][[r.feature for r in of]] = [r.weight for r in of]
+    return weights
+
+
+def _kept(shared, make):  # noqa: ANN001, ANN202
+    """What ``make`` makes of a broadcast value, made once in a worker and gone with the value."""
+    value = shared.value
+    if "made" not in value:
+        value["made"] = make({k: v for k, v in value.items()})
+    return value["made"]
+
+
+def log_odds(weights: Weights, texts: list[bytes]) -> dict[str, np.ndarray]:
+    """For both questions, the log odds of each text; minus 30 without weights and for empty texts."""
+    p, n = parse(texts), len(texts)
+    out = {q: np.full(n, -30.0) for q in QUESTIONS}
+    some = np.array([len(t) > 0 for t in texts], dtype=bool)
+    for q, w in weights.items():
+        live = w[p.feature] != 0
+        entry = np.unique(p.text[live] * FEATURES + p.feature[live])
+        s = np.bincount(entry // FEATURES, weights=w[entry % FEATURES], minlength=n)
+        out[q] = np.where(some, np.clip(s, -30, 30), -30.0)
+    return out
 
 
 def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id as ``id``, ``quality`` and ``toxic`` (probabilities) and ``keep``,
     true unless the text is rather low in quality or toxic than not. Null and empty texts are kept with
-    quality 1 and toxicity 0: nothing speaks against them. One pass without a shuffle; the weights are
-    bounded by the number of hashed features."""
+    quality 1 and toxicity 0: nothing speaks against them. Null and repeated ids give their rows; an
+    empty table gives none. One pass without a shuffle; the weights are bounded by the number of
+    hashed features."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def one(batch: pa.RecordBatch) -> dict[str, list]:
-        w = shared.value
-        out: dict[str, list] = {"id": batch.column(0).to_pylist(), "quality": [], "toxic": [], "keep": []}
-        for t in batch.column(1).to_pylist():
-            p = dict.fromkeys(QUESTIONS, 0.0)
-            if t:
-                x = text_features(t)
-                for q in QUESTIONS:
-                    of = w[q]
-                    s = sum([of[f] for f in x if f in of]) if of else -30.0
-                    p[q] = 1 / (1 + math.exp(-max(-30.0, min(30.0, s))))
-            out["quality"].append(1 - p["low"])
-            out["toxic"].append(p["toxic"])
-            out["keep"].append(p["low"] < 0.5 and p["toxic"] < 0.5)
-        return out
+        s = log_odds(shared.value, as_bytes(batch.column(1)))
+        p = {q: np.where(x > -30, 1 / (1 + np.exp(-x)), 0.0) for q, x in s.items()}
+        return {"id": batch.column(0).to_pylist(), "quality": 1 - p["low"], "toxic": p["toxic"], "keep": (p["low"] < 0.5) & (p["toxic"] < 0.5)}
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return over_batches(rows, one, f"id {dict(rows.dtypes)['id']}, quality double, toxic double, keep boolean")
@@ -236,15 +352,17 @@ def filter_documents(docs: DataFrame, weights: Weights, text_col: str = "text")
 
     @F.pandas_udf("boolean")
     def stays(texts: pd.Series) -> pd.Series:
-        w = shared.value
-
-        def one(t: str | None) -> bool:
-            if not t:
-                return True
-            x = text_features(t)
-            return all(not w[q] or sum([w[q][f] for f in x if f in w[q]]) < 0 for q in QUESTIONS)
-
-        return pd.Series([one(t) for t in texts], dtype=bool)
+        data = as_bytes(pa.array(texts, pa.string()))
+        out, at = [], 0
+        while at < len(data):
+            end, size = at, 0
+            while end < len(data) and (size == 0 or size + len(data[end]) <= CHUNK_BYTES):
+                size += len(data[end]) + 1
+                end += 1
+            s = log_odds(shared.value, data[at:end])
+            out.append(np.all([x < 0 for x in s.values()], axis=0))
+            at = end
+        return pd.Series(np.concatenate(out) if out else [], dtype=bool)
 
     return docs.where(stays(F.col(text_col).cast("string")))
 
