@@ -32,16 +32,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at a similarity of 0.8, the document with the least id
-    stays, once. Documents without an id, which no group can name, stay too."""
+    stays; of its rows with one text, the least by the other columns. Documents without an id, which no
+    group can name, stay too."""
     groups = jaccard_components(docs, size=5, percent=80)
     first = groups.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rest = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    named = docs.join(first, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("rest")).select("doc_id", "text", "rest.*")
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item. Documents without an id go by their text."""
-    key = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("text "), F.sha2(F.col("text").cast("binary"), 256)))
+    """Drops documents that hold a benchmark item. Rows go by id and text, as ids may be null or repeated."""
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     keyed = docs.withColumn("_key", key)
     leaked = find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").select(F.col("id").alias("_key")).distinct()
     return keyed.join(leaked, "_key", "left_anti").select(*docs.columns)
