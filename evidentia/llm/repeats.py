@@ -2,10 +2,11 @@
 
 Only the groups of equal suffixes to the depth ``length`` matter, not the whole order. Suffixes are
 dealt to tasks by anchors: a window of ``length`` bytes always holds the place whose short string has
-the least hash in it, and equal windows hold it at the same offset. So suffixes are first parted by
-anchor string and offset, then ordered by depth-limited radix passes, most significant digit first,
-where a digit is the fingerprint of the next 50 bytes or so. A suffix that is alone in its group
-leaves; the groups after the last digit are exactly the repeated windows.
+the least hash in it, and equal windows hold it at the same offset. A task orders the suffixes that
+start at its anchors by depth-limited radix passes over their bytes, most significant digit first,
+eight bytes a digit; suffixes that are alone leave. What lies before the anchors is ordered likewise,
+read backwards. The common lengths of neighbours in both orders give those of all pairs, so that a
+repeated window is one whose bytes before and after the anchor agree: judged on bytes, not on hashes.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from evidentia.llm.blocks import spread as spread_blocks
 from evidentia.llm.common import as_bytes, cut, mix64, over_batches, table
 
-#: Bytes of an anchor string; contexts in one task; members in one block of a hot anchor; windows
-#: sorted at once.
-ANCHOR, TASK, BLOCK, CELLS = 64, 8192, 1024, 500_000
+#: Bytes of an anchor string, at most; contexts in one task; members in one block of a hot anchor; pairs
+#: of contexts compared at once.
+ANCHOR, TASK, BLOCK, PAIRS = 24, 8192, 1024, 1 << 20
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -78,114 +79,151 @@ def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, F
     return at, grams[at], prints
 
 
-def twins(state: np.ndarray) -> np.ndarray:
-    """Which elements have an equal one in their row."""
-    if state.shape[1] == 2:
-        return np.repeat(state[:, :1] == state[:, 1:], 2, axis=1)
-    by = np.argsort(state, axis=1)
-    ordered = np.take_along_axis(state, by, axis=1)
-    same = ordered[:, 1:] == ordered[:, :-1]
-    again, out = np.zeros(state.shape, dtype=bool), np.zeros(state.shape, dtype=bool)
-    again[:, 1:] |= same
-    again[:, :-1] |= same
-    np.put_along_axis(out, by, again, axis=1)
+#: Bounds of 64-bit numbers with 1 to 8 bytes.
+_BYTES = np.array([1 << (8 * k) for k in range(1, 8)], dtype=np.uint64)
+
+
+def radix_order(digits: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows in the order of their digits within their group, groups in turn; for each but the first,
+    how many bytes it has in common with the one before it, 0 if that is of another group).
+
+    A row of ``digits`` holds a suffix, eight bytes a digit. One pass a digit, most significant first,
+    over the rows that are not yet alone."""
+    order = np.argsort(group, kind="stable")
+    bucket = group[order]
+    common = np.zeros(len(order), dtype=np.int16)
+    live = np.arange(len(order))
+    for d in range(digits.shape[1] + 1):
+        b = bucket[live]
+        edge = np.concatenate(([True], b[1:] != b[:-1])) if len(b) else np.zeros(0, bool)
+        crowd = np.diff(np.append(np.flatnonzero(edge), len(b))) > 1
+        some = np.repeat(crowd, np.diff(np.append(np.flatnonzero(edge), len(b))))
+        live, b, edge = live[some], b[some], edge[some]
+        if not len(live):
+            break
+        common[live[~edge]] = 8 * d
+        if d == digits.shape[1]:
+            break
+        digit = digits[order[live], d]
+        by = np.lexsort((digit, b))
+        order[live], digit = order[live][by], digit[by]
+        apart = np.flatnonzero(~edge[1:] & (digit[1:] != digit[:-1])) + 1
+        common[live[apart]] = 8 * d + 7 - np.searchsorted(_BYTES, digit[apart] ^ digit[apart - 1], side="right")
+        edge[apart] = True
+        bucket[live] = live[edge][np.cumsum(edge) - 1]
+        # From here on a bucket is named by its first place; places differ, so buckets do.
+    return order, common
+
+
+def _all_pairs(common: np.ndarray) -> np.ndarray:
+    """For groups by members in order, what members i and j have in common: the least of the common
+    bytes of neighbours between them. ``common`` holds each member's with the one before."""
+    g, m = common.shape
+    out = np.zeros((g, m, m), dtype=np.int16)
+    for i in range(m - 1):
+        out[:, i, i + 1 :] = out[:, i + 1 :, i] = np.minimum.accumulate(common[:, i + 1 :], axis=1)
     return out
 
 
-def repeated(contexts: list[bytes], key: np.ndarray, offset: np.ndarray, length: int, width: int, digits: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of a context, first byte, last byte and one) of what repeated windows cover in contexts.
+def _digits(parts: list[bytes], depth: int) -> np.ndarray:
+    width = -(-depth // 8) * 8
+    return np.frombuffer(b"".join([x.ljust(width, b"\0") for x in parts]), dtype=">u8").reshape(len(parts), -1).astype(np.uint64)
 
-    A context holds an anchor of fingerprint ``key`` at ``offset``; its windows start 0 to ``width``
-    bytes before that, and windows of one anchor and start are a row of the sort. Groups of as many
-    contexts are sorted together, row by row; a row in which no two agree in a digit is done.
+
+def repeated(contexts: list[bytes], key: np.ndarray, offset: np.ndarray, lengths: tuple[int, ...], left: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of the lengths: (index of a context, first byte, last byte and one) of what repeated
+    windows of that length cover in contexts.
+
+    A context holds an anchor of fingerprint ``key`` at ``offset``; its windows start 0 to ``left``
+    bytes before that. Contexts are compared with those of the same key.
     """
-    sizes = np.array([len(c) for c in contexts], dtype=np.int64)
-    begin = np.cumsum(sizes) - sizes
-    prints = Fingerprints(np.frombuffer(b"".join(contexts), np.uint8))
-    order = np.argsort(key, kind="stable")
-    edge = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0))) if len(order) else np.zeros(0, np.int64)
-    count = np.diff(np.concatenate((edge, [len(order)])))
-    cuts = [length * d // digits for d in range(digits + 1)]
-    digit = [prints.all_of(hi - lo, mixed=False) for lo, hi in zip(cuts, cuts[1:])] if sizes.sum() >= length else []
-    back = np.arange(width + 1)
-    out = []
-    for m in np.unique(count[count > 1]):
+    found = [[] for _ in lengths]
+    _, group = np.unique(key, return_inverse=True)
+    before = np.minimum(offset, left).astype(np.int16)
+    after = np.array([len(c) for c in contexts], dtype=np.int64) - offset
+    depth = int(after.max()) if len(after) else 0
+    ahead, with_ahead = radix_order(_digits([c[o:] for c, o in zip(contexts, offset.tolist())], depth), group)
+    back, with_back = radix_order(_digits([c[:o][::-1] for c, o in zip(contexts, offset.tolist())], max(left, int(before.max(initial=1)))), group)
+    after = after.astype(np.int16)
+    place = np.empty(len(back), dtype=np.int64)
+    place[back] = np.arange(len(back))
+    edge = np.flatnonzero(np.concatenate(([True], np.diff(group[ahead]) != 0))) if len(ahead) else np.zeros(0, np.int64)
+    count = np.diff(np.append(edge, len(ahead)))
+    for m in np.unique(count[count > 1]).tolist():
         groups = edge[count == m]
-        step = max(1, CELLS // (int(m) * (width + 1)))
+        step = max(1, PAIRS // (m * m))
         for g in range(0, len(groups), step):
-            member = order[groups[g : g + step, None] + np.arange(m)]  # groups by members
-            start = offset[member][:, None, :] - back[None, :, None]  # groups by starts by members
-            inside = (start >= 0) & (start + length <= sizes[member][:, None, :])
-            at = np.where(inside, begin[member][:, None, :] + start, 0).reshape(-1, m)
-            inside = inside.reshape(-1, m)
-            rows = np.flatnonzero(inside.sum(1) > 1)
-            if not len(rows):
-                continue
-            # Windows that do not fit agree with nothing.
-            odd, state = np.arange(1, m + 1, dtype=np.uint64), None
-            for lo, digit_at in zip(cuts, digit):
-                if not len(rows):
-                    break
-                live = inside[rows]
-                now = digit_at[np.where(live, at[rows] + lo, 0)]
-                state = np.where(live, now if state is None else mix64(state[rows] * _ROOT + now), odd)
-                twin = twins(state) & live
-                inside, full = np.zeros_like(inside), np.zeros(at.shape, dtype=np.uint64)
-                inside[rows], full[rows] = twin, state
-                state, rows = full, rows[twin.any(axis=1)]
-            hit = inside.reshape(len(member), width + 1, m)
-            some = hit.any(axis=1)
-            if some.any():
-                least, most = hit.argmax(axis=1), width - hit[:, ::-1].argmax(axis=1)
-                of = member[some]
-                # Windows around one anchor overlap, so that what they cover is one run.
-                out.append((of, offset[of] - most[some], offset[of] - least[some] + length))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def text_key(data: bytes) -> int:
-    return int.from_bytes(hashlib.md5(data).digest()[:8], "little", signed=True)
-
-
-def covered(df: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
-    """Columns ``c`` (64-bit digest of a distinct text's bytes) and ``spans``, its covered runs as an
-    array of (first, last and one) in byte order, for the texts that have any, judged among distinct texts.
+            start = groups[g : g + step, None]
+            member = ahead[start + np.arange(m)]  # groups by members, in the order of what follows
+            right = _all_pairs(with_ahead[start + np.arange(m)])
+            lefts = _all_pairs(with_back[start + np.arange(m)])
+            at = place[member] - start
+            lefts = lefts[np.arange(len(member))[:, None, None], at[:, :, None], at[:, None, :]]
+            # Suffixes were filled up with zero bytes: no two have more in common than the shorter one has.
+            right = np.minimum(right, np.minimum(after[member][:, :, None], after[member][:, None, :]))
+            lefts = np.minimum(lefts, np.minimum(before[member][:, :, None], before[member][:, None, :]))
+            itself = np.arange(m)
+            right[:, itself, itself] = lefts[:, itself, itself] = 0
+            both = right + lefts
+            for out, length in zip(found, lengths):
+                hit = both >= length
+                some = hit.any(axis=2)
+                if some.any():
+                    of = member[some]
+                    # Windows around one anchor overlap, so that what they cover is one run.
+                    out.append((of, offset[of] - np.where(hit, lefts, 0).max(axis=2)[some], offset[of] + np.where(hit, right, 0).max(axis=2)[some]))
+    none = (np.zeros(0, np.int64),) * 3
+    return [tuple(np.concatenate(x) for x in zip(*out)) if out else none for out in found]
+
+
+def text_key(data: bytes) -> bytes:
+    return hashlib.md5(data).digest()
+
+
+def covered(df: DataFrame, lengths: tuple[int, ...] = (400,), text_col: str = "text") -> DataFrame:
+    """Columns ``c`` (digest of a distinct text's bytes) and ``spans0``, ``spans1``, ...: for each of the
+    lengths, the text's covered runs as an array of (first, last and one) in byte order, empty if none;
+    for the texts that have any, judged among distinct texts.
 
     A string of ``length`` bytes counts if it starts at another place too, in the same text or another
-    one; overlapping places count, and matches never cross texts. Null counts as empty.
+    one; overlapping places count, and matches never cross texts. Null counts as empty. Contexts that
+    agree in the 64-bit fingerprints of their anchor and of themselves count as equal; all else is
+    compared by bytes.
     """
-    if length < 2:
-        raise ValueError("strings have two bytes at least")
-    k = min(ANCHOR, max(1, length // 2))
-    left = length - k
-    texts = df.select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= length)
+    least, most = min(lengths), max(lengths)
+    if least < 2 or most > 4095:
+        raise ValueError("strings have 2 to 4095 bytes")
+    k = min(ANCHOR, max(1, least // 2))
+    left = most - k
+    texts = df.select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= least)
 
     def found(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {"c": [], "marks": []}
         for data in as_bytes(batch.column(0)):
-            at, gram, prints = anchors(data, length, k)
-            lo, hi = np.maximum(0, at - left), np.minimum(len(data), at + length)
+            at, gram, prints = anchors(data, least, k)
+            lo, hi = np.maximum(0, at - left), np.minimum(len(data), at + most)
             around = mix64(prints.of(lo, hi) * _ROOT + (at - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64))
             out["c"].append(text_key(data))
-            out["marks"].append(np.stack((gram.view(np.int64), around.view(np.int64), at, hi)).tobytes())
+            out["marks"].append(np.stack((gram.view(np.int64), around.view(np.int64), at << 12 | hi - at)).tobytes())
         return out
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        marks = [np.frombuffer(x, np.int64).reshape(4, -1) for x in batch.column(1).to_pylist()]
-        c = np.repeat(batch.column(0).to_numpy(), [m.shape[1] for m in marks])
-        h, x, at, hi = np.concatenate(marks, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (c, h, x)] + [pa.array(v.astype(np.int32), pa.int32()) for v in (at, hi)], names=["c", "h", "x", "at", "hi"])
+        marks = [np.frombuffer(x, np.int64).reshape(3, -1) for x in batch.column(1).to_pylist()]
+        times = np.repeat(np.arange(len(marks)), [m.shape[1] for m in marks])
+        h, x, at = np.concatenate(marks, axis=1)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(times)), pa.array(h), pa.array(x), pa.array((at >> 12).astype(np.int32)), pa.array((at & 4095).astype(np.int32))], names=["c", "h", "x", "at", "ahead"])
 
-    marks = over_batches(over_batches(texts, found, "c bigint, marks binary").dropDuplicates(["c"]), spread, "c bigint, h bigint, x bigint, at int, hi int")
-    twice = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    marks = cut(marks.join(twice.select("h"), "h"))
+    once = cut(over_batches(texts, found, "c binary, marks binary").dropDuplicates(["c"]))
+    marks = over_batches(once, spread, "c binary, h bigint, x bigint, at int, ahead int")
+    # Written, so that the join reads plain tables on either side and Spark may split a hot anchor's rows.
+    twice = cut(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    marks = cut(marks.join(twice, "h"))
 
     # Equal contexts cover all of each other. One of each kind then stands for it.
     kinds = cut(marks.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct("c", "at")).alias("one")))
-    whole = marks.join(kinds.where("n > 1").select("h", "x"), ["h", "x"]).select("c", F.greatest(F.lit(0), F.col("at") - left).alias("first"), F.col("hi").alias("last")).where(F.col("last") - F.col("first") >= length)
-    open_groups = kinds.groupBy("h").agg(F.count("*").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1").select("h", "n")
+    first, last = F.greatest(F.lit(0), F.col("at") - left), F.col("at") + F.col("ahead")
+    whole = marks.join(kinds.where("n > 1").select("h", "x"), ["h", "x"]).select("c", first.alias("first"), last.alias("last"))
+    open_groups = cut(kinds.groupBy("h").agg(F.count("*").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1").select("h", "n"))
     asked = kinds.select("h", "one").join(open_groups, "h").select("h", "n", "one.c", "one.at").groupBy("c").agg(F.collect_list(F.struct("h", "at", "n")).alias("asked"))
 
     def keyed(batch: pa.RecordBatch) -> dict[str, list]:
@@ -196,37 +234,43 @@ def covered(df: DataFrame, length: int = 400, text_col: str = "text") -> DataFra
         for c, data, places in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
             for p in places:
                 lo = max(0, p["at"] - left)
-                for name, v in zip(out, (p["h"], p["n"], c, lo, p["at"] - lo, data[lo : p["at"] + length])):
+                for name, v in zip(out, (p["h"], p["n"], c, lo, p["at"] - lo, data[lo : p["at"] + most])):
                     out[name].append(v)
         return out
 
-    distinct = over_batches(texts, keyed, "c bigint, text string")
-    contexts = over_batches(distinct.join(asked, "c").dropDuplicates(["c"]).select("c", "text", "asked"), around, "h bigint, n bigint, c bigint, lo int, offset int, context binary")
+    distinct = over_batches(texts, keyed, "c binary, text string")
+    contexts = over_batches(distinct.join(asked, "c").dropDuplicates(["c"]).select("c", "text", "asked"), around, "h bigint, n bigint, c binary, lo int, offset int, context binary")
     tasks = spread_blocks(contexts, "n", BLOCK, F.xxhash64("c", "lo"))
     n_tasks = max(1, -(-kinds.count() // TASK))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        of, first, last = repeated(list(pdf["context"]), pdf["h"].to_numpy().view(np.uint64), pdf["offset"].to_numpy().astype(np.int64), length, left)
-        lo = pdf["lo"].to_numpy()[of]
-        return pd.DataFrame({"c": pdf["c"].to_numpy()[of], "first": (lo + first).astype(np.int32), "last": (lo + last).astype(np.int32)})
+        lo, c = pdf["lo"].to_numpy(), pdf["c"].to_numpy()
+        out = []
+        for k, (of, first, last) in enumerate(repeated(list(pdf["context"]), pdf["h"].to_numpy(), pdf["offset"].to_numpy().astype(np.int64), lengths, left)):
+            out.append(pd.DataFrame({"c": c[of], "k": k, "first": (lo[of] + first).astype(np.int32), "last": (lo[of] + last).astype(np.int32)}))
+        return pd.concat(out)
 
-    judged = tasks.withColumn("task", F.pmod("h", F.lit(n_tasks))).groupBy("task", "bi", "bj").applyInPandas(judge, "c bigint, first int, last int")
-    runs = whole.unionByName(judged).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
-    return runs.select("c", merge_runs("runs").alias("spans"))
+    judged = tasks.withColumn("task", F.pmod("h", F.lit(n_tasks))).groupBy("task", "bi", "bj").applyInPandas(judge, "c binary, k int, first int, last int")
+    of_length = [whole.where(F.col("last") - F.col("first") >= n).withColumn("k", F.lit(k)).select("c", "k", "first", "last") for k, n in enumerate(lengths)]
+    runs = judged
+    for some in of_length:
+        runs = runs.unionByName(some)
+    runs = runs.groupBy("c").agg(F.collect_list(F.struct("k", "first", "last")).alias("runs"))
+    return runs.select("c", *[merge_runs("runs", k).alias(f"spans{k}") for k in range(len(lengths))])
 
 
-def merge_runs(column: str):  # noqa: ANN201
-    """Sorted runs with those that meet or overlap made one."""
+def merge_runs(column: str, k: int):  # noqa: ANN201
+    """The runs of kind ``k`` in order, those that meet or overlap made one."""
 
     @F.pandas_udf("array<struct<first:int,last:int>>")
     def merge(runs: pd.Series) -> pd.Series:
-        def one(pairs) -> list[dict]:  # noqa: ANN001
+        def one(all_runs) -> list[dict]:  # noqa: ANN001
             out: list[list[int]] = []
-            for p in pairs:
-                if out and p["first"] <= out[-1][1]:
-                    out[-1][1] = max(out[-1][1], p["last"])
+            for first, last in sorted((p["first"], p["last"]) for p in all_runs if p["k"] == k):
+                if out and first <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], last)
                 else:
-                    out.append([p["first"], p["last"]])
+                    out.append([first, last])
             return [{"first": a, "last": b} for a, b in out]
 
         return runs.map(one)
@@ -234,32 +278,46 @@ def merge_runs(column: str):  # noqa: ANN201
     return merge(F.col(column))
 
 
-def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id as ``id``, ``n_bytes``, ``spans`` (covered runs, null if none) and
-    ``kept``, the bytes that stay, null if all do.
+def most_words(data: bytes, runs: list[tuple[int, int]]) -> int:
+    """The most whole words that one of the runs of bytes holds; words are parted by white space."""
+    most = 0
+    for a, b in runs:
+        part = data[a:b].split()
+        cut_first = a > 0 and not data[a - 1 : a].isspace() and not data[a : a + 1].isspace()
+        cut_last = b < len(data) and not data[b - 1 : b].isspace() and not data[b : b + 1].isspace()
+        most = max(most, len(part) - cut_first - (cut_last and len(part) > cut_first))
+    return most
+
+
+def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None) -> DataFrame:
+    """One row per input row: the id as ``id``, ``n_bytes``, ``spans`` (covered runs, null if none),
+    ``kept``, the bytes that stay, null if all do, and ``passage_words``: with a ``passage``, a shorter
+    length, the most whole words in a run that repeated strings of that length cover, else 0.
 
     Rows of equal text cover each other whole if they have ``length`` bytes, and stand for one text
-    otherwise. Null and shorter texts keep all; ids may be null or repeated; an empty table gives no rows.
+    otherwise. Null and shorter texts keep all; ids may be null or repeated; very long texts are handled
+    whole, a row at a time; an empty table gives no rows. Nothing is written per pair: a hot anchor's
+    contexts are compared in block pairs, and tasks return runs.
     """
     kind = df.schema[id_col].dataType.simpleString()
+    lengths = (length,) if passage is None else (length, passage)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def keyed(batch: pa.RecordBatch) -> dict[str, list]:
         return {"id": batch.column(0).to_pylist(), "c": [text_key(x) for x in as_bytes(batch.column(1))], "text": batch.column(1).to_pylist()}
 
-    spans = cut(covered(df, length, text_col))
-    rows = over_batches(rows, keyed, f"id {kind}, c bigint, text string").withColumn("n_bytes", F.octet_length("text").cast("bigint"))
-    copies = cut(rows.groupBy("c").agg(F.count("*").alias("n")).where("n > 1"))
-    marked = rows.join(spans.join(copies, "c", "full"), "c", "left")
-    full = (F.col("n") > 1) & (F.col("n_bytes") >= length)
+    rows = over_batches(rows, keyed, f"id {kind}, c binary, text string").withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+    copies = rows.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
+    known = cut(covered(df, lengths, text_col).join(copies, "c", "full"))
+    marked = rows.join(known, "c", "left")
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n_bytes").cast("int").alias("last")))
-    marked = marked.withColumn("spans", F.when(full, whole).otherwise(F.col("spans")))
+    for k, n in enumerate(lengths):
+        full = (F.col("n") > 1) & (F.col("n_bytes") >= n)
+        marked = marked.withColumn(f"spans{k}", F.when(full, whole).when(F.size(f"spans{k}") > 0, F.col(f"spans{k}")))
 
     @F.pandas_udf("binary")
     def left_over(text: pd.Series, spans: pd.Series) -> pd.Series:
         def one(t: str, runs) -> bytes | None:  # noqa: ANN001
-            if runs is None:
-                return None
             data, out, at = t.encode("utf-8", "surrogatepass"), [], 0
             for r in runs:
                 out.append(data[at : r["first"]])
@@ -268,11 +326,26 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
 
         return pd.Series([one(t, r) for t, r in zip(text, spans)])
 
-    return marked.select("id", "n_bytes", "spans", "text", F.when(F.col("spans").isNotNull(), left_over("text", "spans")).alias("kept"))
+    @F.pandas_udf("int")
+    def words(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([most_words(t.encode("utf-8", "surrogatepass"), [(r["first"], r["last"]) for r in runs]) for t, runs in zip(text, spans)], dtype="int32")
+
+    # Null spans come as empty arrays to the functions, whose results are then not used.
+    given = lambda k: F.coalesce(f"spans{k}", F.expr("cast(array() as array<struct<first:int,last:int>>)"))
+    seen = F.lit(0) if passage is None else F.when(F.col("spans1").isNotNull(), words(F.when(F.col("spans1").isNotNull(), F.col("text")).otherwise(""), given(1))).otherwise(0)
+    kept = F.when(F.col("spans0").isNotNull(), left_over(F.when(F.col("spans0").isNotNull(), F.col("text")).otherwise(""), given(0)))
+    return marked.select("id", "n_bytes", F.col("spans0").alias("spans"), "text", kept.alias("kept"), seen.alias("passage_words"))
+
+
+#: Bytes of a string that makes a passage, and words from which on it is one.
+PASSAGE, WORDS = 256, 50
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = remove_repeats(table(spark, sf_dir, "documents"))
+    """``remove_repeats`` of every document at 400 bytes: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    Further, ``passage_words``, the most words of a run covered by repeated strings of 256 bytes, and
+    ``repeats``, whether those are 50 or more: passages too short to be removed."""
+    got = remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE)
     kept = F.coalesce("kept", F.col("text").cast("binary"))
     return got.select(
         F.col("id").alias("doc_id"),
@@ -280,6 +353,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length(kept)).cast("bigint").alias("n_removed"),
         F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("bigint").alias("n_spans"),
         F.sha2(kept, 256).alias("kept_sha256"),
+        "passage_words",
+        (F.col("passage_words") >= WORDS).alias("repeats"),
     )
 
 
