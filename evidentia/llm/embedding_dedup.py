@@ -22,9 +22,10 @@ from evidentia.llm.components import components
 
 #: Vectors on which codebooks are fitted, at most; chosen by a hash of the vector.
 FIT = 20_000
-#: Vectors of the largest label that a cell should hold on average, and codewords of a half at most.
-#: Finer cells cost more visits than they save comparisons where vectors fill the space evenly.
-PER_CELL, CODES = 1024, 64
+#: Vectors of the largest label that a cell should hold on average; codebooks grow with the label, as far
+#: as there are ``EACH`` fitted vectors for a codeword. Finer cells cost more visits than they save
+#: comparisons where vectors fill the space evenly.
+PER_CELL, EACH = 1024, 16
 #: Vectors that a worker probes at once.
 SLICE = 1000
 #: Vectors in one block of a cell.
@@ -84,8 +85,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
 
     Rows without a label, and vectors that are null, empty, zero or hold null or non-finite components,
     link with nothing, as do vectors of different lengths; a null id stays null and links with nothing.
-    Repeated vectors are compared once and counted as often as they occur; repeated ids share a
-    component. An empty table gives no rows.
+    Rows of equal label and vector are one class, compared once and counted as often as they occur; rows
+    of one id with different vectors are rows of their own. An empty table gives no rows.
 
     Cells are cut into blocks, and a task compares two blocks with one matrix product, so a hot label
     or cell is many tasks; tasks return a count for each vector and a forest of links, never pairs.
@@ -97,18 +98,29 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     good = F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = F.coalesce(good, F.lit(False))
     # Equal vectors of a label are one class; the class's vector and its number of rows go on.
-    members = cut(rows.where(usable).select("id", "label", "v", F.unhex(F.md5(F.to_json("v"))).alias("h")))
-    classes = cut(members.groupBy("label", "h").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"), F.size(F.first("v")).alias("dims")))
-    sizes = classes.groupBy("dims", "label").agg(F.count("*").alias("n")).groupBy("dims").agg(F.max("n").alias("n")).orderBy("dims").collect()  # one row for each length of vector
+    members = cut(rows.where(usable).select("id", "label", "v", F.unhex(F.md5(F.to_json(F.struct("label", "v")))).alias("h")))
+    classes = members.groupBy("h").agg(F.first("label").alias("label"), F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"), F.size(F.first("v")).alias("dims"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))  # written, so that the numbers stay
+    sizes = classes.groupBy("dims", "label").agg(F.count("*").alias("n")).groupBy("dims").agg(F.max("n").alias("most"), F.sum("n").alias("n")).collect()  # one row for each length of vector
+    share = F.coalesce(*[F.when(F.col("dims") == s.dims, F.lit(min(1.0, 1.2 * FIT / s.n))) for s in sizes], F.lit(1.0)) if sizes else F.lit(1.0)
+    drawn = classes.withColumn("place", F.pmod(F.xxhash64("h"), F.lit(1 << 30))).where(F.col("place") < share * (1 << 30)).select("dims", "place", "h", "v")
+    codes_of = {s.dims: max(2, min(FIT // EACH, int(math.sqrt(s.most / PER_CELL)) + 1)) for s in sizes}
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        dims, out = int(pdf["dims"].iloc[0]), []
+        unit, half = _unit(np.array(pdf.sort_values(["place", "h"])["v"].tolist()[:FIT])), max(1, dims // 2)
+        for k, part in enumerate((unit[:, :half], unit[:, half:])):
+            book = codebook(part, codes_of[dims]) if part.shape[1] else np.zeros((1, 0))
+            out.append(pd.DataFrame({"dims": dims, "half": k, "code": range(len(book)), "word": list(book)}))
+        return pd.concat(out)
+
+    learnt = drawn.groupBy("dims").applyInPandas(learn, "dims int, half int, code int, word array<double>").collect()  # two codebooks for each length
     books = {}
-    for s in sizes:
-        sample = np.array([r.v for r in classes.where(F.col("dims") == s.dims).orderBy(F.xxhash64("h", "label")).limit(FIT).select("v").collect()])
-        half = max(1, s.dims // 2)
-        unit = _unit(sample)
-        codes = max(2, min(CODES, int(math.sqrt(s.n / PER_CELL)) + 1))
-        books[s.dims] = (half, codebook(unit[:, :half], codes), codebook(unit[:, half:], codes) if s.dims > 1 else np.zeros((1, 0)))
+    for d in codes_of:
+        words = ([r.word for r in sorted(learnt, key=lambda r: r.code) if (r.dims, r.half) == (d, k)] for k in (0, 1))
+        books[d] = (max(1, d // 2), *(np.array(w, dtype=float).reshape(len(w), -1) if w[0] else np.zeros((1, 0)) for w in words))
     radius = 2 - 2 * threshold + 1e-9
-    shared = spark.sparkContext.broadcast(books)  # at most two codebooks of 64 words for each length
+    shared = spark.sparkContext.broadcast(books)  # at most two codebooks of FIT / EACH words for each length
 
     def probe(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
@@ -132,8 +144,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
                 at = np.array(out["row"], dtype=int)
                 yield part.iloc[at].reset_index(drop=True).assign(ci=out["ci"], cj=out["cj"], home=out["home"])[["label", "dims", "ci", "cj", "home", "rep", "n", "v"]]
 
-    kind, ids = dict(rows.dtypes)["label"], dict(rows.dtypes)["id"]
-    visits = classes.select("label", "dims", "rep", "n", "v").mapInPandas(probe, f"label {kind}, dims int, ci int, cj int, home boolean, rep {ids}, n bigint, v array<double>")
+    kind = dict(rows.dtypes)["label"]
+    visits = classes.select("label", "dims", "rep", "n", "v").mapInPandas(probe, f"label {kind}, dims int, ci int, cj int, home boolean, rep bigint, n bigint, v array<double>")
     cell = ["label", "dims", "ci", "cj"]
     visits = cut(visits)
     # Residents of a cell in blocks; every visitor goes to every block, and residents to those from their own on.
@@ -164,13 +176,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
         out = pd.concat(found)
         return out[(out["links"] > 0) | (out["a"] != out["b"])]
 
-    made = cut(inner.unionByName(guests).unionByName(hosts).groupBy(*cell, "p", "q").applyInPandas(compare, f"a {ids}, b {ids}, links bigint"))
+    made = cut(inner.unionByName(guests).unionByName(hosts).groupBy(*cell, "p", "q").applyInPandas(compare, "a bigint, b bigint, links bigint"))
     links = made.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    # Equal ids with different vectors share a component too: edges go between ids, by class.
-    reps = classes.select("label", "h", "rep", "n")
-    of_class = members.select("id", "label", "h").join(reps, ["label", "h"])
-    roots = components(made.where("a <> b").select("a", "b"))
-    linked = of_class.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    roots = components(made.where("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
+    of_class = classes.select("h", "rep", "n", "least").join(links, "rep", "left").join(roots, "rep", "left").select("h", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    component = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = members.select("id", "h").join(of_class.join(component, "root").select("h", "n_links", "component_id"), "h").select("id", "n_links", "component_id")
     alone = rows.where(~usable).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone)
 
@@ -212,6 +223,8 @@ def _forest(hit: np.ndarray, n: int, same: bool) -> np.ndarray:
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of every vector at a cosine of 0.93: vec_id, n_links, component_id and kept, which
+    is false for a null id."""
     found = near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 

@@ -42,7 +42,8 @@ def vectors(seed, n, dims=16):
             v = rng.normal(0, 1, dims)
         rows.append((i, [float(x) for x in v], int(rng.integers(3))))
     bad = [None, [0.0] * dims, [float("nan")] * dims, [None] + [1.0] * (dims - 1), [float("inf")] + [1.0] * (dims - 1), []]
-    return [*rows, *((n + k, v, 1) for k, v in enumerate(bad)), (n + 10, rows[0][1], None), (n + 11, [1.0, 2.0], 1), (n + 12, [1.0, 2.1], 1), (n + 13, [3.0], 1), (n + 14, [4.0], 1)]
+    again = [(3, [float(x) for x in rng.normal(0, 1, dims)], rows[3][2]), (3, rows[3][1], rows[3][2]), (4, rows[7][1], (rows[4][2] + 1) % 3), (4, rows[4][1], (rows[4][2] + 1) % 3)]
+    return [*rows, *again, *((n + k, v, 1) for k, v in enumerate(bad)), (n + 10, rows[0][1], None), (n + 11, [1.0, 2.0], 1), (n + 12, [1.0, 2.1], 1), (n + 13, [3.0], 1), (n + 14, [4.0], 1)]
 
 
 @pytest.mark.parametrize(("seed", "cell", "block"), [(1, 4, 2048), (2, 16, 5), (3, 1024, 2048)])
@@ -55,6 +56,12 @@ def test_every_link_is_found(spark, monkeypatch, seed, cell, block):
     assert got == brute(rows, 0.93)
 
 
+def test_an_id_with_two_vectors(spark):
+    rows = [(5, [1.0, 0.0], 1), (6, [1.0, 0.01], 1), (5, [0.0, 1.0], 2), (7, [0.01, 1.0], 2), (8, [0.02, 1.0], 2)]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.id, r.n_links, r.component_id) for r in got) == [(5, 1, 5), (5, 2, 5), (6, 1, 5), (7, 2, 5), (8, 2, 5)]
+
+
 def test_traversal_is_in_order():
     rng = np.random.default_rng(1)
     a, b = rng.random(6), rng.random(5)
