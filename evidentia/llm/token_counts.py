@@ -11,16 +11,18 @@ from __future__ import annotations
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import over_batches, table
 
 WORD_END = "</w>"
-#: Words and token pairs whose answers a worker remembers; it forgets all of them beyond that.
-REMEMBERED = 1_000_000
+#: Words, chunks and token pairs whose answers a worker remembers, of each; it forgets all of a kind
+#: beyond that. Longer texts than ``LONG`` letters are not remembered.
+REMEMBERED, LONG = 400_000, 64
 
 # Fixed value: the word pattern of the vocabulary file; text that it does not match makes no token.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -63,7 +65,7 @@ class PrefixCounter:
             letters = token[: -len(WORD_END)] if last else token
             if self.merge(self.symbols(letters, last)) == [token]:
                 (self.final if last else self.inner)[letters] = token
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.longest, self.longest_final = (max(map(len, of)) for of in ([*self.inner, *self.final], self.final))
         self.words: dict[str, int] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, int] = {}
@@ -138,15 +140,28 @@ class PrefixCounter:
         return last, count
 
     def word_prefixes(self, letters: str) -> list[int]:
-        """Token counts of every prefix of a word as a word of its own, the empty one included."""
-        return [0, *(self.word_count(letters[:at]) for at in range(1, len(letters) + 1))]
+        """Token counts of every prefix of a word as a word of its own, the empty one included: from one
+        table of the prefixes that go on, each ended by the token that fits."""
+        last, count = self.tables(letters, False)
+        out = [0] * (len(letters) + 1)
+        for at in range(1, len(letters) + 1):
+            for start in range(max(0, at - self.longest_final), at):
+                token = self.final.get(letters[start:at])
+                if token is not None and (not start or self.follows(last[start], token)):
+                    out[at] = count[start] + 1
+                    break
+            else:
+                raise ValueError(f"the vocabulary lacks a letter of {letters!r}")
+        return out
 
     def word_count(self, letters: str) -> int:
         n = self.words.get(letters)
         if n is None:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            n = self.words[letters] = self.tables(letters, True)[1][-1]
+            n = self.tables(letters, True)[1][-1]
+            if len(letters) <= LONG:
+                if len(self.words) > REMEMBERED:
+                    self.words.clear()
+                self.words[letters] = n
         return n
 
     def normal(self, text: str) -> str:
@@ -160,10 +175,11 @@ class PrefixCounter:
         """Of text without white space, remembered."""
         n = self.chunks.get(chunk)
         if n is None:
-            if len(self.chunks) > REMEMBERED:
-                self.chunks.clear()
             n = sum(self.word_count(self.letters(w)) for w in self.word.findall(self.normal(chunk)))
-            self.chunks[chunk] = n
+            if len(chunk) <= LONG:
+                if len(self.chunks) > REMEMBERED:
+                    self.chunks.clear()
+                self.chunks[chunk] = n
         return n
 
     def plain_count(self, text: str) -> int:
@@ -181,16 +197,47 @@ class PrefixCounter:
         found = self.special.findall(text)
         return len(found) + sum(map(self.plain_count, self.special.split(text)))
 
+    def plain_prefixes(self, chunk: str) -> list[int]:
+        """The count of every prefix of a text without white space, special strings taken as any other,
+        from one table for each of its words. Where normalisation composes letters, a cut may change
+        what comes before it: such texts are counted prefix by prefix."""
+        if not unicodedata.is_normalized("NFC", chunk):
+            return [0, *(self.plain_count(chunk[:i]) for i in range(1, len(chunk) + 1))]
+        lower = [c.lower() for c in chunk]
+        out, base = [0], 0
+        for m in self.word.finditer("".join(lower)):
+            w = m.group()
+            out += [base] * (m.start() + 1 - len(out))
+            if w[0] == "'" and w[-1] != "'" and len(w) > 1 and w[1].isalpha():  # cut, it would be two words
+                out += [*(base + self.plain_count(w[:i]) for i in range(1, len(w))), base + self.word_count(self.letters(w))]
+            else:
+                table = self.word_prefixes(self.letters(w))
+                ends = range(1, len(w) + 1) if len(table) == len(w) + 1 else accumulate(len(c.encode("utf-8")) for c in w)
+                out += [base + table[i] for i in ends]
+            base = out[-1]
+        ends = list(accumulate(map(len, lower)))
+        return [0, *(out[i] for i in ends)]
+
+    def chunk_prefixes(self, chunk: str) -> list[int]:
+        """The count of every prefix of a text without white space."""
+        out, base, done = [0], 0, 0
+        for m in self.special.finditer(chunk) if self.special is not None and "<|" in chunk else ():
+            # A special string that is cut is text like any other; whole, it is one token.
+            table = self.plain_prefixes(chunk[done : m.end()])
+            out += [base + n for n in table[1:-1]]
+            base += table[m.start() - done] + 1
+            out.append(base)
+            done = m.end()
+        return out + [base + n for n in self.plain_prefixes(chunk[done:])[1:]]
+
     def prefixes(self, text: str) -> list[int]:
         """The count of every prefix of the text in code points, the empty one first: element i is
         ``count(text[:i])``. Words that a cut changes are counted as cut."""
-        out, done, base = [0], 0, 0
+        out, done = [0], 0
         for m in self.blank.finditer(text + " "):
-            chunk = text[done : m.start()]
-            # Only the chunk that the cut lies in has to be looked at again.
-            out += [base + self.count(chunk[:i]) for i in range(1, len(chunk) + 1)]
-            base += self.count(chunk)
-            out += [base] * (m.end() - m.start())
+            base = out[-1]
+            out += [base + n for n in self.chunk_prefixes(text[done : m.start()])[1:]]
+            out += [out[-1]] * (m.end() - m.start())
             done = m.end()
         return out[: len(text) + 1]
 
@@ -199,12 +246,21 @@ class PrefixCounter:
         done = base = 0
         for m in self.blank.finditer(text + " "):
             chunk = text[done : m.start()]
-            if base + (n := self.count(chunk)) > budget:
-                kept = 0
-                while kept < len(chunk) and base + self.count(chunk[: kept + 1]) <= budget:
-                    kept += 1
-                return done + kept
-            base, done = base + n, m.end()
+            # No prefix has more tokens than three times its bytes: normal forms are no longer than that.
+            if base + 3 * len(chunk.encode("utf-8", "surrogatepass")) > budget:
+                # So many code points hold more tokens than are left, as a token has no more than the longest.
+                far = 4 * (budget - base + 2) * max(self.longest, *map(len, self.specials), 1)
+                for part in (chunk[:far], chunk):
+                    table = self.chunk_prefixes(part)
+                    over = next((i for i, n in enumerate(table) if base + n > budget), None)
+                    if over is not None:
+                        return done + over - 1
+                    if len(part) == len(chunk):
+                        break
+                base += table[-1]
+            else:
+                base += self.count(chunk)
+            done = m.end()
         return len(text)
 
 
@@ -236,7 +292,28 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     return over_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), one, f"id {kind}, n_bytes bigint, n_tokens bigint, kept_chars bigint")
 
 
+def prefix_tables(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: the id as ``id`` and ``counts``, the token count of every prefix of the text
+    in code points, the empty one first. It answers any budget: ``truncation`` does so by a search.
+    Null counts as empty; a text's table has four bytes for each of its code points."""
+
+    def one(batch: pa.RecordBatch) -> dict[str, list]:
+        of = counter(vocabulary)
+        return {"id": batch.column(0).to_pylist(), "counts": [of.prefixes(t or "") for t in batch.column(1).to_pylist()]}
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return over_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), one, f"id {kind}, counts array<int>")
+
+
+def truncation(counts: Column, budget: int) -> Column:
+    """From a column of ``prefix_tables``: code points of the longest prefix up to which no prefix has
+    more than ``budget`` tokens."""
+    over = F.array_position(F.transform(counts, lambda n: n > budget), True)
+    return F.when(over > 0, over - 2).otherwise(F.size(counts) - 1).cast("bigint")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``token_counts`` of every document: doc_id, n_bytes, n_tokens, over_limit (more than 2048 tokens)."""
     import public_tokenizers
 
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
