@@ -22,7 +22,7 @@ from evidentia.llm.common import over_batches, table
 WORD_END = "</w>"
 #: Words, chunks and token pairs whose answers a worker remembers, of each; it forgets all of a kind
 #: beyond that. Longer texts than ``LONG`` letters are not remembered.
-REMEMBERED, LONG = 400_000, 64
+REMEMBERED, LONG = 800_000, 64
 
 # Fixed value: the word pattern of the vocabulary file; text that it does not match makes no token.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -65,7 +65,9 @@ class PrefixCounter:
             letters = token[: -len(WORD_END)] if last else token
             if self.merge(self.symbols(letters, last)) == [token]:
                 (self.final if last else self.inner)[letters] = token
-        self.longest, self.longest_final = (max(map(len, of)) for of in ([*self.inner, *self.final], self.final))
+        self.longest = max(map(len, [*self.inner, *self.final]))
+        # All ends of tokens: reading back from a place, no token begins before what is not among them.
+        self.inner_ends, self.final_ends = ({t[i:] for t in of for i in range(len(t))} for of in (self.inner, self.final))
         self.words: dict[str, int] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, int] = {}
@@ -117,42 +119,39 @@ class PrefixCounter:
         self.pairs[a, b] = known
         return known
 
+    def last_token(self, word: str, at: int, last: list[str], ended: bool) -> tuple[str, int]:
+        """The last token of the prefix up to ``at`` and where it begins, given those of all shorter
+        prefixes; with ``ended`` the word ends there."""
+        tokens, ends = (self.final, self.final_ends) if ended else (self.inner, self.inner_ends)
+        found, start = [], at - 1
+        while start >= 0 and (part := word[start:at]) in ends:
+            token = tokens.get(part)
+            if token is not None:
+                found.append((token, start))
+            start -= 1
+        for token, start in reversed(found):
+            if not start:
+                return token, 0
+            known = self.pairs.get((last[start], token))
+            if self.follows(last[start], token) if known is None else known:
+                return token, start
+        raise ValueError(f"the vocabulary lacks a letter of {word!r}")
+
     def tables(self, word: str, ends: bool) -> tuple[list[str], list[int]]:
         """For each prefix of a word's letters: its last token and its token count, where the word goes
         on after every prefix but, if ``ends``, the whole one."""
-        n, pairs, inner, final = len(word), self.pairs, self.inner, self.final
+        n = len(word)
         last, count = [""] * (n + 1), [0] * (n + 1)
         for at in range(1, n + 1):
-            tokens = final if ends and at == n else inner
-            for start in range(max(0, at - self.longest), at):
-                token = tokens.get(word[start:at])
-                if token is None:
-                    continue
-                if start:
-                    before = last[start]
-                    known = pairs.get((before, token))
-                    if not (self.follows(before, token) if known is None else known):
-                        continue
-                last[at], count[at] = token, count[start] + 1
-                break
-            else:
-                raise ValueError(f"the vocabulary lacks a letter of {word!r}")
+            last[at], start = self.last_token(word, at, last, ends and at == n)
+            count[at] = count[start] + 1
         return last, count
 
     def word_prefixes(self, letters: str) -> list[int]:
         """Token counts of every prefix of a word as a word of its own, the empty one included: from one
         table of the prefixes that go on, each ended by the token that fits."""
         last, count = self.tables(letters, False)
-        out = [0] * (len(letters) + 1)
-        for at in range(1, len(letters) + 1):
-            for start in range(max(0, at - self.longest_final), at):
-                token = self.final.get(letters[start:at])
-                if token is not None and (not start or self.follows(last[start], token)):
-                    out[at] = count[start] + 1
-                    break
-            else:
-                raise ValueError(f"the vocabulary lacks a letter of {letters!r}")
-        return out
+        return [0, *(count[self.last_token(letters, at, last, True)[1]] + 1 for at in range(1, len(letters) + 1))]
 
     def word_count(self, letters: str) -> int:
         n = self.words.get(letters)
@@ -248,8 +247,8 @@ class PrefixCounter:
             chunk = text[done : m.start()]
             # No prefix has more tokens than three times its bytes: normal forms are no longer than that.
             if base + 3 * len(chunk.encode("utf-8", "surrogatepass")) > budget:
-                # So many code points hold more tokens than are left, as a token has no more than the longest.
-                far = 4 * (budget - base + 2) * max(self.longest, *map(len, self.specials), 1)
+                # So many code points hold more tokens than are left, or nearly always do.
+                far = (budget - base + 2) * max(self.longest, *map(len, self.specials), 1)
                 for part in (chunk[:far], chunk):
                     table = self.chunk_prefixes(part)
                     over = next((i for i, n in enumerate(table) if base + n > budget), None)
