@@ -60,34 +60,53 @@ class Lexical:
         return F.array_repeat(F.element_at(F.split(prompt, "\n"), -1), samples)
 
 
-def exact_meteor(left: list[str], right: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    """METEOR of token lists by its exact stage: harmonic mean of precision and recall over unigram
-    matches, less a penalty for the chunks they fall into. No stems or synonyms."""
-    free: dict[str, list[int]] = {}
-    for j in range(len(right) - 1, -1, -1):
-        free.setdefault(right[j], []).append(j)
-    match = [free[w].pop() if free.get(w) else -1 for w in left]
-    hits = [j for j in match if j >= 0]
-    if not hits:
-        return 0.0
+#: Endings that ``stem`` takes off, longest first, where at least three letters stay.
+_ENDINGS = ("ations", "ation", "ingly", "edly", "ments", "ment", "ness", "ings", "ing", "ies", "ied", "ers", "est", "ed", "er", "es", "ly", "s", "e", "y")
+
+
+def stem(word: str) -> str:
+    """The word without its English ending."""
+    for end in _ENDINGS:
+        if word.endswith(end) and len(word) - len(end) >= 3:
+            return word[: -len(end)]
+    return word
+
+
+def meteor_score(left: list[str], right: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
+    """METEOR of token lists by its exact and its stem stage: harmonic mean of precision and recall over
+    unigram matches, less a penalty for the chunks they fall into. Words that are left over by the exact
+    stage match by their stems; there are no synonyms."""
+    match = [-1] * len(left)
+    taken = [False] * len(right)
+    for form in (str, stem):
+        free: dict[str, list[int]] = {}
+        for j in range(len(right) - 1, -1, -1):
+            if not taken[j]:
+                free.setdefault(form(right[j]), []).append(j)
+        for i, w in enumerate(left):
+            if match[i] < 0 and (places := free.get(form(w))):
+                match[i] = places.pop()
+                taken[match[i]] = True
     pairs = [(i, j) for i, j in enumerate(match) if j >= 0]
+    if not pairs:
+        return 0.0
     chunks = 1 + sum(b[0] != a[0] + 1 or b[1] != a[1] + 1 for a, b in zip(pairs, pairs[1:]))
-    p, r = len(hits) / len(left), len(hits) / len(right)
+    p, r = len(pairs) / len(left), len(pairs) / len(right)
     mean = p * r / (alpha * p + (1 - alpha) * r)
-    return mean * (1 - gamma * (chunks / len(hits)) ** beta)
+    return mean * (1 - gamma * (chunks / len(pairs)) ** beta)
 
 
 def meteor(left: Column, right: Column) -> Column:
-    """``exact_meteor`` of two texts as an Arrow function: alignment has no SQL expression."""
+    """``meteor_score`` of two texts as an Arrow function: alignment has no SQL expression."""
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([exact_meteor(list(x), list(y)) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([meteor_score(list(x), list(y)) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="float64")
 
     return score(tokens(left), tokens(right))
 
 
-def with_model(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Series]], inputs: list[str], output: str, kind: str, attempts: int = 3, pause: float = 0.5) -> DataFrame:
+def with_model(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Series]], inputs: list[str], output: str, kind: str, attempts: int = 10, pause: float = 0.5) -> DataFrame:
     """``df`` with ``output``: a model's answers to batches of ``inputs``, and ``<output>_error``, the
     message where it failed ``attempts`` times (pauses double). ``load`` runs once in a worker."""
 
@@ -110,6 +129,33 @@ def with_model(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Ser
     return df.mapInPandas(run, f"{columns}, `{output}` {kind}, `{output}_error` string")
 
 
+def without_repeated_bigrams(outputs: Column) -> Column:
+    """Of generated texts, those in which no pair of neighbouring tokens comes twice."""
+
+    def fresh(text: Column) -> Column:
+        w = tokens(text)
+        pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+        return F.size(F.array_distinct(pairs)) == F.size(pairs)
+
+    return F.filter(outputs, fresh)
+
+
+def all_stopped(outputs: Column, items: list[str]) -> Column:
+    """Whether every output holds some stop item; a single string given as ``items`` stands for its characters."""
+    holds = lambda x: F.array_contains(F.array(*[F.contains(x, F.lit(i)) for i in items]), True)
+    return F.forall(outputs, holds)
+
+
+def encoder_inputs(df: DataFrame, ids: str, batch: str, most: int = 400, pad: int = 0) -> DataFrame:
+    """``df`` with ``input_ids``, cut to ``most`` and padded to the longest of the ``batch``, and
+    ``attention_mask``, 1 for what is not padding."""
+    cut = df.withColumn("input_ids", F.slice(ids, 1, most))
+    longest = cut.groupBy(batch).agg(F.max(F.size("input_ids")).alias("_longest"))
+    n = F.size("input_ids")
+    both = cut.join(longest, batch).withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.col("_longest") - n)))
+    return both.withColumn("input_ids", F.concat("input_ids", F.array_repeat(F.lit(pad), F.col("_longest") - n))).drop("_longest")
+
+
 def embed_once(df: DataFrame, text_col: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``df`` with ``vector``; ``embed`` sees every distinct text once, not every row or pair."""
     distinct = df.select(F.col(text_col).alias("text")).where("text is not null").distinct()

@@ -427,3 +427,31 @@ def repair_mojibake(text: Column) -> Column:
         return s.map(one, na_action="ignore")
 
     return fix(text)
+
+
+# The instructions of the statement and entailment prompts, and the entailment labels in class order.
+STATEMENT_TASK = "Your task is to convert question answer pairs into statements. In the following there are some example showing how to convert question answer pairs into statements.\n\n"
+ENTAILMENT_LABELS = ("Refutes", "Not Enough Information", "Supports")
+
+
+def statement_prompt(question: Column, answer: Column, examples: list[tuple[str, str, str]]) -> Column:
+    """The few-shot prompt that turns a question and its answer into a statement; ``examples`` are
+    (question, answer, statement)."""
+    shots = "".join(f"Question: {q}\nAnswer: {a}\nStatement: {s}\n\n" for q, a, s in examples)
+    return F.concat(F.lit(STATEMENT_TASK + shots + "Question: "), question, F.lit("\nAnswer: "), answer, F.lit("\nStatement:"))
+
+
+def entailment_prompt(contexts: Column, statement: Column, task: str, examples: list[tuple[str, str, str]]) -> Column:
+    """The few-shot prompt that asks whether contexts, the most relevant last, entail a statement;
+    ``examples`` are (context, statement, label)."""
+    shots = "".join(f"Context:\n{c}\n\nStatement:\n{s}\n\nEntailment:\n{e} ###\n\n" for c, s, e in examples)
+    return F.concat(F.lit(task + shots + "Context:\n"), F.array_join(F.reverse(contexts), "\n\n"), F.lit("\n\nStatement:\n"), statement, F.lit("\n\nEntailment:\n"))
+
+
+def entailment_class(answer: Column) -> Column:
+    """0 refutes, 1 not enough information, 2 supports, by the label that the answer begins with; else null."""
+    said = F.trim(answer)
+    out = F.lit(None).cast("int")
+    for k, label in enumerate(ENTAILMENT_LABELS):
+        out = F.when(F.startswith(said, F.lit(label)), F.lit(k)).otherwise(out)
+    return out

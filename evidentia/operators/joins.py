@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.operators.rank import running_offset, small
+from evidentia.operators.rank import ordinal, running_offset, small
 
 
 def first_match(left: DataFrame, right: DataFrame, key: str, order: list[Column], how: str = "inner") -> DataFrame:
@@ -44,6 +44,11 @@ def resumable(all_rows: DataFrame, log: DataFrame, key: str, ordinal: str) -> Da
     return all_rows.join(log.select(key).distinct().join(F.broadcast(last), key, "left_anti"), key, "left_anti")
 
 
+def resume_after(all_rows: DataFrame, log: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows, in ``order``, after as many as the log has lines."""
+    return ordinal(all_rows, order, "_o").where(F.col("_o") >= log.count()).drop("_o")
+
+
 def lookup(items: Column, index: Column) -> Column:
     """Array element at a 0-based index; empty for a null or outside index."""
     return F.coalesce(F.get(items, index), F.lit(""))

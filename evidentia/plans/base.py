@@ -59,5 +59,8 @@ def shared_folder(spark: SparkSession) -> str:
     import uuid
 
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidentia-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("the session names no spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="evidentia-"))
     return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.scorers import Lexical
 from evidentia.operators import metrics as M
+from evidentia.operators.rank import small
 from evidentia.plans.base import claims, jac, query, stored, t, tok
 from evidentia.plans.retrieval import CHUNKS, PAIRS, bm25_full_rank, scored_chunks
 from evidentia.plans.base import ORACLE as SQL
@@ -154,11 +155,12 @@ def score_by_type(s, d):
     return M.score_by_type(judged(s, d).select(F.array("lang", "source").alias("types"), ((F.col("n_chars") % 100) / 100.0).alias("u")), "types", "u", 0.25)
 
 
-@query(f"with first as (select claim_id, doc_id, string_split(text, chr(10))[1] as line from (select doc_id % (select count(*) from benchmark) as claim_id, doc_id, text from documents)) select claim_id, doc_id, round({jac('list_distinct(' + tok('line') + ')', 'list_distinct(' + tok('claim') + ')')}, 6) as score from first join (select item_id as claim_id, text as claim from benchmark) using (claim_id)")
+@query(f"""select claim_id, doc_id, round({jac('list_distinct(' + tok('d.text') + ')', 'list_distinct(' + tok('b.text') + ')')}, 6) as score
+from (select doc_id % (select count(*) from benchmark) as claim_id, doc_id, text from documents) d join benchmark b on item_id = claim_id""")
 def pair_matrix(s, d):
     """Scores of every prediction against every gold string of its claim."""
-    first = stored(s, d).select("claim_id", "doc_id", F.split("text", "\n")[0].alias("line"))
-    return first.join(F.broadcast(claims(s, d)), "claim_id").select("claim_id", "doc_id", F.round(Lexical().score_pairs(F.col("line"), F.col("claim")), 6).alias("score"))
+    texts = stored(s, d).select("claim_id", "doc_id", "text")
+    return texts.join(small(claims(s, d)), "claim_id").select("claim_id", "doc_id", F.round(Lexical().score_pairs(F.col("text"), F.col("claim")), 6).alias("score"))
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.functions.scorers import CHECKERS, checked, meteor
+from evidentia.operators.rank import small
 from evidentia.plans.base import STORED, claims, query, stored, t, tok
 from evidentia.sources.readers import page_lines, store_lines
 
@@ -283,6 +284,6 @@ def mojibake_repair(s, d):
 
 @query()
 def meteor_exact(s, d):
-    """METEOR by its exact stage, between each claim and the whole texts of its store's documents."""
+    """METEOR by its exact and stem stages, between each claim and the whole texts of its store's documents."""
     texts = stored(s, d).select("claim_id", "doc_id", "text")
-    return texts.join(F.broadcast(claims(s, d)), "claim_id").select("claim_id", "doc_id", F.round(meteor(F.col("text"), F.col("claim")), 6).alias("score"))
+    return texts.join(small(claims(s, d)), "claim_id").select("claim_id", "doc_id", F.round(meteor(F.col("text"), F.col("claim")), 6).alias("score"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import zlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,9 +36,10 @@ def search_tsv(spark: SparkSession, path: str, header: bool = False) -> DataFram
 
 
 def tsv_union(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
-    """All files of a folder with a name prefix, headers dropped, blank lines skipped, with ``file``."""
-    got = spark.read.schema(schemas.SEARCH_LOG).option("sep", "\t").option("header", True).csv(f"{folder}/{prefix}*").withColumn("file", F.input_file_name())
-    return got.where(F.col("link").isNotNull() | F.col("claim").isNotNull())
+    """All files of a folder with a name prefix, headers dropped, blank lines skipped, with ``file``, the
+    file's name."""
+    got = spark.read.schema(schemas.SEARCH_LOG).option("sep", "\t").option("header", True).csv(f"{folder}/{prefix}*")
+    return got.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).where(F.col("link").isNotNull() | F.col("claim").isNotNull())
 
 
 def store(spark: SparkSession, path: str) -> DataFrame:
@@ -60,21 +65,61 @@ def hub(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def take(df: DataFrame, n: int) -> DataFrame:
-    """The first rows that come."""
+    """The first ``n`` rows that come."""
     return df.limit(n)
 
 
+def search(queries: DataFrame, results: DataFrame, by: str, date: str, until: str, order: str, page: int = 0, size: int = 10) -> DataFrame:
+    """Result pages of a search: of each query's results dated up to its ``until``, in ``order``, those on
+    the given page, with their 1-based ``position``. A table of results stands for the network; queries
+    without results have no rows."""
+    dated = queries.join(results, by).where(F.col(date) <= F.col(until))
+    placed = dated.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    return placed.where((F.col("position") > page * size) & (F.col("position") <= (page + 1) * size))
+
+
 def paired_csv(spark: SparkSession, path: str, source: str = "input", target: str = "target") -> DataFrame:
     return spark.read.option("header", True).csv(path).select(F.col(source).alias("input"), F.col(target).alias("target"))
 
 
-def pdf_texts(spark: SparkSession, path: str, to_text) -> DataFrame:  # noqa: ANN001
-    """PDF files through a given function from bytes to text; without one there is no text."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select(F.col("path").alias("url"), "content")
-    if to_text is None:
-        return files.select("url", F.lit(None).cast("string").alias("text"))
-    convert = F.pandas_udf(lambda s: s.map(lambda b: to_text(bytes(b))), "string")
-    return files.select("url", convert("content").alias("text"))
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
+_SHOWN = re.compile(rb"\[((?:[^\]\\]|\\.)*)\]\s*TJ|(\((?:[^()\\]|\\.)*\))\s*(?:Tj|'|\")|(T\*|Td|TD|BT)", re.S)
+_STRING = re.compile(rb"\((?:[^()\\]|\\.)*\)", re.S)
+_ESCAPED = re.compile(rb"\\([0-7]{1,3}|.)", re.S)
+_NAMED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def simple_pdf_text(data: bytes) -> str:
+    """The text that a PDF's page streams show as literal strings, plain or deflated, a line for each
+    move of the pen. Fonts with an encoding of their own and text in images are beyond it."""
+    out: list[str] = []
+    for m in _STREAM.finditer(data):
+        stream = m[1]
+        try:
+            stream = zlib.decompress(stream)
+        except zlib.error:
+            pass
+        for s in _SHOWN.finditer(stream) if b"BT" in stream else ():
+            if s[3]:
+                out.append("\n")
+                continue
+            for part in _STRING.findall(s[1] if s[1] is not None else s[2]):
+                plain = _ESCAPED.sub(lambda e: bytes([int(e[1], 8) & 255]) if e[1].isdigit() else _NAMED.get(e[1], e[1]), part[1:-1])
+                out.append(plain.decode("latin-1"))
+    return "\n".join(x.strip() for x in "".join(out).split("\n") if x.strip())
+
+
+def pdf_texts(spark: SparkSession, path: str, to_text: Callable[[bytes], str] = simple_pdf_text, files: str = "*.pdf") -> DataFrame:
+    """Files of a folder as (``url``, ``text``) by a function from bytes to text; null where it fails."""
+
+    def one(data: bytes) -> str | None:
+        try:
+            return to_text(bytes(data))
+        except Exception:  # noqa: BLE001  a damaged file has no text
+            return None
+
+    convert = F.pandas_udf(lambda s: s.map(one), "string")
+    return spark.read.format("binaryFile").option("pathGlobFilter", files).load(path).select(F.col("path").alias("url"), convert("content").alias("text"))
 
 
 def page_lines(urls: DataFrame, pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

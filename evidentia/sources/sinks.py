@@ -12,9 +12,11 @@ def json_lines(df: DataFrame, path: str, append: bool = True) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def json_document(df: DataFrame, path: str, wrapped: bool = False) -> None:
+def json_document(df: DataFrame, path: str, wrapped: bool = False, limit: int = 1_000_000) -> None:
     """One JSON array, or an object with it as ``data``: for results that a person reads, since it makes
-    a single row of the table."""
+    a single row of the table. Tables of more than ``limit`` rows are refused; write those as lines."""
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} rows for one JSON document")
     rows = df.agg(F.collect_list(F.struct(*df.columns)).alias("data"))
     text = F.to_json(F.struct("data") if wrapped else F.col("data"), {"pretty": "true", "ignoreNullFields": "false"})
     rows.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
@@ -24,8 +26,10 @@ def tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").csv(path)
 
 
-def csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("encoding", "UTF-8").csv(path)
+def csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
+    """Quoted values with a header, written as they are."""
+    writer = df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("encoding", encoding).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def embeddings(df: DataFrame, path: str, key: str = "claim_id") -> None:

@@ -2,12 +2,13 @@
 
 import itertools
 import math
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.functions.scorers import embed_once, exact_meteor, with_model
+from evidentia.functions.scorers import embed_once, meteor_score, with_model
 from evidentia.operators import datasets, dedup, metrics, rank, setops
 from evidentia.plans.catalogue import QUERIES
 
@@ -98,15 +99,15 @@ def test_best_supported(spark):
 
 
 def test_meteor():
-    assert exact_meteor(["a"], ["b"]) == 0
-    assert math.isclose(exact_meteor(["a", "b"], ["a", "b"]), 1 - 0.5 * (1 / 2) ** 3)
+    assert meteor_score(["a"], ["b"]) == 0
+    assert math.isclose(meteor_score(["a", "b"], ["a", "b"]), 1 - 0.5 * (1 / 2) ** 3)
 
 
 def test_meteor_scores_whole_texts(spark, tmp_path):
     spark.createDataFrame([(0, "c d")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(0, "a b\nc d", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["meteor_exact"](spark, str(tmp_path)).first().score
-    assert math.isclose(got, round(exact_meteor(["a", "b", "c", "d"], ["c", "d"]), 6))
+    assert math.isclose(got, round(meteor_score(["a", "b", "c", "d"], ["c", "d"]), 6))
     assert got > 0
 
 
@@ -142,3 +143,39 @@ def test_registry(spark, tmp_path):
     assert datasets.load(spark, f"{plugin}:rows", "x").count() == 3
     with pytest.raises(ValueError, match="no dataset"):
         datasets.load(spark, "unknown", "x")
+
+
+def test_meteor_matches_stems():
+    assert meteor_score(["walks"], ["walking"]) == meteor_score(["a"], ["a"])
+    assert meteor_score(["walks", "walk"], ["walk"]) > meteor_score(["talks", "walk"], ["talk", "x"])
+
+
+def test_pdf_text():
+    from evidentia.sources.readers import simple_pdf_text
+
+    page = rb"BT /F1 12 Tf 72 700 Td (First \(line\)) Tj T* [(Sec) -20 (ond)] TJ ET"
+    plain, packed = (b"%PDF-1.4\n4 0 obj\n<< /Length 9 >>\nstream\n" + x + b"\nendstream\nendobj" for x in (page, zlib.compress(page)))
+    assert simple_pdf_text(plain) == simple_pdf_text(packed) == "First (line)\nSecond"
+    assert simple_pdf_text(b"") == ""
+
+
+def test_pdf_files(spark, tmp_path):
+    from evidentia.sources.readers import pdf_texts
+
+    (tmp_path / "a.pdf").write_bytes(b"stream\nBT (x y) Tj ET\nendstream")
+    (tmp_path / "b.txt").write_bytes(b"no")
+    assert [r.text for r in pdf_texts(spark, str(tmp_path)).collect()] == ["x y"]
+
+
+def test_run_log(tmp_path):
+    from evidentia.sources.sinks import run_log
+
+    run_log("test", str(tmp_path / "log")).info("began")
+    assert "began" in (tmp_path / "log").read_text()
+
+
+def test_large_documents_are_refused(spark, tmp_path):
+    from evidentia.sources.sinks import json_document
+
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        json_document(spark.range(3), str(tmp_path / "x"), limit=2)
