@@ -4,7 +4,8 @@ Only the groups of equal suffixes to the depth ``length`` matter, not the whole
 dealt to tasks by anchors: a window of ``length`` bytes always holds the place whose short string has
 the least hash in it, and equal windows hold it at the same offset. A task orders the suffixes that
 start at its anchors by depth-limited radix passes over their bytes, most significant digit first,
-eight bytes a digit; suffixes that are alone leave. What lies before the anchors is ordered likewise,
+eight bytes a digit; suffixes that are alone leave, and buckets of a few are told apart by comparing
+them. What lies before the anchors is ordered likewise,
 read backwards. The common lengths of neighbours in both orders give those of all pairs, so that a
 repeated window is one whose bytes before and after the anchor agree: judged on bytes, not on hashes.
 """
@@ -23,8 +24,8 @@ from evidentia.llm.blocks import spread as spread_blocks
 from evidentia.llm.common import as_bytes, cut, mix64, over_batches, table
 
 #: Bytes of an anchor string, at most; contexts in one task; members in one block of a hot anchor; pairs
-#: of contexts compared at once.
-ANCHOR, TASK, BLOCK, PAIRS = 24, 8192, 1024, 1 << 20
+#: of contexts compared at once; contexts up to which an anchor's are compared without being ordered.
+ANCHOR, TASK, BLOCK, PAIRS, FEW = 24, 8192, 1024, 1 << 16, 32
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -130,6 +131,30 @@ def _digits(parts: list[bytes], depth: int) -> np.ndarray:
     return np.frombuffer(b"".join([x.ljust(width, b"\0") for x in parts]), dtype=">u8").reshape(len(parts), -1).astype(np.uint64)
 
 
+def _compared(digits: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """For groups by members, how many bytes each two have in common, digit by digit."""
+    g, m = member.shape
+    out = np.zeros((g, m, m), dtype=np.int16)
+    own = digits[member]
+    for i in range(m - 1):
+        apart = own[:, i + 1 :] ^ own[:, i : i + 1]
+        first = (apart != 0).argmax(axis=2)
+        x = np.take_along_axis(apart, first[:, :, None], axis=2)[:, :, 0]
+        common = np.where(x == 0, 8 * digits.shape[1], 8 * first + 7 - np.searchsorted(_BYTES, x, side="right"))
+        out[:, i, i + 1 :] = out[:, i + 1 :, i] = common
+    return out
+
+
+def _ordered(digits: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """The same for larger groups, by ordering their suffixes."""
+    g, m = member.shape
+    order, common = radix_order(digits[member.ravel()], np.repeat(np.arange(g), m))
+    place = np.empty(g * m, dtype=np.int64)
+    place[order] = np.arange(g * m)
+    at = place.reshape(g, m) - np.arange(g)[:, None] * m
+    return _all_pairs(common.reshape(g, m))[np.arange(g)[:, None, None], at[:, :, None], at[:, None, :]]
+
+
 def repeated(contexts: list[bytes], key: np.ndarray, offset: np.ndarray, lengths: tuple[int, ...], left: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each of the lengths: (index of a context, first byte, last byte and one) of what repeated
     windows of that length cover in contexts.
@@ -138,27 +163,21 @@ def repeated(contexts: list[bytes], key: np.ndarray, offset: np.ndarray, lengths
     bytes before that. Contexts are compared with those of the same key.
     """
     found = [[] for _ in lengths]
-    _, group = np.unique(key, return_inverse=True)
+    order = np.argsort(key, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0))) if len(order) else np.zeros(0, np.int64)
+    count = np.diff(np.append(edge, len(order)))
     before = np.minimum(offset, left).astype(np.int16)
-    after = np.array([len(c) for c in contexts], dtype=np.int64) - offset
-    depth = int(after.max()) if len(after) else 0
-    ahead, with_ahead = radix_order(_digits([c[o:] for c, o in zip(contexts, offset.tolist())], depth), group)
-    back, with_back = radix_order(_digits([c[:o][::-1] for c, o in zip(contexts, offset.tolist())], max(left, int(before.max(initial=1)))), group)
-    after = after.astype(np.int16)
-    place = np.empty(len(back), dtype=np.int64)
-    place[back] = np.arange(len(back))
-    edge = np.flatnonzero(np.concatenate(([True], np.diff(group[ahead]) != 0))) if len(ahead) else np.zeros(0, np.int64)
-    count = np.diff(np.append(edge, len(ahead)))
+    after = (np.array([len(c) for c in contexts], dtype=np.int64) - offset).astype(np.int16)
+    ahead = _digits([c[o:] for c, o in zip(contexts, offset.tolist())], int(after.max(initial=1)))
+    back = _digits([c[:o][::-1] for c, o in zip(contexts, offset.tolist())], int(before.max(initial=1)))
     for m in np.unique(count[count > 1]).tolist():
         groups = edge[count == m]
         step = max(1, PAIRS // (m * m))
+        # A few suffixes are told apart by comparison, as where radix passes come down to small buckets.
+        common = _compared if m <= FEW else _ordered
         for g in range(0, len(groups), step):
-            start = groups[g : g + step, None]
-            member = ahead[start + np.arange(m)]  # groups by members, in the order of what follows
-            right = _all_pairs(with_ahead[start + np.arange(m)])
-            lefts = _all_pairs(with_back[start + np.arange(m)])
-            at = place[member] - start
-            lefts = lefts[np.arange(len(member))[:, None, None], at[:, :, None], at[:, None, :]]
+            member = order[groups[g : g + step, None] + np.arange(m)]  # groups by members
+            right, lefts = common(ahead, member), common(back, member)
             # Suffixes were filled up with zero bytes: no two have more in common than the shorter one has.
             right = np.minimum(right, np.minimum(after[member][:, :, None], after[member][:, None, :]))
             lefts = np.minimum(lefts, np.minimum(before[member][:, :, None], before[member][:, None, :]))
@@ -217,7 +236,7 @@ def covered(df: DataFrame, lengths: tuple[int, ...] = (400,), text_col: str = "t
     marks = over_batches(once, spread, "c binary, h bigint, x bigint, at int, ahead int")
     # Written, so that the join reads plain tables on either side and Spark may split a hot anchor's rows.
     twice = cut(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    marks = cut(marks.join(twice, "h"))
+    marks = cut(marks.join(twice, "h"), instead_of=once)
 
     # Equal contexts cover all of each other. One of each kind then stands for it.
     kinds = cut(marks.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct("c", "at")).alias("one")))
@@ -338,12 +357,12 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
 
 
 #: Bytes of a string that makes a passage, and words from which on it is one.
-PASSAGE, WORDS = 256, 50
+PASSAGE, WORDS = 288, 50
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``remove_repeats`` of every document at 400 bytes: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
-    Further, ``passage_words``, the most words of a run covered by repeated strings of 256 bytes, and
+    Further, ``passage_words``, the most words of a run covered by repeated strings of 288 bytes, and
     ``repeats``, whether those are 50 or more: passages too short to be removed."""
     got = remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE)
     kept = F.coalesce("kept", F.col("text").cast("binary"))

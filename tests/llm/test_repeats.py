@@ -2,12 +2,26 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from evidentia.llm import repeats as R
 from tests.llm.conftest import prose
 
 
+def flags(rows, length):
+    data = [(t or "").encode() for _, t in rows]
+    seen = Counter(x[k : k + length] for x in data for k in range(len(x) - length + 1))
+    out = []
+    for x in data:
+        gone = [False] * len(x)
+        for k in range(len(x) - length + 1):
+            if seen[x[k : k + length]] > 1:
+                gone[k : k + length] = [True] * length
+        out.append(gone)
+    return out
+
+
 def brute(rows, length):
     data = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(x[k : k + length] for _, x in data for k in range(len(x) - length + 1))
@@ -55,5 +69,40 @@ def test_query(spark, documents):
     assert got == sorted((i, n, m, s, hashlib.sha256(x).hexdigest()) for i, n, m, s, x in brute(rows, 400))
 
 
+def test_ordered_groups_as_compared_ones():
+    rng = random.Random(4)
+    parts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    digits, member = R._digits(parts, 40), np.arange(60).reshape(2, 30)
+    off = ~np.eye(30, dtype=bool)
+    assert (R._ordered(digits, member)[:, off] == R._compared(digits, member)[:, off]).all()
+
+
+@pytest.mark.parametrize("few", [1, 32])
+def test_passages(make, monkeypatch, few):
+    monkeypatch.setattr(R, "FEW", few)
+    rows = corpus(9)
+    want = {}
+    for i, x, gone in ((i, (t or "").encode(), g) for (i, t), g in zip(rows, flags(rows, 60))):
+        runs, at = [], 0
+        while at < len(x):
+            end = at
+            while end < len(x) and gone[end] == gone[at]:
+                end += 1
+            if gone[at]:
+                runs.append((at, end))
+            at = end
+        want.setdefault(i, []).append(R.most_words(x, runs))
+    got = {}
+    for r in R.remove_repeats(make(rows), 100, passage=60).collect():
+        got.setdefault(r.id, []).append(r.passage_words)
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
+
+
+def test_whole_words_of_runs():
+    assert R.most_words(b"one two three four", [(1, 13)]) == 2
+    assert R.most_words(b"one two three four", [(0, 18)]) == 4
+    assert R.most_words(b"one two", [(1, 2)]) == R.most_words(b"", []) == 0
+
+
 def test_empty(make):
     assert R.remove_repeats(make([]), 100).count() == 0
