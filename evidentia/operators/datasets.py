@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.operators.rank import ordinal
+from evidentia.operators.rank import ordinal, running_total
 
 MASKED = -100
 
@@ -25,13 +25,8 @@ def pack(samples: DataFrame, tokens: str, order: str, block: int) -> DataFrame:
 
     Offsets come from sums over ordered range partitions; tokens meet only those of their own block.
     """
-    sized = ordinal(samples.select(F.col(order), F.col(tokens).alias("_t"), F.size(tokens).cast("bigint").alias("_n")).where("_n > 0"), [F.asc(order)], "_o")
-    groups = sized.withColumn("_g", F.floor(F.col("_o") / 1000))
-    base = groups.groupBy("_g").agg(F.sum("_n").alias("_s"))
-    # One row for each thousand samples: summed in order on few rows.
-    bases = base.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_g", "_before")
-    total = sized.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
-    placed = groups.join(F.broadcast(bases), "_g").withColumn("_at", F.col("_before") + F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = running_total(samples.select(F.col(order), F.col(tokens).alias("_t"), F.size(tokens).cast("bigint").alias("_n")).where("_n > 0"), [F.asc(order)], F.col("_n"), "_at")
+    total = placed.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
     pieces = placed.select("_at", "_t", "_n", F.explode(F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("_n") - 1) / block))).alias("block"))
     start = F.greatest(F.col("block") * block - F.col("_at"), F.lit(0))
     length = F.least((F.col("block") + 1) * block - F.col("_at"), F.col("_n")) - start

@@ -23,8 +23,18 @@ def query(sql: str | None = None) -> Callable:
     return put
 
 
+#: Bytes of files from which on a table that comes in few pieces is dealt to all cores.
+LARGE = 4 << 20
+
+
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; if its files make fewer tasks than there are cores and are not small, its rows are dealt
+    out. Tables of many files or row groups are read as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= LARGE and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:

@@ -94,7 +94,7 @@ def cosine_to_first(s, d):
     """Cosine of every vector to its label's first."""
     e = t(s, d, "embeddings")
     first = e.groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("_f"))
-    return e.join(F.broadcast(first), "label").select("label", "vec_id", F.round(cosine(F.col("embedding"), F.col("_f.embedding")), 6).alias("cosine"))
+    return e.join(R.small(first), "label").select("label", "vec_id", F.round(cosine(F.col("embedding"), F.col("_f.embedding")), 6).alias("cosine"))
 
 
 CHUNKS = rf"""
@@ -113,11 +113,16 @@ chunks as (select claim_id, doc_id, chunk, string_agg(line, ' ' order by idx) as
 
 def chunked(s, d):
     """Stored documents as chunks of whole lines under 40 words."""
-    lines = F.split("text", "\n")
-    got = stored(s, d).where("text is not null").withColumn("lines", lines).withColumn("sizes", F.transform("lines", lambda x: F.size(T.tokens(x)).cast("bigint"))).withColumn("ids", T.chunk_by_budget(F.col("sizes"), 40))
-    chunks = got.select("claim_id", "doc_id", F.explode(F.array_distinct("ids")).alias("chunk"), F.arrays_zip("lines", "sizes", "ids").alias("z"))
-    mine = F.filter("z", lambda x: x["ids"] == F.col("chunk"))
-    return chunks.select("claim_id", "doc_id", "chunk", F.array_join(F.transform(mine, lambda x: x["lines"]), " ").alias("body"), F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, x: a + x["sizes"]).alias("n"))
+    kept = lambda **columns: F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_k")  # noqa: E731  made once for a row, whatever uses it
+    got = stored(s, d).where("text is not null").select("claim_id", "doc_id", F.split("text", "\n").alias("lines"))
+    got = got.select("claim_id", "doc_id", kept(lines=F.col("lines"), sizes=F.transform("lines", lambda x: F.size(T.tokens(x)).cast("bigint")))).select("claim_id", "doc_id", "_k.*")
+    got = got.select("claim_id", "doc_id", kept(lines=F.col("lines"), sizes=F.col("sizes"), ids=T.chunk_by_budget(F.col("sizes"), 40))).select("claim_id", "doc_id", "_k.*")
+    # Chunk numbers grow, so a chunk is a slice from where its number begins to where the next one does.
+    at = F.filter(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: (i == 0) | (F.get("ids", i) != F.get("ids", i - 1)))
+    got = got.select("claim_id", "doc_id", kept(lines=F.col("lines"), sizes=F.col("sizes"), ends=F.concat(at, F.array(F.size("ids"))))).select("claim_id", "doc_id", "_k.*")
+    parts = got.select("claim_id", "doc_id", "lines", "sizes", "ends", F.posexplode(F.slice("ends", F.lit(1), F.size("ends") - 1)).alias("chunk", "first"))
+    mine = lambda c: F.slice(c, F.col("first") + 1, F.get("ends", F.col("chunk") + 1) - F.col("first"))
+    return parts.select("claim_id", "doc_id", "chunk", F.array_join(mine("lines"), " ").alias("body"), F.aggregate(mine("sizes"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
 
 
 @query(f"with recursive {CHUNKS} select claim_id, doc_id, chunk, md5(body) as body_md5, n::bigint as n from chunks")
@@ -197,7 +202,7 @@ def least_similar(s, d):
     """The vector of each label that is least like its first."""
     e = cosine_to_first(s, d).withColumnRenamed("vec_id", "sample_idx").withColumnRenamed("cosine", "similarity")
     first = t(s, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("sample_idx"))
-    return R.best_by(e.join(F.broadcast(first), ["label", "sample_idx"], "left_anti"), ["label"], "similarity", "sample_idx", ["sample_idx", "similarity"], least=True)
+    return R.best_by(e.join(R.small(first), ["label", "sample_idx"], "left_anti"), ["label"], "similarity", "sample_idx", ["sample_idx", "similarity"], least=True)
 
 
 @query("""with r as (select label, vec_id, list_transform(embedding, lambda x: x::double) as v, row_number() over (partition by label order by vec_id) as n from embeddings),
@@ -207,7 +212,7 @@ def least_average_similar(s, d):
     """The vector least like the three used before, on average; used ones do not count."""
     e = R.ordinal(t(s, d, "embeddings"), [F.asc("vec_id")], "n", ["label"])
     used = e.where("n < 3").select("label", F.col("embedding").alias("u"))
-    mean = e.where("n >= 3").join(F.broadcast(used), "label").groupBy("label", "vec_id").agg(F.round(F.avg(F.round(cosine(F.col("embedding"), F.col("u")), 6)), 6).alias("mean"))
+    mean = e.where("n >= 3").join(R.small(used), "label").groupBy("label", "vec_id").agg(F.round(F.avg(F.round(cosine(F.col("embedding"), F.col("u")), 6)), 6).alias("mean"))
     return R.best_by(mean, ["label"], "mean", "vec_id", ["vec_id", "mean"], least=True)
 
 
