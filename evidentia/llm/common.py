@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from evidentia.operators.tables import checkpoint_folder, cut  # noqa: F401
+
 #: White space of the word contracts: space and the bytes 9 to 13.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -25,39 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; one is set here only where the session has none and runs
-    on one machine (tests). On a cluster without one this fails: its machines share no other folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("the session names no spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="evidentia-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-#: Spark removes the shuffle files of a query that is over where this is on.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
-    """Writes ``df`` as a table in the shared checkpoint folder and reads it from there, so that later
-    uses neither recompute it nor depend on one executor. The shuffle files that went into it go, and so
-    does ``instead_of``, an earlier table of ``cut`` that nothing reads any more."""
-    spark = df.sparkSession
-    folder, before = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.select("*").write.parquet(folder)
-    finally:
-        spark.conf.set(_CLEAN, before)
-    if instead_of is not None:
-        for f in {x.rsplit("/", 1)[0] for x in instead_of.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
