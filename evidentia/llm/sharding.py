@@ -21,7 +21,7 @@ ROW_BYTES = 16
 #: A group or bundle is at most this part of a shard, or else a single large group.
 FINE = 256
 #: Groups in a bucket and buckets at most.
-BUCKET_GROUPS, BUCKETS = 50_000, 4096
+BUCKET_GROUPS, BUCKETS = 50_000, 1 << 17
 
 
 class Rooms:
@@ -159,7 +159,7 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("at least one shard")
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = cut(df.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("bigint") + ROW_BYTES).alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("digest")))
+    rows = cut(df.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("bigint") + ROW_BYTES).alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("digest"), F.monotonically_increasing_id().alias("row")))
     groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
     large = max(1, math.ceil((total.bytes or 0) / shards / FINE))
@@ -189,15 +189,15 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
     of_alone = spark.createDataFrame([(bytearray(d), i, s, -(-alone[i].n // step)) for d, (i, s) in named.items()], "digest binary, alone int, shard int, blocks bigint")
 
     # A large group's rows are numbered in blocks, so that no task has to hold all of them.
-    hot = rows.join(F.broadcast(of_alone), "digest").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    hot = rows.join(F.broadcast(of_alone), "digest").withColumn("block", F.pmod(F.xxhash64("id", "row"), F.col("blocks")))
     bases = []
     for r in hot.groupBy("alone", "shard", "block").count().orderBy("alone", "block").collect():
         bases.append((r.alone, r.block, filled[r.shard]))
         filled[r.shard] += r["count"]
     by_block = spark.createDataFrame(bases, "alone int, block bigint, base bigint")
-    hot = hot.join(F.broadcast(by_block), ["alone", "block"]).select("id", "size", "text_crc32", "shard", "base", F.col("alone").alias("a"), F.col("block").alias("b"))
-    cold = rows.join(F.broadcast(of_alone.select("digest")), "digest", "left_anti").join(where, "digest").select("id", "size", "text_crc32", "shard", "base", (-F.col("bucket") - 1).alias("a"), F.col("bundle").alias("b"))
-    number = F.row_number().over(Window.partitionBy("a", "b").orderBy("id", "size", "text_crc32"))
+    hot = hot.join(F.broadcast(by_block), ["alone", "block"]).select("id", "row", "size", "text_crc32", "shard", "base", F.col("alone").alias("a"), F.col("block").alias("b"))
+    cold = rows.join(F.broadcast(of_alone.select("digest")), "digest", "left_anti").join(where, "digest").select("id", "row", "size", "text_crc32", "shard", "base", (-F.col("bucket") - 1).alias("a"), F.col("bundle").alias("b"))
+    number = F.row_number().over(Window.partitionBy("a", "b").orderBy("id", "row"))
     return hot.unionByName(cold).select("id", "size", "text_crc32", "shard", (F.col("base") + number - 1).alias("slot"))
 
 
