@@ -50,6 +50,7 @@ CLAMP = 12.0
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|<[^<]*|[^<]+", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _BLANK = re.compile(r"\s+")
@@ -163,7 +164,7 @@ def parse(source: str) -> Page:
         if len(token) > len(name) + 2:
             for a in _ATTRIBUTE.finditer(token[len(name) + 1 :]):
                 key, value = a.group(1).lower(), (a.group(2) or "").strip("\"'")
-                if key == "hidden" or (key == "style" and "none" in value):
+                if key == "hidden" or (key == "style" and _UNSEEN.search(value)):
                     marks.append("hidden")
                 elif key != "style":
                     marks += _WORD.findall(_CAMEL.sub(" ", value).lower())
@@ -458,6 +459,7 @@ def extract(df: DataFrame, model: Model, id_col: str = "page_id", html_col: str
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``extract`` of every page: page_id, url, text and n_chars, the text's code points."""
     got = extract(table(spark, sf_dir, "pages"), default_model(), keep=("url",))
     return got.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 

@@ -347,7 +347,8 @@ def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: s
 
 
 def filter_documents(docs: DataFrame, weights: Weights, text_col: str = "text") -> DataFrame:
-    """The rows that ``score`` keeps, with all their columns."""
+    """The rows that ``score`` keeps, with all their columns: null and empty texts, null and repeated ids
+    included; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("boolean")
