@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.blocks import spread as spread_blocks
-from evidentia.llm.common import as_bytes, cut, mix64, over_batches, table
+from evidentia.llm.common import as_bytes, cut, mix64, over_batches, shingles, table, word_hashes
 
 #: Bytes of an anchor string, at most; contexts in one task; members in one block of a hot anchor; pairs
 #: of contexts compared at once; contexts up to which an anchor's are compared without being ordered.
-ANCHOR, TASK, BLOCK, PAIRS, FEW = 24, 8192, 1024, 1 << 16, 32
+ANCHOR, TASK, BLOCK, PAIRS, FEW = 64, 8192, 1024, 1 << 16, 32
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -72,14 +72,17 @@ def anchors(data: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, F
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), None
     prints = Fingerprints(np.frombuffer(data, np.uint8))
     grams = prints.all_of(k)
-    least = sliding_min(grams, w)
-    # A place is chosen if it is the least of some window that holds it: the greatest of their minima.
-    ends = np.full(w - 1, 0, np.uint64)
-    greatest = ~sliding_min(~np.concatenate((ends, least, ends)), w)
-    at = np.flatnonzero(grams == greatest)
+    at = chosen(grams, w)
     return at, grams[at], prints
 
 
+def chosen(hashes: np.ndarray, w: int) -> np.ndarray:
+    """Places of which every ``w`` neighbours hold one: those with the least hash of some such run."""
+    ends = np.full(w - 1, 0, np.uint64)
+    greatest = ~sliding_min(~np.concatenate((ends, sliding_min(hashes, w), ends)), w)
+    return np.flatnonzero(hashes == greatest)
+
+
 #: Bounds of 64-bit numbers with 1 to 8 bytes.
 _BYTES = np.array([1 << (8 * k) for k in range(1, 8)], dtype=np.uint64)
 
@@ -242,8 +245,11 @@ def covered(df: DataFrame, lengths: tuple[int, ...] = (400,), text_col: str = "t
     kinds = cut(marks.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct("c", "at")).alias("one")))
     first, last = F.greatest(F.lit(0), F.col("at") - left), F.col("at") + F.col("ahead")
     whole = marks.join(kinds.where("n > 1").select("h", "x"), ["h", "x"]).select("c", first.alias("first"), last.alias("last"))
+    whole = cut(_runs(whole.select("c", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in enumerate(lengths)])).alias("_l"), "first", "last").where(F.col("last") - F.col("first") >= F.col("_l.n")).select("c", "_l.k", "first", "last"), len(lengths)), instead_of=marks)
     open_groups = cut(kinds.groupBy("h").agg(F.count("*").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1").select("h", "n"))
+    n_tasks = max(1, -(-(open_groups.agg(F.sum("n")).first()[0] or 0) // TASK))
     asked = kinds.select("h", "one").join(open_groups, "h").select("h", "n", "one.c", "one.at").groupBy("c").agg(F.collect_list(F.struct("h", "at", "n")).alias("asked"))
+    asked = cut(asked, instead_of=kinds)
 
     def keyed(batch: pa.RecordBatch) -> dict[str, list]:
         return {"c": [text_key(x) for x in as_bytes(batch.column(0))], "text": batch.column(0).to_pylist()}
@@ -260,7 +266,6 @@ def covered(df: DataFrame, lengths: tuple[int, ...] = (400,), text_col: str = "t
     distinct = over_batches(texts, keyed, "c binary, text string")
     contexts = over_batches(distinct.join(asked, "c").dropDuplicates(["c"]).select("c", "text", "asked"), around, "h bigint, n bigint, c binary, lo int, offset int, context binary")
     tasks = spread_blocks(contexts, "n", BLOCK, F.xxhash64("c", "lo"))
-    n_tasks = max(1, -(-kinds.count() // TASK))
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, c = pdf["lo"].to_numpy(), pdf["c"].to_numpy()
@@ -270,12 +275,15 @@ def covered(df: DataFrame, lengths: tuple[int, ...] = (400,), text_col: str = "t
         return pd.concat(out)
 
     judged = tasks.withColumn("task", F.pmod("h", F.lit(n_tasks))).groupBy("task", "bi", "bj").applyInPandas(judge, "c binary, k int, first int, last int")
-    of_length = [whole.where(F.col("last") - F.col("first") >= n).withColumn("k", F.lit(k)).select("c", "k", "first", "last") for k, n in enumerate(lengths)]
-    runs = judged
-    for some in of_length:
-        runs = runs.unionByName(some)
-    runs = runs.groupBy("c").agg(F.collect_list(F.struct("k", "first", "last")).alias("runs"))
-    return runs.select("c", *[merge_runs("runs", k).alias(f"spans{k}") for k in range(len(lengths))])
+    for k in range(len(lengths)):
+        judged = judged.unionByName(whole.select("c", F.lit(k).alias("k"), F.inline(f"spans{k}")))
+    return _runs(judged, len(lengths))
+
+
+def _runs(rows: DataFrame, kinds: int) -> DataFrame:
+    """Rows of (c, k, first, last) as the merged runs of each kind by ``c``."""
+    runs = rows.groupBy("c").agg(F.collect_list(F.struct("k", "first", "last")).alias("runs"))
+    return runs.select("c", *[merge_runs("runs", k).alias(f"spans{k}") for k in range(kinds)])
 
 
 def merge_runs(column: str, k: int):  # noqa: ANN201
@@ -308,10 +316,45 @@ def most_words(data: bytes, runs: list[tuple[int, int]]) -> int:
     return most
 
 
-def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None) -> DataFrame:
+def with_repeated_words(df: DataFrame, words: int = 50, slack: int = 5, text_col: str = "text") -> DataFrame:
+    """Column ``c``, the digests of texts that hold a run of words which occurs at another place too, in
+    the same text or another row: every run of ``words`` words is noticed, none of ``words - slack`` or
+    fewer. Words are parted by white space, A-Z in lower case. Null and short texts have no such run.
+
+    Of the runs of ``words - slack`` words and one, those with the least hash among ``slack`` neighbours
+    stand for all; hashes have 64 bits and are counted, not compared by their words."""
+    size = words - slack + 1
+
+    def found(batch: pa.RecordBatch) -> dict[str, list]:
+        texts = as_bytes(batch.column(0))
+        hashes, at = word_hashes(texts)
+        out: dict[str, list] = {"c": [], "runs": []}
+        for i, t in enumerate(texts):
+            own = hashes[at[i] : at[i + 1]]
+            if len(own) >= words:
+                runs = shingles(own, size)
+                out["c"].append(text_key(t))
+                out["runs"].append(runs[chosen(runs, slack)].tobytes())
+        return out
+
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        runs = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        owner = np.repeat(np.arange(len(runs)), [len(x) for x in runs])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(np.concatenate(runs))], names=["c", "h"])
+
+    texts = df.select(F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= 2 * words - 1)
+    blobs = cut(over_batches(texts, found, "c binary, runs binary"))
+    marks = over_batches(blobs, spread, "c binary, h bigint")
+    twice = cut(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    return cut(marks.join(twice, "h").select("c").distinct(), instead_of=blobs)
+
+
+def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None, words: int | None = None) -> DataFrame:
     """One row per input row: the id as ``id``, ``n_bytes``, ``spans`` (covered runs, null if none),
     ``kept``, the bytes that stay, null if all do, and ``passage_words``: with a ``passage``, a shorter
-    length, the most whole words in a run that repeated strings of that length cover, else 0.
+    length, the most whole words in a run that repeated strings of that length cover, else 0; and
+    ``repeats``: with ``words``, whether the text holds a run of so many words that occurs elsewhere, by
+    ``with_repeated_words``, else false.
 
     Rows of equal text cover each other whole if they have ``length`` bytes, and stand for one text
     otherwise. Null and shorter texts keep all; ids may be null or repeated; very long texts are handled
@@ -327,7 +370,9 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
 
     rows = over_batches(rows, keyed, f"id {kind}, c binary, text string").withColumn("n_bytes", F.octet_length("text").cast("bigint"))
     copies = rows.groupBy("c").agg(F.count("*").alias("n")).where("n > 1")
-    known = cut(covered(df, lengths, text_col).join(copies, "c", "full"))
+    flagged = None if words is None else with_repeated_words(df, words, text_col=text_col)
+    known = covered(df, lengths, text_col).join(copies, "c", "full")
+    known = cut(known.withColumn("repeats", F.lit(False)) if flagged is None else known.join(flagged.withColumn("repeats", F.lit(True)), "c", "full"))
     marked = rows.join(known, "c", "left")
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n_bytes").cast("int").alias("last")))
     for k, n in enumerate(lengths):
@@ -346,25 +391,25 @@ def remove_repeats(df: DataFrame, length: int = 400, id_col: str = "doc_id", tex
         return pd.Series([one(t, r) for t, r in zip(text, spans)])
 
     @F.pandas_udf("int")
-    def words(text: pd.Series, spans: pd.Series) -> pd.Series:
+    def most(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([most_words(t.encode("utf-8", "surrogatepass"), [(r["first"], r["last"]) for r in runs]) for t, runs in zip(text, spans)], dtype="int32")
 
     # Null spans come as empty arrays to the functions, whose results are then not used.
     given = lambda k: F.coalesce(f"spans{k}", F.expr("cast(array() as array<struct<first:int,last:int>>)"))
-    seen = F.lit(0) if passage is None else F.when(F.col("spans1").isNotNull(), words(F.when(F.col("spans1").isNotNull(), F.col("text")).otherwise(""), given(1))).otherwise(0)
+    seen = F.lit(0) if passage is None else F.when(F.col("spans1").isNotNull(), most(F.when(F.col("spans1").isNotNull(), F.col("text")).otherwise(""), given(1))).otherwise(0)
     kept = F.when(F.col("spans0").isNotNull(), left_over(F.when(F.col("spans0").isNotNull(), F.col("text")).otherwise(""), given(0)))
-    return marked.select("id", "n_bytes", F.col("spans0").alias("spans"), "text", kept.alias("kept"), seen.alias("passage_words"))
+    return marked.select("id", "n_bytes", F.col("spans0").alias("spans"), "text", kept.alias("kept"), seen.alias("passage_words"), F.coalesce("repeats", F.lit(False)).alias("repeats"))
 
 
-#: Bytes of a string that makes a passage, and words from which on it is one.
-PASSAGE, WORDS = 288, 50
+#: Words of a passage that ``repeats`` tells of.
+WORDS = 50
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``remove_repeats`` of every document at 400 bytes: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
-    Further, ``passage_words``, the most words of a run covered by repeated strings of 288 bytes, and
-    ``repeats``, whether those are 50 or more: passages too short to be removed."""
-    got = remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE)
+    Further, ``repeats``: whether the document holds a run of 50 words that occurs elsewhere too, as
+    those are often too short to be removed."""
+    got = remove_repeats(table(spark, sf_dir, "documents"), words=WORDS)
     kept = F.coalesce("kept", F.col("text").cast("binary"))
     return got.select(
         F.col("id").alias("doc_id"),
@@ -372,8 +417,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length(kept)).cast("bigint").alias("n_removed"),
         F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("bigint").alias("n_spans"),
         F.sha2(kept, 256).alias("kept_sha256"),
-        "passage_words",
-        (F.col("passage_words") >= WORDS).alias("repeats"),
+        "repeats",
     )
 
 

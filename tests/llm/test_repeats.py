@@ -98,6 +98,24 @@ def test_passages(make, monkeypatch, few):
     assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}
 
 
+def test_runs_of_words(make):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 30)) for i in range(20)]
+    shared = prose(rng, 60).split()
+    for i, n in enumerate((12, 14, 15, 16, 19, 20, 25, 60)):
+        rows += [(100 + i, prose(rng, 40) + " x\ny  " + " ".join(shared[:n])), (200 + i, " ".join(shared[60 - n :]))]
+    rows += [(300, rows[3][1]), (301, None), (302, ""), (303, " ".join(shared[:30] + ["q"] + shared[:30]))]
+    w = {i: (t or "").split() for i, t in rows}
+
+    def held(k):
+        seen = Counter(tuple(x[j : j + k]) for x in w.values() for j in range(len(x) - k + 1))
+        return {i for i, x in w.items() if any(seen[tuple(x[j : j + k])] > 1 for j in range(len(x) - k + 1))}
+
+    keys = {r.c for r in R.with_repeated_words(make(rows), 20, 5).collect()}
+    got = {i for i, t in rows if R.text_key((t or "").encode()) in {bytes(k) for k in keys}}
+    assert held(20) <= got <= held(16)
+
+
 def test_whole_words_of_runs():
     assert R.most_words(b"one two three four", [(1, 13)]) == 2
     assert R.most_words(b"one two three four", [(0, 18)]) == 4
