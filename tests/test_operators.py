@@ -179,3 +179,9 @@ def test_large_documents_are_refused(spark, tmp_path):
 
     with pytest.raises(ValueError, match="more than 2 rows"):
         json_document(spark.range(3), str(tmp_path / "x"), limit=2)
+
+
+def test_blocks_of_a_stated_set(spark):
+    few = spark.range(25)
+    assert [p.count() for p in rank.blocks(few, "id", 100)] == [25]
+    assert sorted(r.id for p in rank.blocks(few, "id", 10) for r in p.collect()) == list(range(25))
