@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.operators.tables import checkpoint_folder, cut  # noqa: F401
+from evidentia.plans.base import t
 
 #: White space of the word contracts: space and the bytes 9 to 13.
 SPACE = np.zeros(256, dtype=bool)
@@ -22,7 +23,7 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return t(spark, sf_dir, name)
 
 
 def sha256_hex(data: bytes) -> str:
