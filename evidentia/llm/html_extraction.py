@@ -24,8 +24,13 @@ from evidentia.llm.common import over_batches, table
 
 # Element names of HTML by their role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "video", "audio", "xmp", "noembed", "noframes"}
+#: Text up to the end tag, whatever it holds; none of it is content.
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes"}
+#: Elements shown as something else than their text.
+UNSEEN = {"template", "svg", "canvas", "video", "audio", "annotation", "annotation-xml"}
 INLINE = {
+    "object", "math", "semantics", "maction", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom",
+    "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover",
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
     "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
@@ -47,7 +52,11 @@ FEATURES = 4096
 #: Log odds are kept within this, so that no single feature decides beyond all evidence.
 CLAMP = 12.0
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|<[^<]*|[^<]+", re.S)
+#: A quote begins a value only behind an equals sign and if the value ends before white space, a slash or
+#: the tag's end; any other quote is a character like the rest, and the tag ends at the next ">".
+_TAG = r"</?[a-zA-Z](?:[^>=]|=\s*\"[^\"]*\"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|=)*+(?:>|\Z)"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|{_TAG}|<[^<]*|[^<]+", re.S)
+_ELEMENT = re.compile(r"[a-z][a-z0-9-]*")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -75,9 +84,42 @@ class Page:
     runs: list[tuple[int, str]] = field(default_factory=list)
 
 
+class Ends:
+    """Where elements end that are passed over whole. Each name's tags are looked for once."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.raw: dict[str, list[int]] = {}
+        self.nested: dict[str, dict[int, int]] = {}
+
+    def of_raw(self, name: str, at: int) -> int | None:
+        """The end of the first end tag of ``name`` from ``at`` on, tags or not in between."""
+        found = self.raw.get(name)
+        if found is None:
+            found = self.raw[name] = [m.end() for m in re.finditer(rf"</{name}(?=[\s/>])[^>]*>", self.source, re.I)][::-1]
+        while found and found[-1] <= at:
+            found.pop()
+        return found[-1] if found else None
+
+    def of_nested(self, name: str, start: int) -> int | None:
+        """The end of the end tag that goes with the start tag at ``start``."""
+        if name not in self.nested:
+            pairs: dict[int, int] = {}
+            opened: list[int] = []
+            for m in re.finditer(rf"<(/?){name}(?=[\s/>])[^>]*>", self.source, re.I):
+                if not m.group(1):
+                    opened.append(m.start())
+                elif opened:
+                    pairs[opened.pop()] = m.end()
+            self.nested[name] = pairs
+        return self.nested[name].get(start)
+
+
 def parse(source: str) -> Page:
     """The block elements of a page and their runs of inline text. Unclosed and stray tags are
-    tolerated; what is cut off at the end counts as it stands."""
+    tolerated; what is cut off at the end counts as it stands. Scripts and the like end at their end
+    tag in the source, whatever stands before it; without one, a script or style takes the rest, while
+    other elements that are passed over are ignored as if they were empty."""
     page = Page([Block("html", -1)])
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block they write to
     piece: list[str] = []
@@ -103,16 +145,13 @@ def parse(source: str) -> Page:
             name, owner = stack.pop()
             if name == "a":
                 links -= 1
-            if name not in INLINE:
+            if name not in INLINE and _ELEMENT.fullmatch(name):
                 flush(owner)
 
-    skip = ""
-    for m in _TOKEN.finditer(source):
-        token = m.group()
-        if skip:
-            if token[:2] == "</" and (n := _NAME.match(token)) and n.group(1).lower() == skip:
-                skip = ""
-            continue
+    ends, at = Ends(source), 0
+    while at < len(source):
+        m = _TOKEN.match(source, at)
+        at, token = m.end(), m.group()
         if token[0] != "<" or not (named := _NAME.match(token)):
             if token[:2] not in ("<!", "<?"):
                 piece.append(token)
@@ -128,9 +167,10 @@ def parse(source: str) -> Page:
                 if stack[i][0] in SCOPE and name not in ("html", "body", "table", "article", "main", "section", "div"):
                     break
             continue
-        if name in RAW:
+        if name in RAW or name in UNSEEN:
             if not token.endswith("/>"):
-                skip = name
+                end = ends.of_raw(name, m.end()) if name in RAW else ends.of_nested(name, m.start())
+                at = end or (len(source) if name in ("script", "style") else at)
             piece.append(" ")
             continue
         if name in VOID or name == "html":
@@ -138,17 +178,17 @@ def parse(source: str) -> Page:
             if name == "hr":
                 flush(stack[-1][1])
             continue
-        if name in INLINE:
+        if name in INLINE or not _ELEMENT.fullmatch(name):
             if name == "a":
                 links += 1
             stack.append((name, stack[-1][1]))
             continue
         if name in CLOSES:
-            ends, until = CLOSES[name]
+            closed, until = CLOSES[name]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in until:
                     break
-                if stack[i][0] in ends:
+                if stack[i][0] in closed:
                     close(i)
                     if name not in ("tr", "tbody"):
                         break
