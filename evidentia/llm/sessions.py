@@ -25,6 +25,11 @@ def micros(df: DataFrame, name: str) -> Column:
     return F.unix_micros(F.col(name).cast("timestamp"))
 
 
+def cell_of(t: Column, gap: int) -> Column:
+    """The number of the cell that a time lies in: exact, also before 1970."""
+    return ((t - F.pmod(t, F.lit(gap))) / gap).cast("bigint")
+
+
 def carried(cells: DataFrame, before: dict[str, Column], after: dict[str, Column]) -> DataFrame:
     """``cells`` (``client``, ``cell``) with the greatest of each of ``before`` over the client's earlier
     cells, and the least of each of ``after`` over its later ones; null where there are none.
@@ -86,51 +91,59 @@ def sessionise(events: DataFrame, final: Column, amount: Column, gap: int = 15 *
     ).where("id is not null and client is not null and t is not null")
     first = F.min(F.struct("arrived", "client", "t", "final", "amount")).alias("_one")
     clicks = taken.groupBy("id").agg(first).select("id", "_one.*")
-    clicks = clicks.withColumn("late", F.coalesce(F.col("arrived") - F.col("t") > late, F.lit(False))).withColumn("cell", F.floor(F.col("t") / gap)).drop("arrived")
+    clicks = clicks.withColumn("late", F.coalesce(F.col("arrived") - F.col("t") > late, F.lit(False))).withColumn("cell", cell_of(F.col("t"), gap)).drop("arrived")
 
-    # Breaks inside cells; the first click of a cell is judged on the summaries.
-    inside = Window.partitionBy("client", "cell", "late").orderBy("t", "id")
+    # Breaks inside cells, where timely clicks come first; the first click of a cell is judged on the
+    # summaries. The last row of a cell holds what it sums up to.
+    inside = Window.partitionBy("client", "cell").orderBy("late", "t", "id")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at, timely = F.struct("t", "id"), ~F.col("late")
-    previous = F.lag(F.struct("t", "final")).over(inside)
-    marked = clicks.repartition("client", "cell").withColumn("_previous", previous).withColumn("next_t", F.lead("t").over(inside))
-    known = timely & F.col("_previous").isNotNull() & (F.col("_previous.final") | (F.col("t") - F.col("_previous.t") >= gap))
-    rows = cut(marked.withColumn("known", known).withColumn("previous_t", F.col("_previous.t")).drop("_previous"))
+    marked = clicks.repartition("client", "cell").withColumns({"previous_t": F.lag("t").over(inside), "_ended": F.lag("final").over(inside), "next_t": F.lead(F.when(timely, F.col("t"))).over(inside), "is_last": F.lead("id").over(inside).isNull()})
+    known = timely & F.col("previous_t").isNotNull() & (F.col("_ended") | (F.col("t") - F.col("previous_t") >= gap))
+    of_cell = {
+        "first_t": F.first(F.when(timely, F.col("t")), ignorenulls=True),
+        "first_id": F.first(F.when(timely, F.col("id")), ignorenulls=True),
+        "last_t": F.last(F.when(timely, F.col("t")), ignorenulls=True),
+        "last_final": F.last(F.when(timely, F.col("final")), ignorenulls=True),
+        "break_t": F.first(F.when(F.col("known"), F.col("previous_t")), ignorenulls=True),
+        "start_t": F.last(F.when(F.col("known"), F.col("t")), ignorenulls=True),
+        "start_id": F.last(F.when(F.col("known"), F.col("id")), ignorenulls=True),
+    }
+    summed = marked.withColumn("known", known).withColumns({n: v.over(so_far) for n, v in of_cell.items()})
+    rows = cut(summed.select("client", "cell", "late", "t", "id", "final", "amount", "next_t", "known", F.when(F.col("is_last"), F.struct(*of_cell)).alias("sums")))
 
     # Cells of clients: first and last click, breaks inside, and the nearest clicks outside.
-    broken = F.struct("t", "id", "previous_t")
-    cells = rows.groupBy("client", "cell").agg(
-        F.min(F.when(timely, at)).alias("first"),
-        F.max(F.when(timely, F.struct("t", "id", "final"))).alias("last"),
-        F.min(F.when(F.col("known"), broken)).alias("break"),
-        F.max(F.when(F.col("known"), at)).alias("last_start"),
-    )
+    pair = lambda t, x, name: F.when(F.col(t).isNotNull(), F.struct(F.col(t).alias("t"), F.col(x).alias(name)))
+    cells = rows.where("sums is not null").select("client", "cell", "sums.*")
+    cells = cells.select("client", "cell", pair("first_t", "first_id", "id").alias("first"), pair("last_t", "last_final", "final").alias("last"), "break_t", pair("start_t", "start_id", "id").alias("last_start"))
     cells = carried(cells, {"earlier": F.col("last")}, {"later": F.col("first")})
     apart = lambda a, b: b["t"].isNull() | (b["t"] - a["t"] >= gap) | a["final"]
     opens = F.col("first").isNotNull() & (F.col("earlier").isNull() | apart(F.col("earlier"), F.col("first")))
     closes = F.col("last").isNotNull() & apart(F.col("last"), F.col("later"))
     cells = cells.withColumn("opens", opens).withColumn("closes", closes).withColumn("last_start", F.coalesce("last_start", F.when(F.col("opens"), F.col("first"))))
     # Where the run that comes into a cell ends, if it does not go on behind it.
-    stop = F.when(F.col("break").isNotNull(), F.col("break.previous_t")).when(F.col("closes"), F.col("last.t"))
+    stop = F.coalesce("break_t", F.when(F.col("closes"), F.col("last.t")))
     cells = cut(cells.withColumn("_stop", F.when(~F.col("opens"), F.struct("cell", stop.alias("t")))).withColumn("_stop", F.when(F.col("_stop.t").isNotNull(), F.col("_stop"))))
     runs = cut(carried(cells, {}, {"stop": F.col("_stop")}), instead_of=cells).drop("_stop")
 
     # Clicks whose run goes on for more than the length point to the first one beyond it, which lies in the
     # cell of that time or, if the click is not there, is the first of a later cell.
     onward = F.col("first").isNotNull() & ~F.col("closes") & (F.coalesce(F.col("last_start.t"), F.col("first.t")) + span < F.col("stop.t"))
-    long = runs.where(onward).select("client", "cell", F.col("last_start.t").alias("_from"), F.col("last_start.id").alias("_from_id"), F.col("stop.t").alias("_stop"))
-    begun = F.col("_from").isNull() | (at >= F.struct(F.col("_from").alias("t"), F.col("_from_id").alias("id")))
-    sources = rows.where(timely).join(long, ["client", "cell"]).where(begun & (F.col("t") + span < F.col("_stop")))
-    sources = cut(sources.select("client", "cell", "t", "id"))
-    probes = sources.select("client", F.floor((F.col("t") + span) / gap).alias("cell"), (F.col("t") + span).alias("t"), "id", F.lit(True).alias("probe"))
-    there = probes.select("client", "cell").distinct()
-    targets = rows.where(timely).join(there, ["client", "cell"], "left_semi").select("client", "cell", "t", "id", F.lit(False).alias("probe"))
+    long = runs.where(onward).select("client", "cell", F.col("last_start.t").alias("from_t"), F.col("last_start.id").alias("from_id"), F.col("stop.t").alias("stop_t"))
+    ahead = F.sequence(*[cell_of(F.col("cell") * gap + x + span, gap) for x in (0, gap - 1)])
+    there = long.select("client", F.explode(ahead).alias("cell"), *[F.lit(None).cast("bigint").alias(c) for c in ("from_t", "from_id", "stop_t")])
+    wanted = long.unionByName(there).groupBy("client", "cell").agg(*[F.max(c).alias(c) for c in ("from_t", "from_id", "stop_t")])
+    some = cut(rows.where(timely).select("client", "cell", "t", "id").join(wanted, ["client", "cell"]))
+    begun = F.col("from_t").isNull() | (at >= F.struct(F.col("from_t").alias("t"), F.col("from_id").alias("id")))
+    sources = some.where(begun & (F.col("t") + span < F.col("stop_t")))
+    probes = sources.select("client", cell_of(F.col("t") + span, gap).alias("cell"), (F.col("t") + span).alias("t"), "id", F.lit(True).alias("probe"))
+    targets = some.select("client", "cell", "t", "id", F.lit(False).alias("probe"))
     click = F.when(~F.col("probe"), F.struct("id", "client", "cell", "t"))
     backwards = Window.partitionBy("client", "cell").orderBy(F.desc("t"), F.desc("probe"), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = probes.unionByName(targets).withColumn("to", F.last(click, ignorenulls=True).over(backwards)).where("probe")
-    beyond = runs.select("client", "cell", F.struct(F.col("later.id").alias("id"), "client", F.floor(F.col("later.t") / gap).alias("cell"), F.col("later.t").alias("t")).alias("_beyond"))
+    beyond = runs.select("client", "cell", F.struct(F.col("later.id").alias("id"), "client", cell_of(F.col("later.t"), gap).alias("cell"), F.col("later.t").alias("t")).alias("_beyond"))
     pointers = found.join(beyond, ["client", "cell"], "left").select("id", F.coalesce("to", "_beyond").alias("to"))
-    at_break = runs.where("last_start is not null").select("client", "cell", "last_start")
-    starts = sources.join(at_break, ["client", "cell"]).where(at == F.col("last_start")).select("id", "client", "cell", "t")
+    starts = sources.where((F.col("t") == F.col("from_t")) & (F.col("id") == F.col("from_id"))).select("id", "client", "cell", "t")
     jumps = reached(starts, pointers).groupBy("client", "cell").agg(F.max(at).alias("jump"))
 
     # All starts: breaks inside cells, first clicks of cells that open a run, ends of jumps; then the last
@@ -140,7 +153,7 @@ def sessionise(events: DataFrame, final: Column, amount: Column, gap: int = 15 *
     started = F.col("known") | (timely & ((F.col("opens") & (at == F.col("first"))) | F.coalesce(at == F.col("jump"), F.lit(False))))
     up_to = Window.partitionBy("client", "cell").orderBy("t", "late", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # At one time, timely clicks come first, so a late click sees all starts of its time.
-    of = rows.join(cells, ["client", "cell"]).withColumn("start", F.coalesce(F.last(F.when(started, at), ignorenulls=True).over(up_to), F.col("open"))).where("start is not null")
+    of = rows.drop("sums").join(cells, ["client", "cell"]).withColumn("start", F.coalesce(F.last(F.when(started, at), ignorenulls=True).over(up_to), F.col("open"))).where("start is not null")
     wait = F.coalesce("next_t", "later.t") - F.col("t")
     ended = F.struct("t", "id", F.when(F.col("final"), "end").when(wait.isNull(), "none").when(wait >= gap, "gap").otherwise("length").alias("by"))
     sessions = of.groupBy("client", "start").agg(
