@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 # --- Fixed values -------------------------------------------------------------------------------
 
@@ -48,11 +51,47 @@ def words(text: Column) -> Column:
     return F.split(text, " ")
 
 
-def sentences(text: Column) -> Column:
+#: White space between words, as a pattern.
+BLANKS = r"[ \t\n\r]+"
+
+
+def word_core(word: Column) -> Column:
+    """A word in lower case without what is neither letter nor digit around it, but for full stops behind it."""
+    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", "")
+
+
+def core_type(core: Column) -> Column:
+    """The type of a ``word_core``: it without the full stops behind it; whatever has no letter is a number."""
+    bare = F.rtrim(core, F.lit("."))
+    return F.when((bare != "") & ~F.rlike(bare, F.lit(r"\p{L}")), "##number##").otherwise(bare)
+
+
+def is_capitalised(word: Column) -> Column:
+    return F.rlike(word, F.lit(r"^[^\p{L}\p{N}]*\p{Lu}"))
+
+
+def sentences(text: Column, boundaries=None) -> Column:
     """Trimmed sentences: text is cut after a full stop, exclamation or question mark with white space
-    behind it. One documented rule for both engines, in place of a language model."""
-    marked = F.regexp_replace(text, r"([.!?])\s+", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
+    behind it. With ``boundaries`` (``operators.boundaries.Boundaries``), a full stop behind one of its
+    abbreviations, or behind a single letter, cuts only before a capitalised one of its starters."""
+    if boundaries is None:
+        marked = F.regexp_replace(text, r"([.!?])\s+", "$1\u0001")
+    else:
+        from evidentia.operators.boundaries import doubtful
+
+        pieces = F.split(F.regexp_replace(text, r"([.!?])(\s+)", "$1\u0001$2"), "\u0001")
+        edge = lambda x, i: F.substring_index(F.translate(F.trim(x), "\t\n\r", "   "), " ", i)
+
+        def joined(before: Column, piece: Column) -> Column:
+            core, word = word_core(edge(before, -1)), edge(F.regexp_replace(piece, r"^\s+", ""), 1)
+            opens = is_capitalised(word) & (core_type(word_core(word)).isin(*boundaries.starters) if boundaries.starters else F.lit(False))
+            goes_on = F.endswith(core, F.lit(".")) & doubtful(core_type(core), boundaries.abbreviations) & ~opens
+            return F.when(before.isNull() | goes_on, piece).otherwise(F.concat(F.lit("\u0001"), piece))
+
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(pieces, F.lit(1), F.size(pieces) - 1))
+        marked = F.array_join(F.zip_with(before, pieces, joined), "")
+    blanks = F.lit(" ") if boundaries is None else F.lit(" \t\n\r")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s, blanks)), lambda s: s != "")
 
 
 def first_token(text: Column) -> Column:
@@ -84,17 +123,27 @@ def by_offsets(text: Column, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.substring(text, s["begin"] + 1, s["end"] - s["begin"]))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _sums_before(sizes: pd.Series) -> pd.Series:
+    """Of each array, the sum of the entries before each."""
+    return sizes.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int32) - x)
+
+
 def token_table(text: Column) -> Column:
-    """Tokens with their text, the text with the space after it, and offsets. Part of speech, lemma and
-    entity are null: no annotator was asked for."""
-    pieces = F.split(text, " ")
-    starts = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, p: F.struct((acc["at"] + F.length(p) + 1).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-    rows = F.zip_with(pieces, starts, lambda p, s: F.struct(p.alias("text"), F.concat(p, F.lit(" ")).alias("text_ws"), F.struct(s.alias("begin"), (s + F.length(p)).alias("end")).alias("span"), F.lit(None).cast("string").alias("pos"), F.lit(None).cast("string").alias("lemma"), F.lit(None).cast("string").alias("ner")))
-    return F.filter(rows, lambda r: r["text"] != "")
+    """Tokens with their text, the text with the white space after it, and offsets: runs of what is not
+    white space, in linear time. Part of speech, lemma and entity are null: no annotator was asked for."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[^ \t\n\r]+[ \t\n\r]*|[ \t\n\r]+"), F.lit(0))
+    starts = _sums_before(F.transform(pieces, lambda p: F.length(p)))
+
+    def row(p: Column, s: Column) -> Column:
+        word = F.rtrim(p, F.lit(" \t\n\r"))
+        return F.struct(word.alias("text"), p.alias("text_ws"), F.struct(s.alias("begin"), (s + F.length(word)).alias("end")).alias("span"), *[F.lit(None).cast("string").alias(n) for n in ("pos", "lemma", "ner")])
+
+    return F.filter(F.zip_with(pieces, starts, row), lambda r: r["text"] != "")
 
 
 def untokenise(rows: Column) -> Column:
-    return F.rtrim(F.array_join(F.transform(rows, lambda r: r["text_ws"]), ""))
+    return F.rtrim(F.array_join(F.transform(rows, lambda r: r["text_ws"]), ""), F.lit(" \t\n\r"))
 
 
 # --- Addresses ----------------------------------------------------------------------------------
@@ -264,45 +313,76 @@ def html_lines(page: Column) -> Column:
     return F.coalesce(F.filter(F.transform(F.split(x, "\n"), lambda s: F.trim(s)), lambda s: s != ""), F.array().cast("array<string>"))
 
 
-def pack_sentences(line: Column, longer: int = 100, first: int = 5000, tail: int = 50) -> Column:
-    """A line of up to ``longer`` characters as it is; a longer one as its sentences joined by spaces
-    until they pass ``longer``, a rest only if it passes ``tail``."""
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("out"))
+def packs(parts: list[str], longer: int, tail: int) -> list[str]:
+    """Consecutive parts joined by spaces: each pack ends at the first part with which it passes
+    ``longer``, found in the running sums of the lengths; a rest has to pass ``tail``."""
+    until = np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts)))  # with a space behind each
+    out, start, before = [], 0, 0
+    while start < len(parts):
+        end = int(np.searchsorted(until, before + longer + 2)) + 1
+        if end <= len(parts) or until[-1] - before - 1 > tail:
+            out.append(" ".join(parts[start:end]))
+        if end > len(parts):
+            break
+        start, before = end, int(until[end - 1])
+    return out
 
-    def step(acc: Column, s: Column) -> Column:
-        text = F.when(acc["open"] == "", s).otherwise(F.concat(acc["open"], F.lit(" "), s))
-        full = F.length(text) > longer
-        return F.struct(F.when(full, "").otherwise(text).alias("open"), F.when(full, F.concat(acc["out"], F.array(text))).otherwise(acc["out"]).alias("out"))
 
-    packed = F.aggregate(sentences(F.substring(line, 1, first)), start, step, lambda acc: F.when(F.length(acc["open"]) > tail, F.concat(acc["out"], F.array(acc["open"]))).otherwise(acc["out"]))
-    return F.when(F.length(line) > longer, packed).otherwise(F.array(line))
+@F.pandas_udf(ArrayType(StringType()))
+def _packed(lines: pd.Series, parts: pd.Series, longer: pd.Series, tail: pd.Series) -> pd.Series:
+    """Of arrays of lines and of their parts: the packs of all lines; lines without parts are whole."""
 
+    def one(lines: np.ndarray | None, parts: np.ndarray, longer: int, tail: int) -> list[str] | None:
+        if lines is None:
+            return None
+        return [x for line, some in zip(lines, parts) for x in ([line] if some is None else packs(some, longer, tail))]
 
-def correct_lines(lines: Column, least: int = 50, longer: int = 100, tail: int | None = None) -> Column:
+    return pd.Series([one(*row) for row in zip(lines, parts, longer, tail)], dtype=object)
+
+
+def pack_sentences(line: Column, longer: int = 100, first: int | None = None, tail: int = 50, boundaries=None) -> Column:
+    """A line of up to ``longer`` characters as it is; a longer one as its sentences joined by spaces
+    until they pass ``longer``, a rest only if it passes ``tail``. With ``first``, the characters of a line
+    beyond so many are dropped."""
+    text = line if first is None else F.substring(line, 1, first)
+    parts = F.when(F.length(line) > longer, sentences(text, boundaries))
+    return _packed(F.when(line.isNotNull(), F.array(line)), F.array(parts), F.lit(longer), F.lit(tail))
+
+
+def correct_lines(lines: Column, least: int = 50, longer: int = 100, tail: int | None = None, boundaries=None) -> Column:
     """Short lines dropped, long ones packed."""
-    return F.flatten(F.transform(F.filter(lines, lambda x: F.length(x) >= least), lambda x: pack_sentences(x, longer, tail=least if tail is None else tail)))
+    kept = F.filter(lines, lambda x: F.length(x) >= least)
+    parts = F.transform(kept, lambda x: F.when(F.length(x) > longer, sentences(x, boundaries)))
+    return _packed(kept, parts, F.lit(longer), F.lit(least if tail is None else tail))
+
+
+def budget_chunks(sizes: np.ndarray, limit: int) -> np.ndarray:
+    """Chunk number of each size by the rule of ``chunk_by_budget``. The size before which a chunk closes
+    is found in the running sums by a binary search, so the work is that of one pass and a search for
+    each chunk."""
+    n = len(sizes)
+    sums = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    total, starts, at = int(sums[-1]), [0], 0
+    while total - sums[at] > limit:
+        # The first size that brings the sum to the limit, and the first with something before it.
+        full = int(np.searchsorted(sums, sums[at] + limit)) - 1
+        at = max(full, int(np.searchsorted(sums, sums[at], side="right")))
+        if at >= n:
+            break
+        starts.append(at)
+    return np.repeat(np.arange(len(starts), dtype=np.int32), np.diff([*starts, n]))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _chunks(sizes: pd.Series, limit: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else budget_chunks(np.asarray(x, dtype=np.int64), int(n)) for x, n in zip(sizes, limit)], dtype=object)
 
 
 def chunk_by_budget(sizes: Column, budget: Column | int) -> Column:
     """Chunk number of each consecutive size: a chunk closes before the size that brings its sum to the
-    budget; when all that is left fits the budget, it stays together; a chunk has one size at least."""
-    limit = budget if isinstance(budget, Column) else F.lit(budget)
-    total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("seen"), F.lit(0).alias("chunk"), F.lit(False).alias("rest"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = (acc["sum"] > 0) & (acc["sum"] + x >= limit) & ~acc["rest"]
-        opening = fresh | (F.size(acc["out"]) == 0)
-        chunk = acc["chunk"] + fresh.cast("int")
-        return F.struct(
-            F.when(fresh, x).otherwise(acc["sum"] + x).cast("bigint").alias("sum"),
-            (acc["seen"] + x).alias("seen"),
-            chunk.alias("chunk"),
-            F.when(opening, total - acc["seen"] <= limit).otherwise(acc["rest"]).alias("rest"),
-            F.concat(acc["out"], F.array(chunk)).alias("out"),
-        )
-
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    budget; when all that is left fits the budget, it stays together; a chunk has one size at least.
+    Sizes are not negative; linear time."""
+    return _chunks(sizes, budget if isinstance(budget, Column) else F.lit(budget))
 
 
 def question_budget(query: Column, window: int = 512) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.operators.rank import blocks, ordinal, running_offset
+from evidentia.operators.rank import ordinal, running_offset
+from evidentia.operators.substrings import holding
 
 
 def first_match(left: DataFrame, right: DataFrame, key: str, order: list[Column], how: str = "inner") -> DataFrame:
@@ -15,12 +16,8 @@ def first_match(left: DataFrame, right: DataFrame, key: str, order: list[Column]
 
 
 def substring_first(queries: DataFrame, claims: DataFrame, query: str, claim: str, by: list[str], order: list[Column]) -> DataFrame:
-    """Each query with the first claim that it contains: a nested loop by nature, with the claims
-    broadcast some at a time."""
-    hit = None
-    for some in blocks(claims, claim):
-        found = queries.join(some, F.contains(F.col(query), F.col(claim)))
-        hit = found if hit is None else hit.unionByName(found)
+    """Each query with the first claim that it contains, by the claims' rarest pieces (``substrings``)."""
+    hit = holding(queries, claims, query, claim)
     return hit.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
 
 

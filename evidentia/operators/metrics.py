@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.tables import cut
+
+# The verdicts, the levels of utility, the shares of the summary.
 VERDICTS = ("Supported", "Refuted", "Not Enough Evidence", "Conflicting Evidence/Cherrypicking")
 LEVELS = (0.1, 0.2, 0.25, 0.3, 0.4, 0.5)
 PERCENTS = (0.1, 0.2, 0.5, 0.75, 0.9, 0.95, 0.995, 0.999)
@@ -46,11 +53,47 @@ def accuracy(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     return df.agg(F.round(F.avg((F.col(gold) == F.col(predicted)).cast("double")), 6).alias("accuracy"))
 
 
+def values_at(df: DataFrame, value: str, ranks: list[int]) -> dict[int, float]:
+    """The values at 0-based ranks in ascending order, nulls left out: {rank: value}.
+
+    Equal values are counted before they are dealt to ranges of values; the sums of the ranges (one row
+    for each partition at the driver) tell which of them hold the ranks, and only these are read again.
+    No task gets all values, and none a value more than once.
+    """
+    spark = df.sparkSession
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    # The limits of ranges come from a sample, so the ranged values are written: both passes see the same.
+    ranged = cut(counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_v").withColumn("_p", F.spark_partition_id()))
+    before, wanted = 0, {}
+    for r in ranged.groupBy("_p").agg(F.sum("_n").alias("n")).orderBy("_p").collect():
+        for at in ranks:
+            if before <= at < before + r.n:
+                wanted.setdefault((r._p, before), []).append(at)
+        before += r.n
+    if not wanted:
+        return {}
+    end = F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))
+    held = ranged.where(F.col("_p").isin([p for p, _ in wanted])).withColumn("_end", end)
+    hit = reduce(or_, [(F.col("_p") == p) & (F.col("_end") > at - base) & (F.col("_end") - F.col("_n") <= at - base) for (p, base), some in wanted.items() for at in some])
+    got = held.where(hit).collect()  # a row for each rank at most
+    return {at: next(r._v for r in got if r._p == p and r._end - r._n <= at - base < r._end) for (p, base), some in wanted.items() for at in some}
+
+
+def percentiles(df: DataFrame, value: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Exact percentiles, interpolated between the two neighbours; null for a column without values."""
+    n = df.where(F.col(value).isNotNull()).count()
+    at = [p * (n - 1) for p in shares] if n else []
+    found = values_at(df, value, sorted({r for x in at for r in (math.floor(x), math.ceil(x))}))
+    return [found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for x in at] or [None] * len(shares)
+
+
 def describe(df: DataFrame, value: str) -> DataFrame:
-    """Count, mean, standard deviation, least, interpolated percentiles and greatest, in one row."""
+    """Count, mean, standard deviation, least, interpolated percentiles and greatest, in one row. The
+    percentiles are exact and found in range partitions (``values_at``)."""
     names = [f"p{x * 100:g}".replace(".", "_") for x in PERCENTS]
-    got = df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.percentile(value, list(PERCENTS)).alias("_p"), F.max(value).alias("max"))
-    return got.select("count", *[F.round(c, 6).alias(c) for c in ("mean", "std")], F.col("min").cast("double").alias("min"), *[F.round(F.col("_p")[i], 6).alias(n) for i, n in enumerate(names)], F.col("max").cast("double").alias("max"))
+    got = df.agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    found = percentiles(df, value, PERCENTS)
+    return got.select("count", *[F.round(c, 6).alias(c) for c in ("mean", "std")], F.col("min").cast("double").alias("min"), *[F.round(F.lit(v).cast("double"), 6).alias(n) for v, n in zip(found, names)], F.col("max").cast("double").alias("max"))
 
 
 def gold_rank_share(ranked: DataFrame, gold: DataFrame, by: list[str], item: str) -> DataFrame:

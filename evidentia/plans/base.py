@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.operators.tables import checkpoint_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -63,14 +66,5 @@ def jac(a: str, b: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, beside the checkpoints; made up only where the
-    session names none (tests)."""
-    import tempfile
-    import uuid
-
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("the session names no spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="evidentia-"))
-    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, beside the checkpoints."""
+    return f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"

@@ -111,12 +111,12 @@ def window_groups(s, d):
     return e.groupBy("g").agg(F.bool_or(F.col("event_id") % 4 == 2).alias("entailed"), F.count("*").alias("n"))
 
 
-@query(f"with recursive {CHUNKS}, {PAIRS}, top as (select *, row_number() over (partition by claim_id order by score desc, chunk_id) as rank from pairs) select count(distinct claim_id) filter (rank <= 10 and score > 0.1) as factual, count(distinct claim_id) as claims from top")
+@query(f"with recursive {CHUNKS}, {PAIRS}, top as (select *, row_number() over (partition by claim_id order by score desc, doc_id, chunk) as rank from pairs) select count(distinct claim_id) filter (rank <= 10 and score > 0.1) as factual, count(distinct claim_id) as claims from top")
 def factuality_count(s, d):
     """Claims entailed by one of their ten best chunks."""
     from evidentia.operators.rank import top_k
 
-    top = top_k(scored_chunks(s, d), ["claim_id"], [F.desc("score"), F.asc("chunk_id")], 10)
+    top = top_k(scored_chunks(s, d), ["claim_id"], [F.desc("score"), F.asc("doc_id"), F.asc("chunk")], 10)
     return top.agg(F.count_distinct(F.when(F.col("score") > 0.1, F.col("claim_id"))).alias("factual"), F.count_distinct("claim_id").alias("claims"))
 
 

@@ -40,12 +40,12 @@ def statement_prompts(s, d):
 
 
 ASK = "Does the context entail the statement?\n\n"
-TOP3 = f"{CHUNKS}, {PAIRS}, top as (select *, row_number() over (partition by claim_id order by score desc, chunk_id) as rank from pairs), best as (select claim_id, string_agg(body, chr(10) || chr(10) order by rank desc) as ctx from top where rank <= 3 group by claim_id)"
+TOP3 = f"{CHUNKS}, {PAIRS}, top as (select *, row_number() over (partition by claim_id order by score desc, doc_id, chunk) as rank from pairs), best as (select claim_id, string_agg(body, chr(10) || chr(10) order by rank desc) as ctx from top where rank <= 3 group by claim_id)"
 
 
 def contexts(s, d):
     """The three best chunks of every claim, the best first."""
-    top = R.top_k(scored_chunks(s, d), ["claim_id"], [F.desc("score"), F.asc("chunk_id")], 3)
+    top = R.top_k(scored_chunks(s, d), ["claim_id"], [F.desc("score"), F.asc("doc_id"), F.asc("chunk")], 3)
     return top.groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "body"))), lambda x: x["body"]).alias("contexts")).join(t(s, d, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim")), "claim_id")
 
 
@@ -117,10 +117,10 @@ def beam_outputs(s, d):
     return got.select("conv_id", F.size("x").alias("n"), F.size(without_repeated_bigrams(F.col("x"))).alias("kept"))
 
 
-@query(f"with recursive {CHUNKS}, {PAIRS} select claim_id, chunk_id, score from pairs order by score desc, claim_id, chunk_id limit 25")
+@query(f"with recursive {CHUNKS}, {PAIRS} select claim_id, doc_id, chunk, score from pairs order by score desc, claim_id, doc_id, chunk limit 25")
 def n_best_examples(s, d):
     """The 25 examples of the highest utility."""
-    return R.n_best(scored_chunks(s, d).select("claim_id", "chunk_id", "score"), "score", ["claim_id", "chunk_id"], 25)
+    return R.n_best(scored_chunks(s, d).select("claim_id", "doc_id", "chunk", "score"), "score", ["claim_id", "doc_id", "chunk"], 25)
 
 
 @query("select x.item_id, y.item_id as other from (select item_id, row_number() over (order by item_id) as o from benchmark) x join (select item_id, row_number() over (order by text, item_id) as o from benchmark) y using (o)")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.functions.scorers import cosine, dot, overlap
+from evidentia.operators import index as I
 from evidentia.operators import rank as R
-from evidentia.plans.base import STORED, claims, jac, query, stored, t, tok
+from evidentia.plans.base import STORED, claims, jac, query, shared_folder, stored, t, tok
 
 BM25 = """
 with d as (select {g} doc, tk, len(tk) as n from (select {g} doc, {dtok} as tk from ({docs}))),
@@ -39,6 +40,20 @@ def bm25_topk(s, d):
     return R.bm25(t(s, d, "documents"), t(s, d, "benchmark"), "doc_id", "item_id")
 
 
+@query(bm25_sql(DOCS, ITEMS) + f"select query as item_id, doc as doc_id, score, rank from ({RANKED.format(by='query')}) where rank <= 10")
+def bm25_indexed(s, d):
+    """The ten best documents for every claim, from an index of all documents that is written first."""
+    index = I.build(t(s, d, "documents"), "doc_id", shared_folder(s))
+    return I.search(index, t(s, d, "benchmark"), "item_id")
+
+
+@query(bm25_sql("select source, doc_id as doc, text from documents", ITEMS, "source") + f"select source, query as item_id, doc as doc_id, score, rank from ({RANKED.format(by='source, query')}) where rank <= 5")
+def bm25_indexed_by_source(s, d):
+    """R1 from an index with a corpus of its own for each source."""
+    index = I.build(t(s, d, "documents"), "doc_id", shared_folder(s), group="source", bucket=32)
+    return I.search(index, t(s, d, "benchmark"), "item_id", k=5)
+
+
 @query(bm25_sql("select source, doc_id as doc, text from documents", ITEMS, "source") + f"select source, query as item_id, doc as doc_id, score, rank from ({RANKED.format(by='source, query')}) where rank <= 5")
 def bm25_by_source(s, d):
     """R1 with a corpus of its own for each source."""
@@ -46,14 +61,14 @@ def bm25_by_source(s, d):
 
 
 @query(
-    bm25_sql(f"select claim_id, doc_id * 100000 + line_idx as doc, line as text from (select claim_id, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_idx from {STORED}) where length(line) >= 4", "select item_id as claim_id, item_id as query, text from benchmark", "claim_id", True)
-    + f"select claim_id, doc as line_id, score, rank from ({RANKED.format(by='claim_id')}) where rank <= 10"
+    bm25_sql(f"select claim_id, {{'doc_id': doc_id, 'line_idx': line_idx}} as doc, line as text from (select claim_id, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_idx from {STORED}) where length(line) >= 4", "select item_id as claim_id, item_id as query, text from benchmark", "claim_id", True)
+    + f"select claim_id, doc.doc_id as doc_id, doc.line_idx::int as line_idx, score, rank from ({RANKED.format(by='claim_id')}) where rank <= 10"
 )
 def bm25_line_topk(s, d):
     """The best lines of the claim's own store."""
-    lines = stored(s, d).select("claim_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).where(F.length("text") >= 4).select("claim_id", (F.col("doc_id") * 100000 + F.col("i")).alias("line_id"), "text")
+    lines = stored(s, d).select("claim_id", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).where(F.length("text") >= 4).select("claim_id", F.struct("doc_id", F.col("i").alias("line_idx")).alias("line_id"), "text")
     asked = claims(s, d).select("claim_id", F.col("claim_id").alias("_item"), F.col("claim").alias("text"))
-    return R.bm25(lines, asked, "line_id", "_item", group="claim_id").select("claim_id", "line_id", "score", "rank")
+    return R.bm25(lines, asked, "line_id", "_item", group="claim_id").select("claim_id", "line_id.*", "score", "rank")
 
 
 @query(
@@ -64,14 +79,15 @@ def bm25_full_rank(s, d):
     """R2: every document of the claim's store in order, those without a common term at the end."""
     docs = stored(s, d).select("claim_id", "doc_id", "text")
     asked = claims(s, d).select("claim_id", F.col("claim_id").alias("_item"), F.col("claim").alias("text"))
-    return R.bm25(docs, asked, "doc_id", "_item", group="claim_id", k=None, full=True).select("claim_id", "doc_id", "score", "rank")
+    every = R.bm25(docs, asked, "doc_id", "_item", group="claim_id", k=None, full=True).select("claim_id", "doc_id", "score")
+    return R.ranked(every, ["claim_id"], [F.desc("score"), F.asc("doc_id")]).select("claim_id", "doc_id", "score", "rank")
 
 
-@query(bm25_sql("select item_id as doc, text from benchmark", "select conv_id * 1000 + turn as query, text from conversations where role = 'user'") + f"select query as turn_id, doc as item_id, score, rank from ({RANKED.format(by='query')}) where rank <= 10")
+@query(bm25_sql("select item_id as doc, text from benchmark", "select {'conv_id': conv_id, 'turn': turn} as query, text from conversations where role = 'user'") + f"select query.conv_id as conv_id, query.turn as turn, doc as item_id, score, rank from ({RANKED.format(by='query')}) where rank <= 10")
 def few_shot_selection(s, d):
     """The ten training claims nearest to each user turn, for a few-shot prompt."""
-    asked = t(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
-    return R.bm25(t(s, d, "benchmark"), asked, "item_id", "turn_id")
+    asked = t(s, d, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("turn_id"), "text")
+    return R.bm25(t(s, d, "benchmark"), asked, "item_id", "turn_id").select("turn_id.*", "item_id", "score", "rank")
 
 
 VEC = "list_transform(embedding, lambda x: x::double)"
@@ -131,55 +147,55 @@ def token_chunker(s, d):
     return chunked(s, d).select("claim_id", "doc_id", "chunk", F.md5("body").alias("body_md5"), "n")
 
 
-PAIRS = f"pairs as (select claim_id, doc_id * 10000 + chunk as chunk_id, body, round({jac('list_distinct(' + tok('claim') + ')', 'list_distinct(' + tok('body') + ')')}, 6) as score from chunks join (select item_id as claim_id, text as claim from benchmark) using (claim_id))"
+PAIRS = f"pairs as (select claim_id, doc_id, chunk, body, round({jac('list_distinct(' + tok('claim') + ')', 'list_distinct(' + tok('body') + ')')}, 6) as score from chunks join (select item_id as claim_id, text as claim from benchmark) using (claim_id))"
 
 
 def scored_chunks(s, d):
     asked = claims(s, d).select("claim_id", F.array_distinct(T.tokens(F.col("claim"))).alias("asked"))
     scored = chunked(s, d).join(R.small(asked), "claim_id")
-    return scored.select("claim_id", (F.col("doc_id") * 10000 + F.col("chunk")).alias("chunk_id"), "body", F.round(overlap(F.col("asked"), F.array_distinct(T.tokens(F.col("body")))), 6).alias("score"))
+    return scored.select("claim_id", "doc_id", "chunk", "body", F.round(overlap(F.col("asked"), F.array_distinct(T.tokens(F.col("body")))), 6).alias("score"))
 
 
-@query(f"with recursive {CHUNKS}, {PAIRS} select claim_id, chunk_id, score, rank from (select *, row_number() over (partition by claim_id order by score desc, chunk_id) as rank from pairs) where rank <= 10")
+@query(f"with recursive {CHUNKS}, {PAIRS} select claim_id, doc_id, chunk, score, rank from (select *, row_number() over (partition by claim_id order by score desc, doc_id, chunk) as rank from pairs) where rank <= 10")
 def lexical_crossencode_topk(s, d):
     """Chunks of the claim's store by a pair scorer, the best ten."""
-    return R.top_k(scored_chunks(s, d), ["claim_id"], [F.desc("score"), F.asc("chunk_id")], 10).select("claim_id", "chunk_id", "score", "rank")
+    return R.top_k(scored_chunks(s, d), ["claim_id"], [F.desc("score"), F.asc("doc_id"), F.asc("chunk")], 10).select("claim_id", "doc_id", "chunk", "score", "rank")
 
 
-@query(f"with recursive {CHUNKS}, {PAIRS}, top as (select *, row_number() over (partition by claim_id order by score desc, chunk_id) as rank from pairs), k as (select claim_id, list(chunk_id order by rank) as ids from top where rank <= 3 group by claim_id) select item_id as claim_id, coalesce(array_to_string(ids, ','), '') as top_ids, len(coalesce(ids, []))::int as n from benchmark left join k on k.claim_id = item_id")
+@query(f"with recursive {CHUNKS}, {PAIRS}, top as (select *, row_number() over (partition by claim_id order by score desc, doc_id, chunk) as rank from pairs), k as (select claim_id, list(doc_id || ':' || chunk order by rank) as ids from top where rank <= 3 group by claim_id) select item_id as claim_id, coalesce(array_to_string(ids, ','), '') as top_ids, len(coalesce(ids, []))::int as n from benchmark left join k on k.claim_id = item_id")
 def rerank_top3(s, d):
     """The best three as an array; claims without chunks get an empty one."""
-    top = R.top_k(scored_chunks(s, d), ["claim_id"], [F.desc("score"), F.asc("chunk_id")], 3)
-    arrays = top.groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
-    ids = F.coalesce("ids", F.array().cast("array<bigint>"))
-    return claims(s, d).join(arrays, "claim_id", "left").select("claim_id", F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("top_ids"), F.size(ids).alias("n"))
+    top = R.top_k(scored_chunks(s, d), ["claim_id"], [F.desc("score"), F.asc("doc_id"), F.asc("chunk")], 3)
+    arrays = top.groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(":", "doc_id", "chunk").alias("key")))), lambda x: x["key"]).alias("ids"))
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    return claims(s, d).join(arrays, "claim_id", "left").select("claim_id", F.array_join(ids, ",").alias("top_ids"), F.size(ids).alias("n"))
 
 
 @query(f"""with recursive {CHUNKS}, {PAIRS},
-top as (select *, row_number() over (partition by claim_id order by 1 - score desc, chunk_id) as rank from pairs)
+top as (select *, row_number() over (partition by claim_id order by 1 - score desc, doc_id, chunk) as rank from pairs)
 select claim_id, bool_and(round(1 - score, 6) > 0.9) as accepted, count(*) as n from top where rank <= 3 group by claim_id""")
 def neutral_gate(s, d):
     """The three most neutral chunks, accepted only if all are neutral enough."""
     p = scored_chunks(s, d).withColumn("neutral", F.round(1 - F.col("score"), 6))
-    return R.gate_neutral(p, ["claim_id"], "neutral", [F.desc("neutral"), F.asc("chunk_id")], 3, 0.9)
+    return R.gate_neutral(p, ["claim_id"], "neutral", [F.desc("neutral"), F.asc("doc_id"), F.asc("chunk")], 3, 0.9)
 
 
 @query(f"""with recursive {CHUNKS}, {PAIRS}, lab as (select *, case when score > 0.12 then 2 else 1 end as label from pairs),
-m as (select *, count(*) over (partition by claim_id) as cnt, bool_or(label = 2) over (partition by claim_id) as ent, row_number() over (partition by claim_id order by score desc, chunk_id) as rank from lab)
-select claim_id, chunk_id, label, score, rank from m where cnt <= 20 or (ent and rank <= 20)""")
+m as (select *, count(*) over (partition by claim_id) as cnt, bool_or(label = 2) over (partition by claim_id) as ent, row_number() over (partition by claim_id order by score desc, doc_id, chunk) as rank from lab)
+select claim_id, doc_id, chunk, label, score, rank from m where cnt <= 20 or (ent and rank <= 20)""")
 def gold_chunk_ranking(s, d):
     """Groups of up to 20 chunks whole, larger ones cut to the best 20 if any chunk entails."""
     from evidentia.operators.evidence import gold_chunks
 
-    lab = scored_chunks(s, d).select("claim_id", F.col("chunk_id").alias("chunk_idx"), "score", F.when(F.col("score") > 0.12, 2).otherwise(1).alias("label"))
-    return gold_chunks(lab, ["claim_id"], 20).select("claim_id", F.col("chunk_idx").alias("chunk_id"), "label", "score", "rank")
+    lab = scored_chunks(s, d).select("claim_id", F.struct("doc_id", "chunk").alias("chunk_idx"), "score", F.when(F.col("score") > 0.12, 2).otherwise(1).alias("label"))
+    return gold_chunks(lab, ["claim_id"], 20).select("claim_id", "chunk_idx.*", "label", "score", "rank")
 
 
-@query(f"""with recursive {CHUNKS}, {PAIRS}, s as (select claim_id, chunk_id // 10000 as doc_id, round(sum(score), 6) as total from pairs group by all)
+@query(f"""with recursive {CHUNKS}, {PAIRS}, s as (select claim_id, doc_id, round(sum(score), 6) as total from pairs group by all)
 select claim_id, arg_min(doc_id, (-total, doc_id)) as doc_id, -min((-total, doc_id))[1] as total from s group by claim_id""")
 def best_answer(s, d):
     """The candidate with the largest sum of scores over its chunks, the lowest among equals."""
-    sums = scored_chunks(s, d).groupBy("claim_id", F.floor(F.col("chunk_id") / 10000).alias("doc_id")).agg(F.round(F.sum("score"), 6).alias("total"))
+    sums = scored_chunks(s, d).groupBy("claim_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("total"))
     return R.best_by(sums, ["claim_id"], "total", "doc_id", ["doc_id", "total"])
 
 

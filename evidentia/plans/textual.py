@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.functions.scorers import CHECKERS, checked, meteor
+from evidentia.operators import boundaries as B
 from evidentia.operators.rank import small
+from evidentia.operators.tables import cut
 from evidentia.plans.base import STORED, claims, query, stored, t, tok
 from evidentia.sources.readers import page_lines, store_lines
 
@@ -31,7 +33,71 @@ def line_length_filter(s, d):
     return lines(s, d).where(F.length("line") >= 4).select("doc_id", "line_idx", F.length("line").cast("bigint").alias("n"), (F.length("line") >= 50).alias("in_store"))
 
 
-@query(rf"""with recursive l as (select doc_id, line_idx, line, length(line) > 100 as long, list_filter(list_transform(string_split(regexp_replace(line[1:5000], '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as sents from {LINES} where length(line) >= 50),
+#: SQL of ``operators.boundaries``: word types, abbreviations, sentence starters, and the sentences of a text.
+_CORE = r"regexp_replace(lower({0}), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.]+$', '', 'g')"
+_TYPE = r"(case when rtrim({0}, '.') <> '' and not regexp_matches(rtrim({0}, '.'), '\p{{L}}') then '##number##' else rtrim({0}, '.') end)"
+_DOUBT = r"(regexp_matches({0}, '^\p{{L}}$') or list_contains((select types from abbr), {0}))"
+_RATIO = "((case when {k} > 0 then {k} * ln({p}) else 0 end) + (case when {n} > {k} then ({n} - {k}) * ln(1 - {p}) else 0 end))"
+
+
+def _ratio(k: str, n: str, p: str) -> str:
+    return _RATIO.format(k=k, n=n, p=p)
+
+
+def _wide(x: str) -> str:
+    return f"translate(trim({x}), chr(9) || chr(10) || chr(13), '   ')"
+
+
+_LETTERS = "length(replace(type, '.', ''))"
+BOUNDARIES = rf"""words as (select doc_id, string_split_regex(text, '[ \t\n\r]+') as w from documents),
+types as (select type, count(*) filter (core like '%.') as n_period, count(*) filter (core not like '%.') as n_plain from (select core, {_TYPE.format('core')} as type from (select {_CORE.format('w')} as core from (select unnest(w) as w from words))) where type <> '' group by type),
+total as (select sum(n_period + n_plain)::double as n, sum(n_period)::double as p from types),
+shortened as (select * from (select type, n_period, n_plain, round(-2 * ({_ratio('n_period::double', '(n_period + n_plain)::double', '(p / n)')} - {_ratio('n_period::double', '(n_period + n_plain)::double', '0.99::double')})
+  * exp(-{_LETTERS}::double) * (length(type) - {_LETTERS} + 1) * pow({_LETTERS}::double, -n_plain::double), 6) as score from types, total where n_period > 0 and type <> '##number##' and p < n) where score >= 0.3),
+abbr as (select coalesce(list(type), []) as types from shortened),
+pairs as (select unnest(list_zip(w, w[2:])) as z from words),
+after as (select {_TYPE.format(_CORE.format('b'))} as type, regexp_matches(b, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') as capital from (select z[1] as a, z[2] as b, {_CORE.format('z[1]')} as core from pairs)
+  where b <> '' and (regexp_matches(a, '[!?][^\p{{L}}\p{{N}}]*$') or (core like '%.' and not {_DOUBT.format(_TYPE.format('core'))}))),
+found as (select type, count(*) filter (capital)::double as ab from after group by type),
+openers as (select * from (select type, ab::bigint as n_after, round(-2 * ({_ratio('ab', 'a', '(b / n)')} + {_ratio('(b - ab)', '(n - a)', '(b / n)')} - {_ratio('ab', 'a', '(ab / a)')} - {_ratio('(b - ab)', '(n - a)', '((b - ab) / (n - a))')}), 6) as score
+  from (select type, ab, (n_period + n_plain)::double as b, (select count(*)::double from after) as a, n from found join types using (type), total where type <> '##number##' and ab > 0) where a < n and ab / a > b / n) where score >= 30),
+starts as (select coalesce(list(type), []) as types from openers)"""
+
+
+def split_sql(text: str, rows: str, keep: str) -> str:
+    """A table of the columns ``keep`` and ``sents``, the sentences of ``text``, of the rows of ``rows``."""
+    core, word = _CORE.format(f"string_split({_wide('pieces[i - 1]')}, ' ')[-1]"), rf"string_split({_wide(r"regexp_replace(p, '^\s+', '')")}, ' ')[1]"
+    doubt = _DOUBT.replace("(select types from abbr)", "known").format(_TYPE.format(core))
+    goes_on = rf"({core} like '%.' and {doubt} and not (regexp_matches({word}, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') and list_contains(opening, {_TYPE.format(_CORE.format(word))})))"
+    return rf"""(select {keep}, list_filter(list_transform(string_split(array_to_string(list_transform(pieces, lambda p, i: case when i = 1 or {goes_on} then p else chr(1) || p end), ''), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') as sents
+  from (select *, string_split(regexp_replace({text}, '([.!?])(\s+)', '\1' || chr(1) || '\2', 'g'), chr(1)) as pieces from {rows}), (select types as known from abbr), (select types as opening from starts))"""
+
+
+@query(f"with {BOUNDARIES} select type, n_period, n_plain, score from shortened")
+def abbreviation_scores(s, d):
+    """Abbreviations learnt from all documents by the log-likelihood of the full stop behind them."""
+    types = cut(B.word_types(t(s, d, "documents")))
+    return B.abbreviations(types).join(types, "type").select("type", "n_period", "n_plain", "score")
+
+
+@query(f"with {BOUNDARIES} select type, n_after, score from openers")
+def sentence_starters(s, d):
+    """Words that begin sentences far more often than by chance."""
+    docs = t(s, d, "documents")
+    types = cut(B.word_types(docs))
+    known = tuple(sorted(r.type for r in B.abbreviations(types).collect()))
+    return B.sentence_starters(docs, types, known)
+
+
+@query(f"with {BOUNDARIES} select doc_id, len(sents)::int as n, md5(array_to_string(sents, chr(1))) as sentences from {split_sql('text', 'documents', 'doc_id')}")
+def learnt_sentences(s, d):
+    """Sentences of whole documents, by boundaries learnt from all of them."""
+    docs = t(s, d, "documents")
+    cut_up = T.sentences(F.col("text"), B.learn(docs))
+    return docs.select("doc_id", F.size(cut_up).alias("n"), F.md5(F.array_join(cut_up, "\u0001")).alias("sentences"))
+
+
+@query(rf"""with recursive {BOUNDARIES}, l as {split_sql('line', f"(select * from {LINES} where length(line) >= 50)", 'doc_id, line_idx, line, length(line) > 100 as long')},
 f as (
   select doc_id, line_idx, sents, 1 as i, '' as open, []::varchar[] as packed from l where long
   union all
@@ -41,8 +107,10 @@ done as (select doc_id, line_idx, case when length(open) > 50 then list_append(p
 every as (select doc_id, line_idx, packed from done union all select doc_id, line_idx, [line] from l where not long)
 select doc_id, line_idx, unnest(generate_series(0, len(packed) - 1))::int as part, md5(unnest(packed)) as part_md5 from every where len(packed) > 0""")
 def line_packer(s, d):
-    """Short lines dropped, long ones packed from their sentences."""
-    got = lines(s, d).where(F.length("line") >= 50).select("doc_id", "line_idx", F.posexplode(T.pack_sentences(F.col("line"))).alias("part", "x"))
+    """Short lines dropped, long ones packed, whole, from their sentences, which end where the
+    boundaries learnt from all documents say."""
+    packed = T.pack_sentences(F.col("line"), boundaries=B.learn(t(s, d, "documents")))
+    got = lines(s, d).where(F.length("line") >= 50).select("doc_id", "line_idx", F.posexplode(packed).alias("part", "x"))
     return got.select("doc_id", "line_idx", "part", F.md5("x").alias("part_md5"))
 
 
@@ -268,12 +336,13 @@ def ngram_spans(s, d):
     return t(s, d, "benchmark").select("item_id", F.size(g).cast("bigint").alias("n"), F.md5(F.array_join(g, "|")).alias("grams"))
 
 
-@query("""select item_id, len(list_filter(string_split(text, ' '), lambda w: w <> ''))::int as n, rtrim(text) as again, string_split(text, ' ')[1] as first_piece, length(string_split(text, ' ')[1])::int as first_end from benchmark where not contains(text, '  ')""")
+@query(r"""select item_id, len(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda w: w <> ''))::int as n, regexp_replace(text, '[ \t\n\r]+$', '') as again,
+coalesce(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda w: w <> '')[1], '') as first_piece, length(regexp_extract(text, '^[ \t\n\r]*[^ \t\n\r]*'))::int as first_end from benchmark""")
 def token_tables(s, d):
     """Tokens with offsets, and the text put together again."""
-    rows = T.token_table(F.col("text"))
-    got = t(s, d, "benchmark").where(~F.contains("text", F.lit("  "))).select("item_id", "text", rows.alias("r"))
-    return got.select("item_id", F.size("r").alias("n"), T.untokenise(F.col("r")).alias("again"), F.get(T.by_offsets(F.col("text"), F.transform("r", lambda x: x["span"])), F.lit(0)).alias("first_piece"), F.col("r")[0]["span"]["end"].alias("first_end"))
+    got = t(s, d, "benchmark").select("item_id", "text", T.token_table(F.col("text")).alias("r"))
+    first = F.get("r", F.lit(0))
+    return got.select("item_id", F.size("r").alias("n"), T.untokenise(F.col("r")).alias("again"), F.coalesce(F.get(T.by_offsets(F.col("text"), F.transform("r", lambda x: x["span"])), F.lit(0)), F.lit("")).alias("first_piece"), F.coalesce(first["span"]["end"], F.length("text")).alias("first_end"))
 
 
 @query()
