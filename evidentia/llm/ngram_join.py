@@ -2,17 +2,20 @@
 
 A grouped prefix join. Of each document's set, only the shingles lowest in hash order are looked up:
 as many as make sure that two linked documents have several of them in common. Those that no other
-document has are dropped; a document with too few left can have no link. Ordered by document
-frequency, a prefix of the rest is kept, short by the number that links must have in common, so that
-shingles of passages that many documents share fall away. Documents with equal size and prefix form
-one group; groups that share a prefix shingle and are of like size fall into one candidate cluster.
-Clusters are expanded to their members, whose whole sets are verified in block pairs.
+document has are dropped; a document with too few left can have no link. The rest are ordered by
+document frequency, and documents of equal size and equal rest form one group. A prefix of the rest,
+short by the number that links must have in common, brings groups together: two groups are a pair if
+a prefix shingle is common to both, their sizes are alike, and they have as many looked-up shingles in
+common as a link needs, so that a passage that many documents share makes no pairs by itself. Pairs are
+found in block pairs and kept as a forest; the groups that it connects are expanded to their members,
+whose whole sets are verified in block pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +27,11 @@ from evidentia.llm.blocks import block_pairs
 from evidentia.llm.common import as_bytes, cut, over_batches, shingles, table, word_hashes
 from evidentia.llm.components import components
 
-#: Members in one block of a cluster.
-BLOCK = 512
+#: Members in one block of a cluster, and shingles of a member above which it counts as several.
+BLOCK, LARGE = 512, 1000
+#: One in so many shingles of a set is looked up beyond those that its links may lack: the fewer, the less
+#: is shuffled, and the more pairs of groups pass that are no links.
+SPARE = 5
 
 
 def sets_of(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -46,7 +52,7 @@ def least_common(n: int, percent: int) -> int:
 
 def spare(n: int) -> int:
     """Looked-up shingles that two linked sets have in common, at least, if the smaller has ``n``."""
-    return n // 10 + 1
+    return n // SPARE + 1
 
 
 def looked_up(n: int, percent: int) -> int:
@@ -55,27 +61,33 @@ def looked_up(n: int, percent: int) -> int:
     return min(n, n - least_common(n, percent) + spare(n))
 
 
-def links_in(sets: list[np.ndarray], first: int | None, percent: int) -> list[tuple[int, int]]:
-    """A forest of the links between the sets, exact: of those before ``first`` with those from there
-    on, or of all with all if it is None."""
+def jaccard(percent: int) -> Callable[[int, int, np.ndarray], np.ndarray]:
+    """Which sets of the given sizes link with one that they have so many shingles in common with."""
+    return lambda one, others, common: 100 * common >= percent * (one + others - common)
+
+
+def may_link(percent: int) -> Callable[[int, int, np.ndarray], np.ndarray]:
+    """Which sets of the given sizes may link with one, by the looked-up shingles that they have in common."""
+
+    def enough(one: int, others: np.ndarray, common: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(one, others), np.maximum(one, others)
+        return (common >= low // SPARE + 1) & (100 * low >= percent * high)
+
+    return enough
+
+
+def pairs_in(sets: list[np.ndarray], first: int | None, enough: Callable, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, those after i that have ``enough`` in common with set i), exact: for the sets before ``first`` with
+    those from there on, or for all with all if it is None."""
     n = len(sets)
-    sizes = np.array([len(s) for s in sets])
     joined = np.concatenate(sets) if n else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(n), sizes)
+    lengths = np.array([len(s) for s in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(n), lengths)
     _, token = np.unique(joined, return_inverse=True)
     order = np.argsort(token, kind="stable")
     holder = owner[order]
     edge = np.concatenate(([0], np.cumsum(np.bincount(token))))
-    begin = np.concatenate(([0], np.cumsum(sizes)))
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out: list[tuple[int, int]] = []
+    begin = np.concatenate(([0], np.cumsum(lengths)))
     for i in range(n if first is None else first):
         mine = token[begin[i] : begin[i + 1]]
         counts = edge[mine + 1] - edge[mine]
@@ -85,12 +97,51 @@ def links_in(sets: list[np.ndarray], first: int | None, percent: int) -> list[tu
         at = np.repeat(edge[mine] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
         common = np.bincount(holder[at], minlength=n)
         low = i + 1 if first is None else first
-        other = np.flatnonzero(100 * common[low:] >= percent * (sizes[i] + sizes[low:] - common[low:])) + low
-        for j in other.tolist():
-            if common[j] and (a := root(i)) != (b := root(j)):
-                parent[a] = b
-                out.append((i, j))
-    return out
+        other = np.flatnonzero((common[low:] > 0) & enough(sizes[i], sizes[low:], common[low:])) + low
+        if len(other):
+            yield i, other
+
+
+class Forest:
+    """Union-find over numbers."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart until now."""
+        a, b = self.root(x), self.root(y)
+        self.parent[a] = b
+        return a != b
+
+
+def links_in(sets: list[np.ndarray], first: int | None, percent: int) -> list[tuple[int, int]]:
+    """A forest of the links between the sets."""
+    forest, sizes = Forest(len(sets)), np.array([len(s) for s in sets], dtype=np.int64)
+    return [(i, j) for i, others in pairs_in(sets, first, jaccard(percent), sizes) for j in others.tolist() if forest.join(i, j)]
+
+
+def paired(shared: list[np.ndarray], keep: np.ndarray, sizes: np.ndarray, first: int | None, token: int | None, percent: int) -> list[tuple[int, int]]:
+    """The groups that are in a pair, with the number of one of those that pairs connect them with. With
+    ``token``, only pairs count whose first common prefix shingle it is, as each pair would be found
+    once for every shingle that is common to both prefixes."""
+    forest, found = Forest(len(shared)), set()
+    for i, others in pairs_in(shared, first, may_link(percent), sizes):
+        some = others.tolist()
+        if token is not None:
+            mine = shared[i][: keep[i]]
+            some = [j for j in some if mine[np.isin(mine, shared[j][: keep[j]], assume_unique=True)][:1] == token]
+        for j in some:
+            forest.join(i, j)
+        found.update([i, *some] if some else ())
+    return [(i, forest.root(i)) for i in sorted(found)]
 
 
 def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,8 +154,9 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
     ``100 * intersection >= percent * union``. Rows with equal sets are one class and cost one member
     however many they are. Repeated ids are rows of their own. An empty table gives no rows.
 
-    Nothing is written per pair: shuffles carry a fixed part of each set's shingles, and verifying
-    tasks hold two blocks of a cluster and return a forest of links.
+    Nothing is written per pair: shuffles carry a fixed part of each set's shingles; tasks that filter
+    or verify hold two blocks of groups or members, and return groups or a forest. Groups that prefix shingles connect
+    are filtered all at once where they fit a block, else shingle by shingle and size by size.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent is above 50, up to 100")
@@ -133,29 +185,53 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
     # Document frequency of looked-up shingles; counts are summed before the shuffle.
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     found = tokens.join(frequent, "token")
-    common = F.floor(F.ceil(F.col("n") * percent / 100) / 10).cast("int") + 1
+    common = F.floor(F.ceil(F.col("n") * percent / 100) / SPARE).cast("int") + 1
     per_set = found.groupBy("c").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    prefixes = per_set.withColumn("keep", F.size("shared") - common + 1).where("keep > 0").select("c", "n", F.slice(F.col("shared.token"), F.lit(1), F.col("keep")).alias("prefix"))
-    prefixes = cut(prefixes.withColumn("g", F.xxhash64("n", "prefix")))
+    kept = per_set.withColumn("keep", F.size("shared") - common + 1).where("keep > 0").select("c", "n", F.col("shared.token").alias("shared"), "keep")
+    in_group = cut(kept.withColumn("g", F.xxhash64("n", "shared")))
 
-    # Groups of equal size and prefix; sizes in steps of the ratio, so that like sizes are in the same step or the next.
-    groups = prefixes.groupBy("g").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    # Groups of equal size and looked-up shingles. Groups that any prefix shingle connects are a pool; sizes
+    # go in steps of the ratio, so that like sizes are in the same step or the next.
+    groups = cut(in_group.groupBy("g").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.first("keep").alias("keep")))
     step = F.floor(F.log("n") / F.lit(math.log(100 / percent) if percent < 100 else 1e-6)).cast("bigint")
-    posts = cut(groups.select("g", step.alias("step"), F.explode("prefix").alias("token")))
-    hubs = posts.groupBy("token", "step").agg(F.min("g").alias("hub"), F.count("*").alias("groups"))
+    posts = cut(groups.select("g", step.alias("step"), F.explode(F.slice("shared", F.lit(1), F.col("keep"))).alias("token")))
+    hubs = posts.groupBy("token", "step").agg(F.min("g").alias("hub"))
     to_hub = posts.join(hubs, ["token", "step"]).select(F.col("g").alias("a"), F.col("hub").alias("b"))
     ladder = hubs.select("token", "step", F.col("hub").alias("a")).join(hubs.select("token", (F.col("step") - 1).alias("step"), F.col("hub").alias("b")), ["token", "step"]).select("a", "b")
-    cluster_of = components(to_hub.unionByName(ladder))
-    # A group without another one still has its members to compare.
-    members = cut(prefixes.select("c", "g").join(cluster_of.withColumnRenamed("node", "g"), "g", "left").select("c", F.coalesce("root", "g").alias("cluster")))
-    counts = members.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
+    pools = cut(components(to_hub.unionByName(ladder)))
+    of_pool = pools.groupBy("root").agg(F.count("*").alias("groups"))
+    pooled = pools.join(of_pool, "root").withColumnRenamed("node", "g")
+
+    # What is filtered together: a pool that fits a block; of a larger one, the groups of a prefix shingle and
+    # of like size.
+    whole_pools = pooled.where(F.col("groups") <= BLOCK).select(F.col("root").alias("key"), F.lit(None).cast("bigint").alias("token"), "g")
+    by_token = posts.join(pooled.where(F.col("groups") > BLOCK).select("g"), "g").select("g", "token", F.explode(F.array("step", F.col("step") - 1)).alias("step"))
+    keyed_groups = cut(whole_pools.unionByName(by_token.select(F.xxhash64("token", "step").alias("key"), "token", "g")))
+    per_key = keyed_groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    to_filter = block_pairs(keyed_groups.join(groups.withColumnRenamed("n", "size"), "g"), "key", per_key, BLOCK, F.xxhash64("g"))
+
+    def filtered(pdf: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
+        pdf = pdf.sort_values(["mine", "g"]) if bi != bj else pdf.sort_values("g")
+        token = pdf["token"].iloc[0]
+        found = paired(list(pdf["shared"]), pdf["keep"].to_numpy(), pdf["size"].to_numpy(np.int64), int((pdf["mine"] == bi).sum()) if bi != bj else None, None if pd.isna(token) else token, percent)
+        g = pdf["g"].to_numpy()
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "bi": bi, "bj": bj, "root": [g[r] for _, r in found], "g": [g[i] for i, _ in found]})
+
+    in_pairs = cut(to_filter.groupBy("key", "bi", "bj").applyInPandas(filtered, "key bigint, bi int, bj int, root bigint, g bigint"))
+    # A group in no pair still has its members to compare.
+    alone = in_group.join(in_pairs.select("g"), "g", "left_anti").select("c", "n", F.col("g").alias("cluster"))
+    members = cut(in_group.join(in_pairs.select("g", F.xxhash64("key", "bi", "bj", "root").alias("cluster")), "g").select("c", "n", "cluster").unionByName(alone))
+    weight = F.greatest(F.count("*"), F.ceil(F.sum("n") / LARGE))
+    counts = members.groupBy("cluster").agg(F.count("*").alias("members"), weight.alias("n")).where("members > 1").drop("members")
+    members = members.select("c", "cluster")
 
     def named(batch: pa.RecordBatch) -> dict[str, list]:
         data = as_bytes(batch.column(0))
         return {"c": [class_key(s) for s in sets_of(data, size)], "text": batch.column(0).to_pylist()}
 
     wanted = members.join(counts.select("cluster"), "cluster", "left_semi")
-    whole = over_batches(texts, named, "c bigint, text string").join(wanted, "c").dropDuplicates(["c"])
+    whole = over_batches(texts, named, "c bigint, text string").join(wanted, "c").dropDuplicates(["c", "cluster"])
     tasks = block_pairs(whole, "cluster", counts, BLOCK, F.xxhash64("c"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -73,6 +73,36 @@ def test_blocks_of_a_large_cluster(make, monkeypatch):
     assert got == brute(rows, 4, 85)
 
 
+def test_shared_passages_are_no_pairs(make, monkeypatch):
+    """Documents that share passages without being linked: nearly no members are compared."""
+    monkeypatch.setattr(N, "BLOCK", 64)
+    rng = random.Random(9)
+    passages = [prose(rng, 40) for _ in range(30)]
+    rows = [(i, " ".join([f"u{i}x{k}" for k in range(40)] + rng.sample(passages, 2))) for i in range(600)]
+    rows += [(600 + i, rows[i][1] + " more") for i in range(0, 60, 2)]
+    compared = []
+    block_pairs = N.block_pairs
+
+    def counted(members, key, counts, size, deal):
+        if key == "cluster":
+            compared.append(counts.selectExpr("sum(n * (n - 1) / 2) as p").first().p or 0)
+        return block_pairs(members, key, counts, size, deal)
+
+    monkeypatch.setattr(N, "block_pairs", counted)
+    got = sorted((r.id, r.n_shingles, r.component_id) for r in N.jaccard_components(make(rows), 4, 85).collect())
+    assert got == brute(rows, 4, 85)
+    assert sum(r[0] != r[2] for r in got) == 30
+    assert compared[0] < 0.01 * 630 * 629 / 2
+
+
+def test_a_long_text(make):
+    rng = random.Random(10)
+    long = prose(rng, 120_000)
+    rows = [(1, long), (2, long + " end"), (3, prose(rng, 50)), (4, long[: len(long) // 2])]
+    got = sorted((r.id, r.n_shingles, r.component_id) for r in N.jaccard_components(make(rows), 4, 85).collect())
+    assert got == brute(rows, 4, 85)
+
+
 def test_looked_up_shingles_always_overlap():
     for percent in (60, 80, 85, 100):
         for n in range(1, 400):
