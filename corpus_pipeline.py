@@ -30,23 +30,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filter_documents(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of id and text, as ids may be null or repeated, under a name that no column has."""
+    name = "key"
+    while name in docs.columns:
+        name = f"_{name}"
+    text = F.when(F.col("text").isNull(), F.lit("-")).otherwise(F.sha2(F.col("text").cast("binary"), 256))
+    return docs.withColumn(name, F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text)), name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8, the document with the least id
-    stays; of its rows with one text, the least by the other columns. Documents without an id, which no
-    group can name, stay too."""
-    groups = jaccard_components(docs, size=5, percent=80)
-    first = groups.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    rest = F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])
-    named = docs.join(first, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("rest")).select("doc_id", "text", "rest.*")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group linked by five-word shingles at a similarity of 0.8, one document stays: the one with
+    the least id, a null id last; of rows with one id, the least by text; of rows with one id and text,
+    the least by its other columns as JSON, of whatever type they are."""
+    keyed, key = _keyed(docs)
+    groups = jaccard_components(keyed, size=5, percent=80, id_col=key).select(F.col("id").alias(key), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key))
+    first = keyed.select("doc_id", key).distinct().join(groups, key).groupBy("component_id").agg(F.min_by(F.col(key), order).alias(key)).select(key)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    return keyed.join(first, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), least).alias("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item. Rows go by id and text, as ids may be null or repeated."""
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    keyed = docs.withColumn("_key", key)
-    leaked = find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").select(F.col("id").alias("_key")).distinct()
-    return keyed.join(leaked, "_key", "left_anti").select(*docs.columns)
+    """Drops documents that hold a benchmark item."""
+    keyed, key = _keyed(docs)
+    leaked = find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("id").alias(key)).distinct()
+    return keyed.join(leaked, key, "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
