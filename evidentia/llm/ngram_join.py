@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.blocks import block_pairs
-from evidentia.llm.common import as_bytes, cut, over_batches, shingles, table, word_hashes
+from evidentia.llm.common import as_bytes, cut, mix64, over_batches, shingles, table, word_hashes
 from evidentia.llm.components import components
 
 #: Members in one block of a cluster, and shingles of a member above which it counts as several.
@@ -76,30 +76,44 @@ def may_link(percent: int) -> Callable[[int, int, np.ndarray], np.ndarray]:
     return enough
 
 
-def pairs_in(sets: list[np.ndarray], first: int | None, enough: Callable, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, those after i that have ``enough`` in common with set i), exact: for the sets before ``first`` with
-    those from there on, or for all with all if it is None."""
-    n = len(sets)
-    joined = np.concatenate(sets) if n else np.zeros(0, np.uint64)
-    lengths = np.array([len(s) for s in sets], dtype=np.int64)
-    owner = np.repeat(np.arange(n), lengths)
-    _, token = np.unique(joined, return_inverse=True)
-    order = np.argsort(token, kind="stable")
-    holder = owner[order]
-    edge = np.concatenate(([0], np.cumsum(np.bincount(token))))
-    begin = np.concatenate(([0], np.cumsum(lengths)))
-    for i in range(n if first is None else first):
-        mine = token[begin[i] : begin[i + 1]]
-        counts = edge[mine + 1] - edge[mine]
+class Holders:
+    """Which of some sets hold each of their elements."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        joined = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        lengths = np.array([len(s) for s in sets], dtype=np.int64)
+        _, self.token = np.unique(joined, return_inverse=True)
+        self.holder = np.repeat(np.arange(self.n), lengths)[np.argsort(self.token, kind="stable")]
+        self.edge = np.concatenate(([0], np.cumsum(np.bincount(self.token))))
+        self.begin = np.concatenate(([0], np.cumsum(lengths)))
+
+    def common(self, i: int) -> np.ndarray | None:
+        """How many elements each set has in common with set i; None if no other has any."""
+        mine = self.token[self.begin[i] : self.begin[i + 1]]
+        counts = self.edge[mine + 1] - self.edge[mine]
         mine, counts = mine[counts > 1], counts[counts > 1]
         if not len(mine):
+            return None
+        at = np.repeat(self.edge[mine] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+        return np.bincount(self.holder[at], minlength=self.n)
+
+
+def pairs_in(sets: list[np.ndarray], first: int | None, enough: Callable, sizes: np.ndarray, before: list[np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, those after i that have ``enough`` in common with set i), exact: for the sets before ``first`` with
+    those from there on, or for all with all if it is None. With ``before``, only pairs count that have
+    nothing in common there."""
+    of, earlier = Holders(sets), None if before is None else Holders(before)
+    for i in range(len(sets) if first is None else first):
+        common = of.common(i)
+        if common is None:
             continue
-        at = np.repeat(edge[mine] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-        common = np.bincount(holder[at], minlength=n)
         low = i + 1 if first is None else first
-        other = np.flatnonzero((common[low:] > 0) & enough(sizes[i], sizes[low:], common[low:])) + low
-        if len(other):
-            yield i, other
+        some = (common[low:] > 0) & enough(sizes[i], sizes[low:], common[low:])
+        if earlier is not None and (shared := earlier.common(i)) is not None:
+            some &= shared[low:] == 0
+        if some.any():
+            yield i, np.flatnonzero(some) + low
 
 
 class Forest:
@@ -128,22 +142,35 @@ def links_in(sets: list[np.ndarray], first: int | None, percent: int) -> list[tu
     return [(i, j) for i, others in pairs_in(sets, first, jaccard(percent), sizes) for j in others.tolist() if forest.join(i, j)]
 
 
-def paired(shared: list[np.ndarray], keep: np.ndarray, sizes: np.ndarray, first: int | None, token: int | None, percent: int) -> list[tuple[int, int]]:
-    """The groups that are in a pair, with the number of one of those that pairs connect them with. With
-    ``token``, only pairs count whose first common prefix shingle it is, as each pair would be found
-    once for every shingle that is common to both prefixes."""
+def paired(shared: list[np.ndarray], before: list[np.ndarray], sizes: np.ndarray, first: int | None, percent: int) -> list[tuple[int, int]]:
+    """The groups that are in a pair, with the number of one of those that pairs connect them with.
+    Groups with anything in common ``before`` are no pair here."""
     forest, found = Forest(len(shared)), set()
-    for i, others in pairs_in(shared, first, may_link(percent), sizes):
+    for i, others in pairs_in(shared, first, may_link(percent), sizes, before):
         some = others.tolist()
-        if token is not None:
-            mine = shared[i][: keep[i]]
-            some = [j for j in some if mine[np.isin(mine, shared[j][: keep[j]], assume_unique=True)][:1] == token]
+        found.update((i, *some))
         for j in some:
             forest.join(i, j)
-        found.update([i, *some] if some else ())
     return [(i, forest.root(i)) for i in sorted(found)]
 
 
+def apart(sets: list[np.ndarray], key: np.ndarray) -> list[np.ndarray]:
+    """The sets with elements that differ from those of sets of another key: one look at all is then as good
+    as one for each key."""
+    return [s.astype(np.uint64, copy=False) ^ k for s, k in zip((s.view(np.uint64) if s.dtype == np.int64 else s for s in sets), mix64(key.view(np.uint64)))]
+
+
+def in_units(members: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """``members`` in block pairs of units: a large key is a unit of its own, small ones are put together at
+    random, so that a task has about ``BLOCK`` members in either case. ``counts`` has the keys to take
+    and their ``n``."""
+    small = F.col("n") <= BLOCK // 4
+    total = counts.agg(F.sum(F.when(small, F.col("n")))).first()[0] or 0
+    unit = F.when(small, F.pmod(F.xxhash64(key), F.lit(max(1, total // BLOCK)))).otherwise(F.xxhash64(key, F.lit(1)))
+    of = cut(counts.select(key, "n", unit.alias("unit")))
+    return block_pairs(members.join(of.select(key, "unit"), key), "unit", of.groupBy("unit").agg(F.sum("n").alias("n")), BLOCK, F.xxhash64("id"))
+
+
 def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id as ``id``, ``n_shingles`` (size of its set) and ``component_id``,
     the least id that it reaches by links, its own included.
@@ -156,7 +183,7 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
 
     Nothing is written per pair: shuffles carry a fixed part of each set's shingles; tasks that filter
     or verify hold two blocks of groups or members, and return groups or a forest. Groups that prefix shingles connect
-    are filtered all at once where they fit a block, else shingle by shingle and size by size.
+    are filtered all at once, or shingle by shingle and size by size where that makes fewer pairs.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent is above 50, up to 100")
@@ -199,29 +226,34 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
     to_hub = posts.join(hubs, ["token", "step"]).select(F.col("g").alias("a"), F.col("hub").alias("b"))
     ladder = hubs.select("token", "step", F.col("hub").alias("a")).join(hubs.select("token", (F.col("step") - 1).alias("step"), F.col("hub").alias("b")), ["token", "step"]).select("a", "b")
     pools = cut(components(to_hub.unionByName(ladder)))
-    of_pool = pools.groupBy("root").agg(F.count("*").alias("groups"))
-    pooled = pools.join(of_pool, "root").withColumnRenamed("node", "g")
-
-    # What is filtered together: a pool that fits a block; of a larger one, the groups of a prefix shingle and
-    # of like size.
-    whole_pools = pooled.where(F.col("groups") <= BLOCK).select(F.col("root").alias("key"), F.lit(None).cast("bigint").alias("token"), "g")
-    by_token = posts.join(pooled.where(F.col("groups") > BLOCK).select("g"), "g").select("g", "token", F.explode(F.array("step", F.col("step") - 1)).alias("step"))
-    keyed_groups = cut(whole_pools.unionByName(by_token.select(F.xxhash64("token", "step").alias("key"), "token", "g")))
+
+    # What is filtered together: a pool, or the groups of a prefix shingle and of like size, whichever makes
+    # fewer pairs to look at. A pool that a few passages hold together has short lists; copies share most
+    # shingles, and each of them lists nearly the whole pool.
+    lists = posts.join(pools.withColumnRenamed("node", "g"), "g").select("root", "g", "token", F.explode(F.array("step", F.col("step") - 1)).alias("step"))
+    listed = lists.groupBy("root", "token", "step").agg(F.count("*").cast("double").alias("n")).groupBy("root").agg(F.sum(F.col("n") * F.col("n")).alias("in_lists"))
+    plan = pools.groupBy("root").agg(F.count("*").cast("double").alias("n")).join(listed, "root").select("root", ((F.col("n") > BLOCK) & (F.col("in_lists") < F.col("n") * F.col("n"))).alias("by_token"))
+    plan = cut(plan)
+    whole_pools = pools.withColumnRenamed("node", "g").join(plan.where("not by_token"), "root").select(F.col("root").alias("key"), F.lit(0).cast("bigint").alias("token"), F.lit(False).alias("listed"), "g")
+    by_token = lists.join(plan.where("by_token").select("root"), "root").select(F.xxhash64("token", "step").alias("key"), "token", F.lit(True).alias("listed"), "g")
+    keyed_groups = cut(whole_pools.unionByName(by_token))
     per_key = keyed_groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    to_filter = block_pairs(keyed_groups.join(groups.withColumnRenamed("n", "size"), "g"), "key", per_key, BLOCK, F.xxhash64("g"))
+    to_filter = in_units(keyed_groups.join(groups.select(F.col("g"), F.col("g").alias("id"), F.col("n").alias("size"), "shared"), "g"), "key", per_key)
 
     def filtered(pdf: pd.DataFrame) -> pd.DataFrame:
         bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-        pdf = pdf.sort_values(["mine", "g"]) if bi != bj else pdf.sort_values("g")
-        token = pdf["token"].iloc[0]
-        found = paired(list(pdf["shared"]), pdf["keep"].to_numpy(), pdf["size"].to_numpy(np.int64), int((pdf["mine"] == bi).sum()) if bi != bj else None, None if pd.isna(token) else token, percent)
+        pdf = pdf.sort_values(["mine", "key", "g"]) if bi != bj else pdf.sort_values(["key", "g"])
+        shared, key = list(pdf["shared"]), pdf["key"].to_numpy(np.int64)
+        # A pair has to be found at the first shingle that is common to both prefixes, and there alone.
+        before = [s[: int(np.argmax(s == t))] if one else s[:0] for s, t, one in zip(shared, pdf["token"], pdf["listed"])]
+        found = paired(apart(shared, key), apart(before, key), pdf["size"].to_numpy(np.int64), int((pdf["mine"] == bi).sum()) if bi != bj else None, percent)
         g = pdf["g"].to_numpy()
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "bi": bi, "bj": bj, "root": [g[r] for _, r in found], "g": [g[i] for i, _ in found]})
+        return pd.DataFrame({"unit": pdf["unit"].iloc[0], "bi": bi, "bj": bj, "root": [g[r] for _, r in found], "g": [g[i] for i, _ in found]})
 
-    in_pairs = cut(to_filter.groupBy("key", "bi", "bj").applyInPandas(filtered, "key bigint, bi int, bj int, root bigint, g bigint"))
+    in_pairs = cut(to_filter.groupBy("unit", "bi", "bj").applyInPandas(filtered, "unit bigint, bi int, bj int, root bigint, g bigint"))
     # A group in no pair still has its members to compare.
     alone = in_group.join(in_pairs.select("g"), "g", "left_anti").select("c", "n", F.col("g").alias("cluster"))
-    members = cut(in_group.join(in_pairs.select("g", F.xxhash64("key", "bi", "bj", "root").alias("cluster")), "g").select("c", "n", "cluster").unionByName(alone))
+    members = cut(in_group.join(in_pairs.select("g", F.xxhash64("unit", "bi", "bj", "root").alias("cluster")), "g").select("c", "n", "cluster").unionByName(alone))
     weight = F.greatest(F.count("*"), F.ceil(F.sum("n") / LARGE))
     counts = members.groupBy("cluster").agg(F.count("*").alias("members"), weight.alias("n")).where("members > 1").drop("members")
     members = members.select("c", "cluster")
@@ -232,17 +264,17 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
 
     wanted = members.join(counts.select("cluster"), "cluster", "left_semi")
     whole = over_batches(texts, named, "c bigint, text string").join(wanted, "c").dropDuplicates(["c", "cluster"])
-    tasks = block_pairs(whole, "cluster", counts, BLOCK, F.xxhash64("c"))
+    tasks = in_units(whole.withColumn("id", F.col("c")), "cluster", counts)
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-        pdf = pdf.sort_values(["mine", "c"]) if bi != bj else pdf.sort_values("c")
-        sets = sets_of([t.encode("utf-8", "surrogatepass") for t in pdf["text"]], size)
+        pdf = pdf.sort_values(["mine", "cluster", "c"]) if bi != bj else pdf.sort_values(["cluster", "c"])
+        sets = apart(sets_of([t.encode("utf-8", "surrogatepass") for t in pdf["text"]], size), pdf["cluster"].to_numpy(np.int64))
         found = links_in(sets, int((pdf["mine"] == bi).sum()) if bi != bj else None, percent)
         c = pdf["c"].to_numpy()
         return pd.DataFrame({"a": [c[i] for i, _ in found], "b": [c[j] for _, j in found]}, dtype="int64")
 
-    edges = tasks.groupBy("cluster", "bi", "bj").applyInPandas(verify, "a bigint, b bigint")
+    edges = tasks.groupBy("unit", "bi", "bj").applyInPandas(verify, "a bigint, b bigint")
     roots = components(edges).withColumnRenamed("node", "c")
     in_root = keys.where("n_shingles > 0").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = in_root.groupBy("root").agg(F.min("id").alias("component_id"))

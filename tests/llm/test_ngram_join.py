@@ -81,14 +81,14 @@ def test_shared_passages_are_no_pairs(make, monkeypatch):
     rows = [(i, " ".join([f"u{i}x{k}" for k in range(40)] + rng.sample(passages, 2))) for i in range(600)]
     rows += [(600 + i, rows[i][1] + " more") for i in range(0, 60, 2)]
     compared = []
-    block_pairs = N.block_pairs
+    in_units = N.in_units
 
-    def counted(members, key, counts, size, deal):
+    def counted(members, key, counts):
         if key == "cluster":
             compared.append(counts.selectExpr("sum(n * (n - 1) / 2) as p").first().p or 0)
-        return block_pairs(members, key, counts, size, deal)
+        return in_units(members, key, counts)
 
-    monkeypatch.setattr(N, "block_pairs", counted)
+    monkeypatch.setattr(N, "in_units", counted)
     got = sorted((r.id, r.n_shingles, r.component_id) for r in N.jaccard_components(make(rows), 4, 85).collect())
     assert got == brute(rows, 4, 85)
     assert sum(r[0] != r[2] for r in got) == 30
