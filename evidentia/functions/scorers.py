@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions.meteor import meteor_score
 from evidentia.functions.text import tokens
 
 
@@ -60,42 +61,6 @@ class Lexical:
         return F.array_repeat(F.element_at(F.split(prompt, "\n"), -1), samples)
 
 
-#: Endings that ``stem`` takes off, longest first, where at least three letters stay.
-_ENDINGS = ("ations", "ation", "ingly", "edly", "ments", "ment", "ness", "ings", "ing", "ies", "ied", "ers", "est", "ed", "er", "es", "ly", "s", "e", "y")
-
-
-def stem(word: str) -> str:
-    """The word without its English ending."""
-    for end in _ENDINGS:
-        if word.endswith(end) and len(word) - len(end) >= 3:
-            return word[: -len(end)]
-    return word
-
-
-def meteor_score(left: list[str], right: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    """METEOR of token lists by its exact and its stem stage: harmonic mean of precision and recall over
-    unigram matches, less a penalty for the chunks they fall into. Words that are left over by the exact
-    stage match by their stems; there are no synonyms."""
-    match = [-1] * len(left)
-    taken = [False] * len(right)
-    for form in (str, stem):
-        free: dict[str, list[int]] = {}
-        for j in range(len(right) - 1, -1, -1):
-            if not taken[j]:
-                free.setdefault(form(right[j]), []).append(j)
-        for i, w in enumerate(left):
-            if match[i] < 0 and (places := free.get(form(w))):
-                match[i] = places.pop()
-                taken[match[i]] = True
-    pairs = [(i, j) for i, j in enumerate(match) if j >= 0]
-    if not pairs:
-        return 0.0
-    chunks = 1 + sum(b[0] != a[0] + 1 or b[1] != a[1] + 1 for a, b in zip(pairs, pairs[1:]))
-    p, r = len(pairs) / len(left), len(pairs) / len(right)
-    mean = p * r / (alpha * p + (1 - alpha) * r)
-    return mean * (1 - gamma * (chunks / len(pairs)) ** beta)
-
-
 def meteor(left: Column, right: Column) -> Column:
     """``meteor_score`` of two texts as an Arrow function: alignment has no SQL expression."""
 
@@ -106,9 +71,10 @@ def meteor(left: Column, right: Column) -> Column:
     return score(tokens(left), tokens(right))
 
 
-def with_model(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Series]], inputs: list[str], output: str, kind: str, attempts: int = 10, pause: float = 0.5) -> DataFrame:
+def with_model(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Series]], inputs: list[str], output: str, kind: str, attempts: int = 10, pause: float = 0.5, longest: float = 8.0) -> DataFrame:
     """``df`` with ``output``: a model's answers to batches of ``inputs``, and ``<output>_error``, the
-    message where it failed ``attempts`` times (pauses double). ``load`` runs once in a worker."""
+    message where it failed ``attempts`` times (pauses double up to ``longest`` seconds). Errors of the
+    program, such as a wrong name or type, are raised at once. ``load`` runs once in a worker."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
@@ -118,12 +84,14 @@ def with_model(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Ser
                 try:
                     yield batch.assign(**{output: model(batch[inputs]).to_numpy(), f"{output}_error": None})
                     break
+                except (TypeError, LookupError, AttributeError, NameError, ImportError):
+                    raise
                 except Exception as e:  # noqa: BLE001
                     if left == 0:
                         yield batch.assign(**{output: None, f"{output}_error": str(e)[:500]})
                     else:
                         time.sleep(wait)
-                        wait *= 2
+                        wait = min(2 * wait, longest)
 
     columns = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
     return df.mapInPandas(run, f"{columns}, `{output}` {kind}, `{output}_error` string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -98,15 +100,23 @@ def first_token(text: Column) -> Column:
     return F.split(text, " ")[0]
 
 
-def ngrams(items: Column, n: int) -> Column:
-    """All runs of one to ``n`` items, joined by a space, by start and then length."""
-    spans = F.transform(
-        F.sequence(F.lit(0), F.size(items) - 1),
-        lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(n), F.size(items) - s)), lambda k: F.array_join(F.slice(items, s + 1, k), " ")),
-    )
+def ngrams(items: Column, n: int, keep: Callable[[Column], Column] | None = None) -> Column:
+    """All runs of one to ``n`` items, joined by a space, by start and then length; with ``keep``, those whose
+    array of items it accepts."""
+
+    def from_start(s: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.least(F.lit(n), F.size(items) - s)), lambda k: F.slice(items, s + 1, k))
+        return F.transform(runs if keep is None else F.filter(runs, keep), lambda r: F.array_join(r, " "))
+
+    spans = F.transform(F.sequence(F.lit(0), F.size(items) - 1), from_start)
     return F.when(F.size(items) > 0, F.flatten(spans)).otherwise(F.array().cast("array<string>"))
 
 
+def no_stop_word_outside(gram: Column) -> Column:
+    """Whether a run of words neither begins nor ends with a stop word."""
+    return ~F.element_at(gram, 1).isin(*STOP_WORDS) & ~F.element_at(gram, -1).isin(*STOP_WORDS)
+
+
 def unbracket(token: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in BRACKETS.items() for x in kv)), token), token)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from evidentia.operators import dedup, joins, setops
 from evidentia.operators import evidence as E
 from evidentia.operators.rank import ordinal
-from evidentia.plans.base import claims, query, t
+from evidentia.plans.base import claims, query, shared_folder, t
+from evidentia.streaming.rounds import EVIDENCE, evidence_by_rounds, prepared
 
 VEC = "list_transform(embedding, lambda x: x::double)"
 
@@ -32,6 +33,15 @@ def greedy_dedup(s, d):
     return groups(s, d, 8).select("g", F.explode(dedup.greedy(F.col("items"), 0.2)).alias("x")).select("g", "x.vec_id")
 
 
+BY_LABEL = FOLD.replace("vec_id // {size} as g", "label as g").replace("from embeddings)", "from embeddings where label is not null)").format(limit=0.3)
+
+
+@query(f"with recursive {BY_LABEL} select v.g as label, v.vec_id from v join (select g, arg_max(kept, n) as kept from fold group by g) k on k.g = v.g and list_contains(k.kept, v.n)")
+def greedy_by_label(s, d):
+    """What an ordered greedy pass keeps of the vectors of each label, lists of any length."""
+    return dedup.greedy_rows(t(s, d, "embeddings").where("label is not null"), ["label"], "vec_id", "embedding", 0.3, rows=512)
+
+
 @query(f"""with recursive {FOLD.format(size=5, limit=0.1)}, k as (select g, arg_max(kept, n) as kept from fold group by g)
 select g, len(kept)::int as n, array_to_string(list_reverse(list_transform(kept, lambda i: (g * 5 + i - 1)::varchar)), ',') as ids from k""")
 def greedy_by_relevance(s, d):
@@ -212,6 +222,29 @@ def combine_all_rounds(s, d):
     return _evidence(E.combine_all([round_table(s, d, r) for r in (1, 2, 3)]))
 
 
+def _state_sql() -> str:
+    decided = [f"select claim_id, {r} as r, {COMPLETE} as complete from {DECIDE.format(ROUND.format(r=r))}" for r in (1, 2, 3)]
+    done = f"(select claim_id, coalesce(min(r) filter (complete), 4) as done from ({' union all '.join(decided)}) group by claim_id)"
+    given = [f"select e.* from ({ALL} {ROUND.format(r=r)} where answer is not null) e join {done} using (claim_id) where done > {r} union all select e.* from ({ALL} {ROUND.format(r=r)}) e join {done} using (claim_id) where done = {r}" for r in (1, 2, 3)]
+    answered = " union ".join(f"select conv_id from conversations where (conv_id + turn + {r}) % 4 <> 0" for r in (1, 2, 3))
+    none = f"select claim_id, q_idx, question, 'No answer could be found.', '', 1 from {ROUND.format(r=1)} join {done} using (claim_id) where done = 4 and claim_id not in ({answered})"
+    return _evidence_sql(" union all ".join([*given, none]))
+
+
+@query(_state_sql())
+def rounds_in_state(s, d):
+    """Answers of three rounds, in files and in any order, through a stream that holds each
+    claim's round as state and gives its evidence once it is done."""
+    n = t(s, d, "conversations").groupBy(F.col("conv_id").alias("claim_id")).agg(F.count_distinct("turn").alias("expected"))
+    rounds = [round_table(s, d, r).withColumn("round", F.lit(r)) for r in (1, 2, 3)]
+    answers = prepared(rounds[0].unionByName(rounds[1]).unionByName(rounds[2]).join(n, "claim_id"))
+    folder = shared_folder(s)
+    answers.repartition(6, F.xxhash64("question", "round")).write.parquet(f"{folder}/answers")
+    stream = s.readStream.schema(answers.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/answers")
+    evidence_by_rounds(stream, 3).writeStream.format("parquet").option("path", f"{folder}/evidence").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return _evidence(s.read.schema(EVIDENCE).parquet(f"{folder}/evidence"))
+
+
 ANY = f"(select * from ({ALL} {ROUND.format(r=1)} where answer is not null) union all select * from ({ALL} {ROUND.format(r=2)} where answer is not null))"
 
 

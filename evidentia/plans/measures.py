@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.scorers import Lexical
 from evidentia.operators import metrics as M
-from evidentia.operators.rank import small
+from evidentia.operators.rank import small, top_k
 from evidentia.plans.base import claims, jac, query, stored, t, tok
 from evidentia.plans.retrieval import CHUNKS, PAIRS, bm25_full_rank, scored_chunks
 from evidentia.plans.base import ORACLE as SQL
@@ -114,8 +114,6 @@ def window_groups(s, d):
 @query(f"with recursive {CHUNKS}, {PAIRS}, top as (select *, row_number() over (partition by claim_id order by score desc, doc_id, chunk) as rank from pairs) select count(distinct claim_id) filter (rank <= 10 and score > 0.1) as factual, count(distinct claim_id) as claims from top")
 def factuality_count(s, d):
     """Claims entailed by one of their ten best chunks."""
-    from evidentia.operators.rank import top_k
-
     top = top_k(scored_chunks(s, d), ["claim_id"], [F.desc("score"), F.asc("doc_id"), F.asc("chunk")], 10)
     return top.agg(F.count_distinct(F.when(F.col("score") > 0.1, F.col("claim_id"))).alias("factual"), F.count_distinct("claim_id").alias("claims"))
 
@@ -168,7 +166,9 @@ def assignment_utility(s, d):
     """The best matching of predicted to gold strings in each conversation."""
     c = t(s, d, "conversations").select("conv_id", "turn", "role", "text")
     a, b = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("p"), F.col("text").alias("x")), c.where("role = 'user'").select("conv_id", F.col("turn").alias("g"), F.col("text").alias("y"))
-    pairs = a.join(b, "conv_id").select("conv_id", "p", "g", F.round(Lexical().score_pairs(F.col("x"), F.col("y")), 6).alias("score"))
+    # A matching looks at the first ten predictions alone: the others meet no gold string.
+    first = top_k(a, ["conv_id"], [F.asc("p")], 10).drop("rank")
+    pairs = first.join(b, "conv_id").select("conv_id", "p", "g", F.round(Lexical().score_pairs(F.col("x"), F.col("y")), 6).alias("score"))
     return M.matching_utility(pairs, "conv_id", "p", "g", "score")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as T
 from evidentia.functions.scorers import cosine, dot, overlap
 from evidentia.operators import index as I
+from evidentia.operators import quantised as Q
 from evidentia.operators import rank as R
 from evidentia.plans.base import STORED, claims, jac, query, shared_folder, stored, t, tok
 
@@ -103,6 +104,13 @@ def dense_topk(s, d):
     return R.dense_top_k(e, e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), "vec_id", "query_id", "embedding", 5)
 
 
+@query()
+def dense_topk_quantised(s, d):
+    """The five nearest of the same query set by quantised vectors and an exact re-rank. Approximate."""
+    e = t(s, d, "embeddings")
+    return Q.dense_top_k(e, e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), "vec_id", "query_id", "embedding", 5)
+
+
 @query(f"""
 with v as (select vec_id, label, {VEC} as v from embeddings), q as (select label, min(vec_id) as first_id from embeddings group by label)
 select a.label, a.vec_id, round(list_cosine_similarity(a.v, b.v), 6) as cosine from v a join q using (label) join v b on b.vec_id = q.first_id""")

@@ -336,6 +336,15 @@ def ngram_spans(s, d):
     return t(s, d, "benchmark").select("item_id", F.size(g).cast("bigint").alias("n"), F.md5(F.array_join(g, "|")).alias("grams"))
 
 
+@query(f"""with w as (select item_id, {tok('text')} as tk from benchmark), g as (select item_id, s, k, array_to_string(tk[s:s + k - 1], ' ') as g from w, unnest(generate_series(1, len(tk))) as a(s), unnest([1, 2, 3]) as b(k)
+  where s + k - 1 <= len(tk) and not list_contains({list(T.STOP_WORDS)}, tk[s]) and not list_contains({list(T.STOP_WORDS)}, tk[s + k - 1]))
+select item_id, coalesce(count(g), 0) as n, md5(coalesce(string_agg(g, '|' order by s, k), '')) as grams from w left join g using (item_id) group by item_id""")
+def ngram_filter(s, d):
+    """Runs of one to three tokens that neither begin nor end with a stop word."""
+    g = T.ngrams(T.tokens(F.col("text")), 3, T.no_stop_word_outside)
+    return t(s, d, "benchmark").select("item_id", F.size(g).cast("bigint").alias("n"), F.md5(F.array_join(g, "|")).alias("grams"))
+
+
 @query(r"""select item_id, len(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda w: w <> ''))::int as n, regexp_replace(text, '[ \t\n\r]+$', '') as again,
 coalesce(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda w: w <> '')[1], '') as first_piece, length(regexp_extract(text, '^[ \t\n\r]*[^ \t\n\r]*'))::int as first_end from benchmark""")
 def token_tables(s, d):
@@ -353,6 +362,6 @@ def mojibake_repair(s, d):
 
 @query()
 def meteor_exact(s, d):
-    """METEOR by its exact and stem stages, between each claim and the whole texts of its store's documents."""
+    """METEOR by stems and fewest chunks, between each claim and the whole texts of its store's documents."""
     texts = stored(s, d).select("claim_id", "doc_id", "text")
     return texts.join(small(claims(s, d)), "claim_id").select("claim_id", "doc_id", F.round(meteor(F.col("text"), F.col("claim")), 6).alias("score"))

@@ -129,3 +129,27 @@ def test_percentiles(spark, values):
         assert M.describe(df, "v").first()["count"] == 0
     else:
         assert np.allclose(got, np.percentile(kept, [100 * s for s in shares]))
+
+
+@pytest.mark.parametrize("unit", [False, True])
+def test_quantised_ranking_finds_the_nearest(spark, unit):
+    """Recall of the five nearest against all pairs: 0.95 at least."""
+    from evidentia.operators import quantised as Q
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 24))
+    x = centres[rng.integers(30, size=4000)] + 0.6 * rng.normal(size=(4000, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [1.0])]
+    e = spark.createDataFrame(rows, "id long, v array<double>")
+    q = e.where("id % 100 = 0").withColumnRenamed("id", "q")
+    got = Q.dense_top_k(e, q, "id", "q", "v", 5, unit=unit, sample=1000).collect()
+    y = x / np.linalg.norm(x, axis=1, keepdims=True) if unit else x
+    score = y[::100] @ y.T
+    score[np.arange(40), np.arange(40) * 100] = -np.inf
+    want = {(100 * i, int(j)) for i, row in enumerate(score) for j in np.argsort(-row)[:5]}
+    found = {(r.q, r.id) for r in got}
+    assert len(got) == len(want) == 200
+    assert len(found & want) >= 0.95 * len(want)
+    assert all(abs(r.score - score[r.q // 100, r.id]) < 1e-5 for r in got)
+    assert Q.dense_top_k(e.limit(0), q, "id", "q", "v", 5).count() == 0
+    assert Q.dense_top_k(e, q.limit(0), "id", "q", "v", 5).count() == 0
