@@ -39,6 +39,12 @@ VERIFY_PROMPT = (
     "with justification using the following labels: Supported, Refuted, Not Enough Evidence, Conflicting Evidence/Cherrypicking.\n\n"
 )
 
+#: Texts of the prompts' parts, in the order in which they come.
+STATED = " stated "
+INSTRUCT = ("Instruct: ", "\nQuery: ")
+CLAIM_QUESTION = ("[CLAIM] ", " [QUESTION] ", ", because ")
+FEW_SHOT = ("Outrageously, ", ' claimed that "', '". Criticism includes questions like: ')
+
 # --- Words and sentences ------------------------------------------------------------------------
 
 
@@ -410,7 +416,7 @@ def cut_premise(premise: Column, hypothesis: Column, window: int = 1024) -> Colu
 
 def query_text(claim: Column, question: Column, speaker: Column | None = None) -> Column:
     plain = F.concat(claim, F.lit("  "), question)
-    return plain if speaker is None else F.when(speaker.isNotNull(), F.concat(speaker, F.lit(" stated "), plain)).otherwise(plain)
+    return plain if speaker is None else F.when(speaker.isNotNull(), F.concat(speaker, F.lit(STATED), plain)).otherwise(plain)
 
 
 def dense_query(claim: Column, questions: Column) -> Column:
@@ -419,7 +425,7 @@ def dense_query(claim: Column, questions: Column) -> Column:
 
 
 def instruct(task: str, query: Column) -> Column:
-    return F.concat(F.lit(f"Instruct: {task}\nQuery: "), query)
+    return F.concat(F.lit(INSTRUCT[0] + task + INSTRUCT[1]), query)
 
 
 def search_string(text: Column, author: Column | None = None) -> Column:
@@ -434,13 +440,13 @@ def triple(parts: Column, separator: str = " [SEP] ") -> Column:
 
 
 def claim_question_answer(claim: Column, question: Column, answer: Column, explanation: Column) -> Column:
-    why = F.when(F.length(explanation) > 0, F.concat(F.lit(", because "), F.trim(F.lower(explanation)))).otherwise("")
-    return F.concat(F.lit("[CLAIM] "), F.trim(claim), F.lit(" [QUESTION] "), F.trim(question), F.lit(" "), F.trim(answer), why)
+    why = F.when(F.length(explanation) > 0, F.concat(F.lit(CLAIM_QUESTION[2]), F.trim(F.lower(explanation)))).otherwise("")
+    return F.concat(F.lit(CLAIM_QUESTION[0]), F.trim(claim), F.lit(CLAIM_QUESTION[1]), F.trim(question), F.lit(" "), F.trim(answer), why)
 
 
 def few_shot(claim: Column, speaker: Column, questions: Column) -> Column:
     """A claim with its questions as one example of a prompt."""
-    return F.concat(F.lit("Outrageously, "), speaker_or_they(speaker), F.lit(' claimed that "'), F.trim(claim), F.lit('". Criticism includes questions like: '), F.array_join(F.transform(questions, lambda q: F.trim(q)), " "))
+    return F.concat(F.lit(FEW_SHOT[0]), speaker_or_they(speaker), F.lit(FEW_SHOT[1]), F.trim(claim), F.lit(FEW_SHOT[2]), F.array_join(F.transform(questions, lambda q: F.trim(q)), " "))
 
 
 def evidence_question(answer: Column, question: Column) -> Column:

@@ -79,12 +79,19 @@ def explode_corrections(df: DataFrame, source: str, corrections: str) -> DataFra
     return df.select(F.col(source).alias("input"), F.explode(corrections).alias("target")).where(F.length(F.trim("target")) > 0)
 
 
+# The two instruction templates, without and with further input.
+PLAIN = ("Below is an instruction that describes a task. Write a response that appropriately completes the request.\n\n### Instruction:\n", "\n\n### Response:")
+PAIRED = (
+    "Below is an instruction that describes a task, paired with an input that provides further context. Write a response that appropriately completes the request.\n\n### Instruction:\n",
+    "\n\n### Input:\n",
+    "\n\n### Response:",
+)
+
+
 def instruction(prompt: Column, context: Column) -> Column:
-    """The two instruction templates: with further input and without."""
-    head = "Below is an instruction that describes a task{}. Write a response that appropriately completes the request.\n\n### Instruction:\n"
-    plain = F.concat(F.lit(head.format("")), prompt, F.lit("\n\n### Response:"))
-    paired = F.concat(F.lit(head.format(", paired with an input that provides further context")), prompt, F.lit("\n\n### Input:\n"), context, F.lit("\n\n### Response:"))
-    return F.when(F.length(context) > 0, paired).otherwise(plain)
+    """A prompt by the template with further input, or the one without if there is none."""
+    paired = F.concat(F.lit(PAIRED[0]), prompt, F.lit(PAIRED[1]), context, F.lit(PAIRED[2]))
+    return F.when(F.length(context) > 0, paired).otherwise(F.concat(F.lit(PLAIN[0]), prompt, F.lit(PLAIN[1])))
 
 
 def safety_variants(df: DataFrame, seed: int, key: str, codes: list[str], violated: str) -> DataFrame:

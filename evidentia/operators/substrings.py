@@ -48,14 +48,15 @@ def keys(data: bytes, size: int) -> Iterator[np.ndarray]:
         yield _mixed(words, size)
 
 
-def _bits(k: np.ndarray) -> np.ndarray:
+def slots(k: np.ndarray) -> np.ndarray:
+    """Where keys fall in the map: their highest bits."""
     return (k >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
-def _map(of: DataFrame, key: str) -> np.ndarray:
+def key_map(of: DataFrame, key: str) -> np.ndarray:
     """One bit for each slot of the map that some key falls into; 2^16 words at the driver at most."""
-    slots = of.select(F.shiftrightunsigned(F.col(key), 64 - MAP_BITS).alias("slot"))
-    bits = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(slot, 64) as int))").alias("bit"))
+    found = of.select(F.shiftrightunsigned(F.col(key), 64 - MAP_BITS).alias("slot"))
+    bits = found.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(slot, 64) as int))").alias("bit"))
     words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
     packed = np.zeros(1 << (MAP_BITS - 6), np.int64)
     for r in words:
@@ -75,7 +76,7 @@ def _pieces(df: DataFrame, schema: StructType, sizes: list[int], known, counted:
             for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if text is None:
                     continue
-                got = [k if there is None else k[there[_bits(k)]] for size in (sizes or [min(PIECE, len(text))]) for k in keys(text, size)]
+                got = [k if there is None else k[there[slots(k)]] for size in (sizes or [min(PIECE, len(text))]) for k in keys(text, size)]
                 got = np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
                 found.append(got.view(np.int64))
                 rows.append(np.full(len(got), i))
@@ -122,4 +123,4 @@ def holding(texts: DataFrame, strings: DataFrame, text: str, string: str) -> Dat
 
 
 def _share(spark: SparkSession, of: DataFrame):
-    return spark.sparkContext.broadcast(_map(of, "_key"))
+    return spark.sparkContext.broadcast(key_map(of, "_key"))

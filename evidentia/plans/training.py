@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
@@ -89,6 +90,29 @@ def explode_corrections(s, d):
     return B.explode_corrections(t(s, d, "conversations").withColumn("c", F.split("text", r"\.")), "role", "c")
 
 
+@B.register("turns")
+def turns(spark, path):
+    """Each user turn as a prompt and the turn after it as the output."""
+    c = spark.read.parquet(f"{path}/conversations.parquet")
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    return c.withColumn("output", F.lead("text").over(after)).where("role = 'user' and output is not null").select(F.col("text").alias("prompt"), "output")
+
+
+@B.register("verdicts")
+def verdicts(spark, path):
+    """Each labelled document as a prompt and its label as the output."""
+    labels = spark.read.parquet(f"{path}/labels.parquet").select("doc_id", F.when(F.col("toxic") == 1, "unsafe").otherwise("safe").alias("output"))
+    return spark.read.parquet(f"{path}/documents.parquet").join(labels, "doc_id").select(F.col("text").alias("prompt"), "output")
+
+
+@query("""select 'turns' as dataset, md5(prompt) as prompt, md5(output) as output from (select role, text as prompt, lead(text) over (partition by conv_id order by turn) as output from conversations) where role = 'user' and output is not null
+union all select 'verdicts', md5(text), md5(case when toxic = 1 then 'unsafe' else 'safe' end) from documents join labels using (doc_id)""")
+def registered_datasets(s, d):
+    """Datasets by their registered names."""
+    of = [B.load(s, name, d).select(F.lit(name).alias("dataset"), F.md5("prompt").alias("prompt"), F.md5("output").alias("output")) for name in ("turns", "verdicts")]
+    return of[0].unionByName(of[1])
+
+
 CODES = "['O1', 'O2', 'O3', 'O4', 'O5', 'O6']"
 
 

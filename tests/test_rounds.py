@@ -67,3 +67,25 @@ def test_the_stream_gives_the_batch_rows(spark, tmp_path, files):
     q = S.evidence_by_rounds(stream, 3).writeStream.format("parquet").option("path", f"{tmp_path}/e").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.read.schema(S.EVIDENCE).parquet(f"{tmp_path}/e").collect())) == batch(spark, rows)
+
+
+def test_windowed_counts_on_a_stream(spark, tmp_path):
+    """The batch rows, but for events that come later than the watermark allows."""
+    from evidentia.streaming.ingest import windowed_counts
+
+    rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", k, float(m)) for h in range(4) for m in (5, 20, 50) for k in ("a", "b")]
+    events = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    late = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/in")
+
+    def run():
+        stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+        windowed_counts(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    late.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    got = {(r.window_start, r.event_type): (r.n, r.total) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {(r.window_start, r.event_type): (r.n, r.total) for r in windowed_counts(events).collect()}
+    last = max(w for w, _ in want)
+    assert got == {k: v for k, v in want.items() if k[0] != last}  # the last hour is still open
