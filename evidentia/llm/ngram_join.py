@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from evidentia.llm.blocks import block_pairs
 from evidentia.llm.common import as_bytes, cut, mix64, over_batches, shingles, table, word_hashes
 from evidentia.llm.components import components
+from evidentia.operators.substrings import key_map, slots
 
 #: Members in one block of a cluster, and shingles of a member above which it counts as several.
 BLOCK, LARGE = 512, 1000
@@ -258,11 +259,15 @@ def jaccard_components(df: DataFrame, size: int = 5, percent: int = 80, id_col:
     counts = members.groupBy("cluster").agg(F.count("*").alias("members"), weight.alias("n")).where("members > 1").drop("members")
     members = members.select("c", "cluster")
 
+    wanted = cut(members.join(counts.select("cluster"), "cluster", "left_semi"))
+    # A map of fixed size tells nearly all texts that no cluster wants, before they are shuffled.
+    there = df.sparkSession.sparkContext.broadcast(key_map(wanted, "c"))
+
     def named(batch: pa.RecordBatch) -> dict[str, list]:
-        data = as_bytes(batch.column(0))
-        return {"c": [class_key(s) for s in sets_of(data, size)], "text": batch.column(0).to_pylist()}
+        keys = np.array([class_key(s) for s in sets_of(as_bytes(batch.column(0)), size)], dtype=np.int64)
+        some = np.flatnonzero(there.value[slots(keys.view(np.uint64))])
+        return {"c": keys[some].tolist(), "text": batch.column(0).take(pa.array(some)).to_pylist()}
 
-    wanted = members.join(counts.select("cluster"), "cluster", "left_semi")
     whole = over_batches(texts, named, "c bigint, text string").join(wanted, "c").dropDuplicates(["c", "cluster"])
     tasks = in_units(whole.withColumn("id", F.col("c")), "cluster", counts)
 
