@@ -1,6 +1,7 @@
 """Porter's stems, and alignments against an exhaustive search."""
 
 import random
+import time
 from itertools import permutations
 
 import pytest
@@ -61,6 +62,41 @@ def test_long_lists():
     assert M.aligned([], ["a"]) == M.aligned(["a"], []) == (0, 0)
 
 
+def test_short_claims_in_long_texts_are_exact():
+    """By a second search without the short cuts: the claim falls into the longest runs that the text has."""
+    rng = random.Random(11)
+    for _ in range(200):
+        claim = [f"w{i}" for i in rng.sample(range(60), 12)]
+        text = [f"w{rng.randrange(60)}" for _ in range(400)]
+        for at in range(0, 400, 40):
+            begin = rng.randrange(9)
+            text[at : at + 4] = claim[begin : begin + 4]
+        have, chunks, i = set(text), 0, 0
+        lines = " " + " ".join(text) + " "
+        found = [w for w in claim if w in have]
+        while i < len(claim):
+            n = 1
+            while i + n < len(claim) and " " + " ".join(claim[i : i + n + 1]) + " " in lines:
+                n += 1
+            chunks, i = chunks + (claim[i] in have), i + n
+        assert M.aligned(text, claim) == M.aligned(claim, text) == (len(found), chunks)
+
+
+def test_long_texts_take_one_pass():
+    words = "the cat sat on the mat and the dog sat on the cat".split()
+    text = [w for i in range(40_000) for w in (words[i % 13], words[i * i % 11])]
+    begun = time.perf_counter()
+    assert M.aligned(text, words)[0] == len(words)
+    assert time.perf_counter() - begun < 3
+
+
+def test_words_that_begin_otherwise_are_not_stemmed():
+    left, right = "happy ponies ays ies going xylem ties".split(), "happi poni ai i".split()
+    a, b = M.stemmed(left, right)
+    assert a == ["happi", "poni", "ai", "i", None, None, None] and b == [M.stem(w) for w in right]
+    assert M.stemmed(right, left) == (b, a)
+
+
 @pytest.mark.parametrize("threshold", [0.1, 0.8])
 def test_long_lists_are_filtered_as_short_ones(spark, threshold):
     rng = random.Random(9)
