@@ -78,27 +78,44 @@ def is_capitalised(word: Column) -> Column:
     return F.rlike(word, F.lit(r"^[^\p{L}\p{N}]*\p{Lu}"))
 
 
-def sentences(text: Column, boundaries=None) -> Column:
+def pieces(text: Column) -> Column:
+    """A text cut after each full stop, exclamation or question mark with white space behind it."""
+    return F.split(F.regexp_replace(text, r"([.!?])(\s+)", "$1\u0001$2"), "\u0001")
+
+
+def _edge(x: Column, i: int) -> Column:
+    return F.substring_index(F.translate(F.trim(x), "\t\n\r", "   "), " ", i)
+
+
+def cuts(text: Column) -> Column:
+    """For each cut of ``pieces``, the word before it and the word behind it."""
+    parts, n = pieces(text), F.size(pieces(text)) - 1
+    both = lambda x, y: F.struct(_edge(x, -1).alias("before"), _edge(F.regexp_replace(y, r"^\s+", ""), 1).alias("behind"))
+    return F.zip_with(F.slice(parts, F.lit(1), n), F.slice(parts, F.lit(2), n), both)
+
+
+def sentences(text: Column, boundaries=None, on: Column | None = None) -> Column:
     """Trimmed sentences: text is cut after a full stop, exclamation or question mark with white space
     behind it. With ``boundaries`` (``operators.boundaries.Boundaries``), a full stop behind one of its
-    abbreviations, or behind a single letter, cuts only before a capitalised one of its starters."""
-    if boundaries is None:
+    abbreviations, or behind a single letter, cuts only before a capitalised one of its starters; with
+    ``on``, the cuts of these numbers, from 1, are none (``operators.boundaries.going_on``)."""
+    if on is not None:
+        marked = F.array_join(F.transform(pieces(text), lambda p, i: F.when((i == 0) | F.array_contains(on, i), p).otherwise(F.concat(F.lit("\u0001"), p))), "")
+    elif boundaries is None:
         marked = F.regexp_replace(text, r"([.!?])\s+", "$1\u0001")
     else:
         from evidentia.operators.boundaries import doubtful
 
-        pieces = F.split(F.regexp_replace(text, r"([.!?])(\s+)", "$1\u0001$2"), "\u0001")
-        edge = lambda x, i: F.substring_index(F.translate(F.trim(x), "\t\n\r", "   "), " ", i)
-
         def joined(before: Column, piece: Column) -> Column:
-            core, word = word_core(edge(before, -1)), edge(F.regexp_replace(piece, r"^\s+", ""), 1)
+            core, word = word_core(_edge(before, -1)), _edge(F.regexp_replace(piece, r"^\s+", ""), 1)
             opens = is_capitalised(word) & (core_type(word_core(word)).isin(*boundaries.starters) if boundaries.starters else F.lit(False))
             goes_on = F.endswith(core, F.lit(".")) & doubtful(core_type(core), boundaries.abbreviations) & ~opens
             return F.when(before.isNull() | goes_on, piece).otherwise(F.concat(F.lit("\u0001"), piece))
 
-        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(pieces, F.lit(1), F.size(pieces) - 1))
-        marked = F.array_join(F.zip_with(before, pieces, joined), "")
-    blanks = F.lit(" ") if boundaries is None else F.lit(" \t\n\r")
+        parts = pieces(text)
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(parts, F.lit(1), F.size(parts) - 1))
+        marked = F.array_join(F.zip_with(before, parts, joined), "")
+    blanks = F.lit(" ") if boundaries is None and on is None else F.lit(" \t\n\r")
     return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s, blanks)), lambda s: s != "")
 
 
@@ -356,12 +373,12 @@ def _packed(lines: pd.Series, parts: pd.Series, longer: pd.Series, tail: pd.Seri
     return pd.Series([one(*row) for row in zip(lines, parts, longer, tail)], dtype=object)
 
 
-def pack_sentences(line: Column, longer: int = 100, first: int | None = None, tail: int = 50, boundaries=None) -> Column:
+def pack_sentences(line: Column, longer: int = 100, first: int | None = None, tail: int = 50, boundaries=None, on: Column | None = None) -> Column:
     """A line of up to ``longer`` characters as it is; a longer one as its sentences joined by spaces
     until they pass ``longer``, a rest only if it passes ``tail``. With ``first``, the characters of a line
     beyond so many are dropped."""
     text = line if first is None else F.substring(line, 1, first)
-    parts = F.when(F.length(line) > longer, sentences(text, boundaries))
+    parts = F.when(F.length(line) > longer, sentences(text, boundaries, on))
     return _packed(F.when(line.isNotNull(), F.array(line)), F.array(parts), F.lit(longer), F.lit(tail))
 
 

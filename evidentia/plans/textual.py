@@ -85,16 +85,15 @@ def sentence_starters(s, d):
     """Words that begin sentences far more often than by chance."""
     docs = t(s, d, "documents")
     types = cut(B.word_types(docs))
-    known = tuple(sorted(r.type for r in B.abbreviations(types).collect()))
-    return B.sentence_starters(docs, types, known)
+    return B.sentence_starters(docs, types, cut(B.abbreviations(types).select("type")))
 
 
 @query(f"with {BOUNDARIES} select doc_id, len(sents)::int as n, md5(array_to_string(sents, chr(1))) as sentences from {split_sql('text', 'documents', 'doc_id')}")
 def learnt_sentences(s, d):
     """Sentences of whole documents, by boundaries learnt from all of them."""
     docs = t(s, d, "documents")
-    cut_up = T.sentences(F.col("text"), B.learn(docs))
-    return docs.select("doc_id", F.size(cut_up).alias("n"), F.md5(F.array_join(cut_up, "\u0001")).alias("sentences"))
+    cut_up = T.sentences(F.col("text"), on=F.col("_on"))
+    return B.going_on(docs.select("doc_id", "text"), "text", *B.learn_tables(docs)).select("doc_id", F.size(cut_up).alias("n"), F.md5(F.array_join(cut_up, "\u0001")).alias("sentences"))
 
 
 @query(rf"""with recursive {BOUNDARIES}, l as {split_sql('line', f"(select * from {LINES} where length(line) >= 50)", 'doc_id, line_idx, line, length(line) > 100 as long')},
@@ -109,8 +108,9 @@ select doc_id, line_idx, unnest(generate_series(0, len(packed) - 1))::int as par
 def line_packer(s, d):
     """Short lines dropped, long ones packed, whole, from their sentences, which end where the
     boundaries learnt from all documents say."""
-    packed = T.pack_sentences(F.col("line"), boundaries=B.learn(t(s, d, "documents")))
-    got = lines(s, d).where(F.length("line") >= 50).select("doc_id", "line_idx", F.posexplode(packed).alias("part", "x"))
+    known, starters = B.learn_tables(t(s, d, "documents"))
+    packed = T.pack_sentences(F.col("line"), on=F.col("_on"))
+    got = B.going_on(lines(s, d).where(F.length("line") >= 50), "line", known, starters).select("doc_id", "line_idx", F.posexplode(packed).alias("part", "x"))
     return got.select("doc_id", "line_idx", "part", F.md5("x").alias("part_md5"))
 
 

@@ -155,3 +155,20 @@ def test_token_table_keeps_all_white_space(spark):
         assert [r.text for r in rows.r] == text.split()
         assert all(text[r.span.begin : r.span.end] == r.text for r in rows.r)
         assert rows.again.strip() == text.strip()
+
+
+def test_lists_of_any_length_are_joined(prose, spark, monkeypatch):
+    """Tables of abbreviations and starters take the place of lists that are too long for a plan."""
+    df = prose[0].unionByName(spark.createDataFrame([(1000, None), (1001, ""), (1002, "No end"), (0, "Mr. Smith. He"), (1003, " \n Dr. Ann\tcame. B. She!  They "), (None, "Dr. Ann went.")], df_schema))
+    known, starters = B.learn_tables(df)
+    lists = B.learn(df)
+    assert (sorted(r.type for r in known.collect()), sorted(r.type for r in starters.collect())) == (list(lists.abbreviations), list(lists.starters))
+    got = B.going_on(df, "text", known, starters).select("doc_id", T.sentences(F.col("text"), on=F.col("_on")).alias("s"), T.sentences(F.col("text"), lists).alias("w"), T.pack_sentences(F.col("text"), on=F.col("_on")).alias("p"), T.pack_sentences(F.col("text"), boundaries=lists).alias("q")).collect()
+    assert len(got) == df.count() and all(r.s == r.w and r.p == r.q for r in got)
+    monkeypatch.setattr(B, "MOST", 1)
+    with pytest.raises(ValueError):
+        B.learn(df)
+    assert B.going_on(df, "text", *B.learn_tables(df)).count() == df.count()
+
+
+df_schema = "doc_id long, text string"
