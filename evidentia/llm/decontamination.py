@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages (overlapping windows of words) become TF-IDF vectors over the words of the benchmark, with
-frequencies over all documents; a randomised SVD of the benchmark's passages and those of a bounded
-sample of documents, summed on the executors, gives the latent space; every passage of every document
+frequencies over all documents; a randomised SVD of the benchmark's passages and those of all
+documents, summed on the executors, gives the latent space; every passage of every document
 is searched, and those near a piece of a benchmark item are candidates. A candidate counts if the longest common subsequence of words
 covers most of the item, or less of it but nearly all of its answer.
 """
@@ -27,17 +27,15 @@ PASSAGE, STRIDE = 64, 32
 PIECE = 32
 #: Benchmark items, and pieces of them, searched at a time, about; the others follow in further turns.
 ITEMS, PIECES = 2000, 4096
-#: Pieces of items that share a latent space, and its dimensions: all of their vectors lie in it whole,
-#: and the dimensions left are for the passages of documents.
-BLOCK, RANK = 128, 256
+#: Pieces of items that share a latent space: all of their vectors lie in it whole. Further dimensions
+#: for the passages of documents.
+BLOCK, FURTHER = 128, 16
 #: Features in one row of the summed matrix, and entries projected at once.
 ROWS, ENTRIES = 256, 16_384
 #: Least latent cosine of a candidate; what holds enough of a piece is one whatever its cosine.
 CANDIDATE = 0.4
 #: Words in more than this share of documents make no feature, but the rarest few of each piece do.
 COMMON, RAREST = 0.05, 24
-#: Documents whose passages the latent space is fitted on, about; chosen by a hash of the id.
-SAMPLE = 20_000
 #: Share of an item's words in the common subsequence; the lower one needs the answer too.
 WHOLE, PART, ANSWER = 0.8, 0.6, 0.8
 
@@ -241,8 +239,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Words are parted by space and the bytes 9 to 13, A-Z in lower case. Null and empty texts and items
     match nothing; rows with a null id, which no hit could name, are not searched; repeated ids count as
     one. Empty tables give no rows. Very long texts are cut into passages and searched whole. For each
-    ``ITEMS`` items all documents are read twice, for frequencies and for the search, and a sample of
-    them once, without a shuffle of texts; a task returns sums over the item vocabulary, or hits.
+    ``ITEMS`` items all documents are read three times, for frequencies, for the latent space and for the
+    search, without a shuffle of texts; a task returns sums over the item vocabulary, or hits.
     """
     spark = docs.sparkSession
     kinds = dict(docs.select(F.col(id_col).alias("id")).dtypes) | dict(benchmark.select(F.col(item_col).alias("item")).dtypes)
@@ -274,7 +272,7 @@ def _block(space: Space, parts: list[tuple[int, np.ndarray]]) -> Block:
     held = np.array([least_held(space.idf[x] ** 2, n, len(part)) for (x, n), (_, part) in zip(of, parts)]) * 0.999
     least = min(float(held.min()), float((CANDIDATE * length.min()) ** 2) * 0.999)
     rng = np.random.Generator(np.random.PCG64(len(features)))
-    omega = rng.standard_normal((len(features), RANK - len(parts))).astype(np.float32)
+    omega = rng.standard_normal((len(features), FURTHER)).astype(np.float32)
     return Block(number, space.idf[features], vectors, np.array([i for i, _ in parts]), held / length, least, omega)
 
 
@@ -337,10 +335,8 @@ def _search(spark: SparkSession, rows: DataFrame, items: list[tuple[object, byte
         parts = [np.frombuffer(p, np.float32).astype(np.float64) for p in pdf["part"]]
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "n": [int(pdf["n"].sum())], "part": [sum(parts[1:], parts[0]).astype(np.float32).tobytes()]})
 
-    share = max(1, round(total / SAMPLE))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
     kind = "block bigint, chunk bigint, n bigint, part binary"
-    sums = _task(sample, sketch, kind).groupBy("block", "chunk").applyInPandas(add, kind).collect()  # the item vocabulary by rank
+    sums = _task(rows, sketch, kind).groupBy("block", "chunk").applyInPandas(add, kind).collect()  # the item vocabulary by rank
     for k, block in enumerate(space.blocks):
         unit = block.vectors / np.linalg.norm(block.vectors, axis=1)[:, None]
         y = unit.T @ (unit @ block.omega)

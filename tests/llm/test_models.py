@@ -169,3 +169,15 @@ def test_an_item_in_many_documents(make, spark):
         rows[i] = (i, " ".join(rng.choice(others) for _ in range(60)) + " " + items[0][1] + " " + " ".join(rng.choice(others) for _ in range(60)))
     got = {r.id for r in D.find_leaks(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect() if r.item == 0}
     assert got == set(range(0, 200, 2))
+
+
+def test_the_latent_space_sums_all_documents(spark, monkeypatch):
+    """Frequencies, the space and the search each read every document, however many there are."""
+    seen, task = [], D._task
+    monkeypatch.setattr(D, "SAMPLE", 10, raising=False)
+    monkeypatch.setattr(D, "_task", lambda df, one, schema: seen.append(df.count()) or task(df, one, schema))
+    rng = random.Random(21)
+    rows = [(i, prose(rng, 40)) for i in range(200)]
+    items = spark.createDataFrame([(0, rows[7][1])], "item_id long, text string")
+    got = {(r.id, r.item) for r in D.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert (7, 0) in got and seen == [200, 200, 200]
