@@ -12,7 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.operators.rank import asked_terms, bm25_hits, bm25_part, bm25_statistics, bm25_weights, small, top_k
+from evidentia.operators import rank as R
+from evidentia.operators.rank import asked_terms, bm25_weights, small, top_k
+from evidentia.operators.scoring import best_in_blocks, blocks_of
+from evidentia.operators.tables import cut
 
 #: Documents in a bucket, on average.
 BUCKET = 256
@@ -34,19 +37,24 @@ class Index:
 def build(corpus: DataFrame, doc_id: str, folder: str, text: str = "text", group: str | None = None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, bucket: int = BUCKET) -> Index:
     """Writes the index of ``corpus`` into ``folder``, which all machines share, and opens it.
 
-    One scan of the documents. A term that all documents have is spread over the buckets of its
-    documents, and ranges of (term, bucket) are what files hold, so no term goes through one task.
+    One scan of the documents. What is shuffled is a row for each document with its terms, to the task of its
+    bucket, which makes the bucket's blocks; a term that all documents have is spread over the buckets. Files
+    hold some buckets each, sorted by term.
     """
     g = [group] if group else []
-    hits = bm25_hits(corpus, doc_id, text, g)
-    stats = bm25_statistics(hits, g)
-    bm25_weights(hits, stats, g, epsilon).write.parquet(f"{folder}/weights")
-    found = hits.where("_term <> ''")
-    found = found.join(small(stats), g) if g else found.crossJoin(F.broadcast(stats))  # else one row
-    found = found.select(*g, "_term", F.pmod(F.xxhash64("_doc"), F.ceil(F.col("_n") / bucket)).alias("_bucket"), "_doc", bm25_part(k1, b).alias("_part"))
-    blocks = found.groupBy(*g, "_term", "_bucket").agg(F.max("_part").alias("_best"), F.collect_list(F.struct("_doc", "_part")).alias("_postings"))
-    order = ["_term", *g, "_bucket"]
-    blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{folder}/blocks")
+    docs = R.bm25_documents(corpus, doc_id, text, g)
+    stats = R.bm25_sizes(docs, g)
+    if R.repeated(docs, g):  # those of equal length count as one
+        hits = docs.select(*g, "_doc", "_len", F.explode(F.arrays_zip("_terms", "_tf")).alias("_x")).groupBy(*g, "_doc", "_len", F.col("_x._terms").alias("_term")).agg(F.sum("_x._tf").cast("int").alias("_n"))
+        docs = cut(hits.groupBy(*g, "_doc", "_len").agg(F.collect_list(F.struct("_term", "_n")).alias("_x")).select(*g, "_doc", "_len", F.col("_x._term").alias("_terms"), F.col("_x._n").alias("_tf")))
+    counts = docs.select(*g, F.explode("_terms").alias("_term")).groupBy(*g, "_term").agg(F.count("*").alias("_df"))
+    bm25_weights(counts, stats, g, epsilon).write.parquet(f"{folder}/weights")
+    sized = docs.join(small(stats), g) if g else docs.crossJoin(F.broadcast(stats))  # else one row
+    parts = F.transform("_tf", lambda n: n * (k1 + 1) / (n + k1 * (1 - b + b * F.col("_len") / F.col("_mean"))))
+    dealt = sized.select(*g, F.pmod(F.xxhash64("_doc"), F.ceil(F.col("_n") / bucket)).alias("_bucket"), "_doc", "_terms", parts.alias("_parts")).repartition(*g, "_bucket").sortWithinPartitions(*g, "_bucket")
+    kinds = dict(dealt.dtypes)
+    schema = "".join(f"`{n}` {kinds[n]}, " for n in g) + f"_term string, _bucket bigint, _best double, _postings array<struct<_doc:{kinds['_doc']},_part:double>>"
+    dealt.mapInArrow(blocks_of(group), schema).sortWithinPartitions("_term", *g, "_bucket").write.parquet(f"{folder}/blocks")
     return load(corpus.sparkSession, folder, doc_id, group)
 
 
@@ -71,14 +79,20 @@ def scores(index: Index, wanted: DataFrame, buckets: DataFrame) -> DataFrame:
 
 def search(index: Index, queries: DataFrame, query_id: str, text: str = "text", k: int = 10) -> DataFrame:
     """The rows of ``rank.bm25`` with ``k``, from the index alone: no document is read. Exact: a bucket is
-    left out only if its bound is below the score of the k-th best document found so far. Terms reach
-    the blocks by a join on the column that they are sorted by, so row groups without them are skipped
-    where Spark turns the few terms of a batch into a filter."""
-    from evidentia.operators.tables import cut
-
+    left out only if its bound is below the score of the k-th best document found so far. The blocks of up
+    to ``rank.ASKED`` terms are dealt by bucket to tasks, each of which keeps its own best (ids have to be
+    whole numbers); else blocks, queries and open buckets are joined."""
     g = index.group
     shared = [c for c in g if c in queries.columns]
     asked = asked_terms(queries, query_id, text, shared)
+    if not shared and (kind := index.blocks.schema["_postings"].dataType.elementType["_doc"].dataType.simpleString()) in ("tinyint", "smallint", "int", "bigint") and (known := R.numbered(asked)) is not None:
+        batch, terms, names = known
+        number = queries.sparkSession.createDataFrame(list(enumerate(terms)), "_t int, _term string")
+        wanted = index.weights.join(F.broadcast(number), "_term")  # what the terms of a batch have
+        blocks = (index.blocks.where(F.col("_term").isin(terms)) if len(terms) <= TERMS else index.blocks).join(small(cut(wanted)), [*g, "_term"])
+        rows = blocks.select(*g, "_bucket", "_t", "_idf", "_best", "_postings").repartition(*g, "_bucket").sortWithinPartitions(*g, "_bucket", "_t")
+        found = rows.mapInArrow(best_in_blocks(batch, g[0] if g else None, k), R.found_schema(rows, g, kind))
+        return R.best_of_tasks(found, names, g, query_id, index.doc_id, k)
     terms = [r._term for r in asked.select("_term").distinct().limit(TERMS + 1).collect()]
     if len(terms) <= TERMS:
         index = Index(index.blocks.where(F.col("_term").isin(terms)), index.weights.where(F.col("_term").isin(terms)), g, index.doc_id)
