@@ -69,11 +69,11 @@ class Best:
 
     def add(self, group: object, ids: np.ndarray, scores: np.ndarray) -> None:
         """``scores``: rows x queries, minus infinity for what is no match."""
-        scores, bar = np.round(scores, 6) + 0.0, self.bar(group)
-        if len(ids) > self.k:
+        bar = self.bar(group)
+        if len(ids) > self.k and np.isneginf(bar).any():
             bar = np.maximum(bar, np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k])
-        row, query = np.nonzero((scores >= bar) & (scores > -np.inf))
-        ids, score = ids[row], scores[row, query]
+        row, query = np.nonzero((scores >= bar - 1e-6) & (scores > -np.inf))  # the bar is of rounded scores
+        ids, score = ids[row], np.round(scores[row, query], 6) + 0.0
         if group in self.kept:
             ids, query, score = (np.concatenate(x) for x in zip(self.kept[group], (ids, query, score)))
         order = np.lexsort((ids, -score, query))
@@ -158,6 +158,53 @@ def best_documents(asked: Asked, group: str | None, k: int):  # noqa: ANN201
     return run
 
 
+#: Queries whose sums with some rows are worked on at once, to stay in a core's cache.
+WIDE = 256
+
+
+def in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of all rows of ``x`` and ``y``, summed up in order as ``scorers.dot`` does."""
+    out = np.zeros((len(x), len(y)))
+    left, right = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    for at in range(0, len(y), WIDE):
+        part, some = np.zeros((len(x), min(WIDE, len(y) - at))), right[:, at : at + WIDE]
+        product = np.empty_like(part)
+        for a, b in zip(left, some):
+            np.multiply(a[:, None], b[None, :], out=product)
+            part += product
+        out[:, at : at + WIDE] = part
+    return out
+
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(x))
+    for column in x.T:
+        total += column * column
+    return np.sqrt(total)
+
+
+def best_vectors(names: list[int], queries: list[list[float]], k: int, unit: bool):  # noqa: ANN201
+    """A task's best of rows (``_d``, ``_dv``) for each query but the one of the same name."""
+    y, names = np.array(queries, dtype=np.float64), np.array(names, dtype=np.int64)
+    size = lengths(y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kind, step = Best(len(y), k), None, max(1, min(1024, CELLS // len(y)))
+        for b in batches:
+            kind = b.column(0).type
+            for at in range(0, len(b), step):
+                some = b.slice(at, step)
+                ids, x = ids_of(some.column(0)), some.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(some), y.shape[1])
+                scores = in_order(x, y)
+                if unit:
+                    scores /= lengths(x)[:, None] * size
+                scores[ids[:, None] == names] = -np.inf
+                best.add(None, ids, scores)
+        yield from best.batches(None, kind)
+
+    return run
+
+
 def blocks_of(group: str | None):  # noqa: ANN201
     """Blocks of postings of rows (group, ``_bucket``, ``_doc``, ``_terms``, ``_parts``) sorted by bucket."""
 

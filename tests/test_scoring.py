@@ -64,3 +64,25 @@ def test_empty_tables(spark, grouped, tmp_path):
         for n, group in enumerate((None, "g")):
             assert R.bm25(d, q, "doc_id", "q", group=group).count() == 0
             assert I.search(I.build(d, "doc_id", str(tmp_path / f"{d.isEmpty()}{n}"), group=group), q, "q").count() == 0
+
+
+@pytest.mark.parametrize("unit", [False, True])
+def test_vectors_meet_in_tasks_as_in_joins(spark, unit, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice((-1.0, 0.5, rng.gauss(0, 1))) for _ in range(6)]) for i in range(400)]
+    rows += [(1000 + i, rows[i % 5][1]) for i in range(60)]  # copies tie
+    rows += [(2000, None), (2001, [1.0]), (2002, [float("nan")] * 6), (2003, [0.0] * 6), (2004, [None] * 6), (2100, [1.0, None] * 3), (2200, [0.0] * 6), (2300, None)]
+    e = spark.createDataFrame(rows, "id long, v array<float>").repartition(5)
+    q = e.where("id % 100 = 0").withColumnRenamed("id", "q")
+    ask = lambda: rows_of(R.dense_top_k(e, q, "id", "q", "v", 4, unit=unit))
+    sent, best = [], R.best_of_tasks
+    monkeypatch.setattr(R, "best_of_tasks", lambda found, *a: sent.append(found) or best(found, *a))
+    monkeypatch.setattr(R, "PAIRS", 250)
+    monkeypatch.setattr(S, "CELLS", 300)
+    got = ask()
+    assert sent[0].rdd.getNumPartitions() > 8 and sent[0].groupBy(F.spark_partition_id(), "_q").count().agg(F.max("count")).first()[0] <= 4
+    monkeypatch.setattr(R, "VECTORS", 4)
+    assert ask() == got
+    monkeypatch.setattr(R, "whole_ids", lambda *a: False)
+    assert ask() == got and len(got) == 9 * 4
+    assert R.dense_top_k(e.limit(0), q, "id", "q", "v", 4).count() == R.dense_top_k(e, q.limit(0), "id", "q", "v", 4).count() == 0
