@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.operators.rank import ordinal, running_offset
+from evidentia.operators.rank import ordinal, running_offset, small
 from evidentia.operators.substrings import holding
+from evidentia.operators.tables import cut
+
+#: First rows of keys up to which they are broadcast.
+FIRST = 1000
 
 
 def first_match(left: DataFrame, right: DataFrame, key: str, order: list[Column], how: str = "inner") -> DataFrame:
-    """Equi-join with the first right row of each key."""
-    first = right.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
-    return left.join(first, key, how)
+    """Equi-join with the first right row of each key. Up to ``FIRST`` of them go to the left rows, which stay in
+    their tasks; so no task reads all rows of a key that many have."""
+    first = cut(right.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n"))
+    return left.join(small(first, FIRST) if how in ("inner", "left", "left_semi", "left_anti") else first, key, how)
 
 
 def substring_first(queries: DataFrame, claims: DataFrame, query: str, claim: str, by: list[str], order: list[Column]) -> DataFrame:

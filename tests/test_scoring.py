@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.operators import index as I
+from evidentia.operators import joins
 from evidentia.operators import rank as R
 from evidentia.operators import scoring as S
 
@@ -86,3 +87,15 @@ def test_vectors_meet_in_tasks_as_in_joins(spark, unit, monkeypatch):
     monkeypatch.setattr(R, "whole_ids", lambda *a: False)
     assert ask() == got and len(got) == 9 * 4
     assert R.dense_top_k(e.limit(0), q, "id", "q", "v", 4).count() == R.dense_top_k(e, q.limit(0), "id", "q", "v", 4).count() == 0
+
+
+def test_first_match_leaves_the_left_rows_where_they_are(spark):
+    rows = [(i, ("x", "y", None)[i % 97 % 3], f"t{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "i long, key string, text string").repartition(6)
+    right = df.select("key", F.col("i").alias("j"), F.col("text").alias("first"))
+    got = joins.first_match(df, right, "key", [F.asc("j")])
+    assert {(r.key, r.j, r.first) for r in got.collect()} == {("x", 0, "t0"), ("y", 1, "t1")}
+    assert got.count() == sum(k is not None for _, k, _ in rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(key" not in plan
+    assert joins.first_match(df, right.where("key = 'x'"), "key", [F.asc("j")], "left").count() == 500
