@@ -239,8 +239,10 @@ def rounds_in_state(s, d):
     rounds = [round_table(s, d, r).withColumn("round", F.lit(r)) for r in (1, 2, 3)]
     answers = prepared(rounds[0].unionByName(rounds[1]).unionByName(rounds[2]).join(n, "claim_id"))
     folder = shared_folder(s)
-    answers.repartition(6, F.xxhash64("question", "round")).write.parquet(f"{folder}/answers")
-    stream = s.readStream.schema(answers.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/answers")
+    # Three batches, of at least two files each and as many as there are cores.
+    files = max(2, s.sparkContext.defaultParallelism)
+    answers.repartition(3 * files, F.xxhash64("question", "round")).write.parquet(f"{folder}/answers")
+    stream = s.readStream.schema(answers.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/answers")
     evidence_by_rounds(stream, 3).writeStream.format("parquet").option("path", f"{folder}/evidence").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return _evidence(s.read.schema(EVIDENCE).parquet(f"{folder}/evidence"))
 

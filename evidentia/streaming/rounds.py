@@ -20,6 +20,8 @@ from evidentia.operators.evidence import lookup
 
 EVIDENCE = "claim_id bigint, round int, q_idx int, question string, answer string, url string"
 STATE = "round int, done boolean, held string"
+#: The columns of ``prepared`` answers that a claim takes.
+ANSWER = ("round", "q_idx", "question", "answer", "url", "answered", "nothing", "expected")
 
 
 def is_complete(total: int, answered: int, nothing: int) -> bool:
@@ -93,8 +95,8 @@ def evidence_by_rounds(answers: DataFrame, last: int) -> DataFrame:
             return
         claim = Claim(last, json.loads(saved[2]) if saved is not None else None)
         for pdf in frames:
-            for r in pdf.sort_values(["round", "q_idx"]).itertuples():
-                claim.add(int(r.round), int(r.q_idx), r.question, r.answer, r.url, bool(r.answered), bool(r.nothing), int(r.expected))
+            for round, q_idx, *rest, answered, nothing, expected in sorted(zip(*(pdf[c].tolist() for c in ANSWER)), key=lambda r: r[:2]):
+                claim.add(int(round), int(q_idx), *rest, bool(answered), bool(nothing), int(expected))
         got = claim.finished()
         state.update((claim.round, got is not None, "{}" if got is not None else json.dumps(claim.saved())))
         if got:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.operators import evidence as E
+from evidentia.plans import evidence
 from evidentia.streaming import rounds as S
 
 
@@ -89,3 +90,12 @@ def test_windowed_counts_on_a_stream(spark, tmp_path):
     want = {(r.window_start, r.event_type): (r.n, r.total) for r in windowed_counts(events).collect()}
     last = max(w for w, _ in want)
     assert got == {k: v for k, v in want.items() if k[0] != last}  # the last hour is still open
+
+
+def test_files_of_answers_grow_with_the_cores(spark, tmp_path, monkeypatch):
+    """Each of three batches gives work to all cores, whatever their number."""
+    monkeypatch.setattr(evidence, "shared_folder", lambda s: str(tmp_path / "shared"))
+    evidence.rounds_in_state(spark, "/root/testdata/sf0.001").count()
+    files = list((tmp_path / "shared" / "answers").glob("part-*.parquet"))
+    assert len(files) == 3 * spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "shared" / "state" / "commits").glob("[0-9]*"))) == 3
