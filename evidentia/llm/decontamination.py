@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import as_bytes, by_bytes, table, word_hashes
+from evidentia.llm.common import as_bytes, by_bytes, distinct, table, word_hashes
 
 #: Words of a passage, and from one passage's start to the next.
 PASSAGE, STRIDE = 64, 32
@@ -127,7 +127,7 @@ def passages(words: np.ndarray, bounds: np.ndarray, space: Space) -> tuple[np.nd
         j = last - back
         ok = (j >= 0) & (place < j * STRIDE + PASSAGE)
         entries.append(((base[doc] + j) * len(v) + feature_of)[ok])
-    entry = np.unique(np.concatenate(entries))
+    entry = distinct(np.concatenate(entries))
     doc = np.repeat(np.arange(len(n)), count)
     return np.stack((entry // len(v), entry % len(v))), doc, (np.arange(len(doc)) - base[doc]) * STRIDE
 
@@ -140,8 +140,9 @@ def heavy(entries: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
     window, feature = entries[0][here], number[here]
     weight = np.bincount(window, weights=block.idf[feature] ** 2, minlength=1)
     some = weight[window] >= block.least
-    live, row = np.unique(window[some], return_inverse=True)
-    return live, np.stack((row, feature[some]))
+    window = window[some]  # in order, as entries are
+    fresh = np.concatenate((np.ones(min(1, len(window)), dtype=bool), window[1:] != window[:-1]))
+    return window[fresh], np.stack((np.cumsum(fresh) - 1, feature[some]))
 
 
 def project(entries: np.ndarray, n: int, block: Block, basis: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -289,7 +290,7 @@ def _search(spark: SparkSession, rows: DataFrame, items: list[tuple[object, byte
             w, b = word_hashes(texts)
             hit, number = lookup(w, v, first)
             doc = np.searchsorted(b, hit, side="right") - 1
-            c = np.bincount(np.unique(doc * len(v) + number) % len(v), minlength=len(v))
+            c = np.bincount(distinct(doc * len(v) + number) % len(v), minlength=len(v))
             seen, n = c if seen is None else seen + c, n + len(texts)
         if seen is not None:
             yield pd.DataFrame({"feature": np.append(np.arange(len(v)), -1), "df": np.append(seen, n)}).astype("int64")

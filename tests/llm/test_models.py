@@ -181,3 +181,26 @@ def test_the_latent_space_sums_all_documents(spark, monkeypatch):
     items = spark.createDataFrame([(0, rows[7][1])], "item_id long, text string")
     got = {(r.id, r.item) for r in D.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
     assert (7, 0) in got and seen == [200, 200, 200]
+
+
+def test_entries_of_passages_are_sorted_not_hashed(monkeypatch):
+    """Sorting tells entries apart in a small part of the time that hashing takes; the rows are the same."""
+    from evidentia.llm import decontamination as D
+    from evidentia.llm.common import distinct
+
+    rng = np.random.default_rng(1)
+    for x in (rng.integers(0, 50, 400), np.zeros(0, np.int64), rng.integers(0, 9, 30).astype(np.uint64)):
+        assert (distinct(x) == np.unique(x)).all() and distinct(x).dtype == x.dtype
+    v = np.unique(rng.integers(1, 2**63, 40, dtype=np.uint64))
+    words, bounds = v[rng.integers(0, 40, 500)], np.array([0, 3, 3, 200, 500])
+    space = D.Space(v, D.slots(v), np.ones(40), [], [], [], [])
+    monkeypatch.setattr(D.np, "unique", lambda *a, **k: pytest.fail("hashed"))
+    entries, doc, first = D.passages(words, bounds, space)
+    number = {int(x): i for i, x in enumerate(v)}
+    want = {(p, number[int(w)]) for p, (d, f) in enumerate(zip(doc, first)) for w in words[bounds[d] + f : min(bounds[d] + f + D.PASSAGE, bounds[d + 1])]}
+    assert list(map(tuple, entries.T.tolist())) == sorted(want)
+    block = D.Block(np.where(np.arange(40) % 2, -1, np.arange(40) // 2), np.ones(20), None, None, None, 9.0)
+    live, mine = D.heavy(entries, block)
+    weight = {p: len({f for q, f in want if q == p and f % 2 == 0}) for p in range(len(doc))}
+    assert live.tolist() == [p for p, n in weight.items() if n >= 9]
+    assert list(map(tuple, mine.T.tolist())) == [(i, f // 2) for i, p in enumerate(live.tolist()) for q, f in sorted(want) if q == p and f % 2 == 0]
