@@ -24,8 +24,9 @@ from evidentia.llm.blocks import spread as spread_blocks
 from evidentia.llm.common import as_bytes, cut, mix64, over_batches, shingles, table, word_hashes
 
 #: Bytes of an anchor string, at most; contexts in one task; members in one block of a hot anchor; pairs
-#: of contexts compared at once; contexts up to which an anchor's are compared without being ordered.
-ANCHOR, TASK, BLOCK, PAIRS, FEW = 64, 8192, 1024, 1 << 16, 32
+#: of contexts compared at once; contexts up to which an anchor's are compared without being ordered, and
+#: from which on they are not compared in pairs.
+ANCHOR, TASK, BLOCK, PAIRS, FEW, MANY = 64, 8192, 4096, 1 << 16, 32, 768
 
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -158,6 +159,44 @@ def _ordered(digits: np.ndarray, member: np.ndarray) -> np.ndarray:
     return _all_pairs(common.reshape(g, m))[np.arange(g)[:, None, None], at[:, :, None], at[:, None, :]]
 
 
+def _without_pairs(right: np.ndarray, left: np.ndarray, after: np.ndarray, before: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the members of one group, by digits of what lies after and before their anchors: (whether a window
+    of ``length`` bytes is repeated, the most bytes before the anchor and after it that such windows reach).
+
+    A window that starts ``d`` bytes before the anchor is repeated if another member has the same ``d``
+    bytes before it and the same ``length - d`` after it. Both orders name these classes for any ``d``, so a
+    window takes a sort of members and no pair is looked at. The furthest windows start or end where two
+    members part or one of them ends, so that no others are tried; from either end, only classes with
+    members whose furthest window is still open."""
+    m, members = len(after), np.zeros(len(after), dtype=np.int64)
+    (by_right, right), (by_left, left) = radix_order(right, members), radix_order(left, members)
+    best_right, best_left = np.empty(m, dtype=np.int64), np.empty(m, dtype=np.int64)
+    for best, by, common, ends in ((best_right, by_right, right, after), (best_left, by_left, left, before)):
+        best[by] = np.maximum(common, np.append(common[1:], 0))
+        np.minimum(best, ends, out=best)
+    reach = [np.full(m, -1), np.full(m, -1)]
+    a, b = np.empty(m, dtype=np.int64), np.empty(m, dtype=np.int64)
+    for got, steps in zip(reach, (np.unique(np.append(left, before))[::-1], np.unique(np.append(right, after))[::-1])):
+        for x in steps.tolist():
+            behind, ahead = (x, max(length - x, 0)) if got is reach[0] else (max(length - x, 0), x)
+            some = np.flatnonzero((best_right >= ahead) & (best_left >= behind))
+            open_ = got[some] < 0
+            if not open_.any():
+                continue
+            a[by_right] = np.cumsum(right < ahead)
+            mine = a[some]
+            wanted = np.zeros(m + 1, dtype=bool)
+            wanted[mine[open_]] = True
+            some = some[wanted[mine]]
+            b[by_left] = np.cumsum(left < behind)
+            key = a[some] * (m + 1) + b[some]
+            order = np.argsort(key)
+            same = key[order[1:]] == key[order[:-1]]
+            hit = some[order[np.append(same, False) | np.append(False, same)]]
+            got[hit[got[hit] < 0]] = x
+    return reach[0] >= 0, reach[0], reach[1]
+
+
 def repeated(contexts: list[bytes], key: np.ndarray, offset: np.ndarray, lengths: tuple[int, ...], left: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each of the lengths: (index of a context, first byte, last byte and one) of what repeated
     windows of that length cover in contexts.
@@ -175,6 +214,13 @@ def repeated(contexts: list[bytes], key: np.ndarray, offset: np.ndarray, lengths
     back = _digits([c[:o][::-1] for c, o in zip(contexts, offset.tolist())], int(before.max(initial=1)))
     for m in np.unique(count[count > 1]).tolist():
         groups = edge[count == m]
+        if m > MANY:
+            for g in groups.tolist():
+                member = order[g : g + m]
+                for out, length in zip(found, lengths):
+                    some, lefts, right = _without_pairs(ahead[member], back[member], after[member], before[member], length)
+                    out.append((member[some], (offset[member] - lefts)[some], (offset[member] + right)[some]))
+            continue
         step = max(1, PAIRS // (m * m))
         # A few suffixes are told apart by comparison, as where radix passes come down to small buckets.
         common = _compared if m <= FEW else _ordered

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -124,3 +125,33 @@ def test_whole_words_of_runs():
 
 def test_empty(make):
     assert R.remove_repeats(make([]), 100).count() == 0
+
+
+@pytest.mark.parametrize("lengths", [(20,), (20, 31), (7, 31)])
+def test_hot_anchors_without_pairs_as_in_pairs(monkeypatch, lengths):
+    rng = random.Random(8)
+    line = bytes(rng.choice(b"abc\0") for _ in range(40))
+    contexts, at = [], []
+    for _ in range(300):
+        before, after = line[: rng.randrange(20)], line[20 : rng.randrange(25, 40)]
+        before = bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(6))) + before[rng.randrange(len(before) + 1) :]
+        contexts.append(before + after + bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(6))))
+        at.append(len(before))
+    key, offset = np.arange(300) % 3, np.array(at)
+    got = []
+    for many in (1, 1000):
+        monkeypatch.setattr(R, "MANY", many)
+        got.append([sorted(zip(*(x.tolist() for x in one))) for one in R.repeated(contexts, key, offset, lengths, 25)])
+    assert got[0] == got[1] and got[0][0]
+
+
+def test_memory_of_a_hot_anchor_grows_with_its_contexts_not_their_pairs():
+    rng = random.Random(9)
+    line, n = rng.randbytes(500), 4000
+    contexts = [rng.randbytes(100) + line[:400] + rng.randbytes(236) for _ in range(n)]
+    tracemalloc.start()
+    of, first, last = R.repeated(contexts, np.zeros(n, np.int64), np.full(n, 336), (400,), 336)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(of.tolist()) == list(range(n)) and (first <= 100).all() and (last >= 500).all()
+    assert peak < 60 << 20, peak
