@@ -50,8 +50,7 @@ FEW_SHOT = ("Outrageously, ", ' claimed that "', '". Criticism includes question
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits; null gives null."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")  # the text is read once, also inside of lambdas
 
 
 def words(text: Column) -> Column:

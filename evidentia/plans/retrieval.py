@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
-from evidentia.functions.scorers import cosine, dot, overlap
+from evidentia.functions.scorers import cosine, dot
 from evidentia.operators import index as I
 from evidentia.operators import quantised as Q
 from evidentia.operators import rank as R
@@ -135,18 +135,26 @@ chunks as (select claim_id, doc_id, chunk, string_agg(line, ' ' order by idx) as
 """
 
 
-def chunked(s, d):
-    """Stored documents as chunks of whole lines under 40 words."""
+def chunked(s, d, words=False):
+    """Stored documents as chunks of whole lines under 40 words; with ``words``, the chunk's different ones too."""
     kept = lambda **columns: F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_k")  # noqa: E731  made once for a row, whatever uses it
     got = stored(s, d).where("text is not null").select("claim_id", "doc_id", F.split("text", "\n").alias("lines"))
-    got = got.select("claim_id", "doc_id", kept(lines=F.col("lines"), sizes=F.transform("lines", lambda x: F.size(T.tokens(x)).cast("bigint")))).select("claim_id", "doc_id", "_k.*")
-    got = got.select("claim_id", "doc_id", kept(lines=F.col("lines"), sizes=F.col("sizes"), ids=T.chunk_by_budget(F.col("sizes"), 40))).select("claim_id", "doc_id", "_k.*")
+    # A line's words are made once: no word crosses lines, so a chunk's words are those of its lines.
+    got = got.select("claim_id", "doc_id", kept(lines=F.col("lines"), words=F.transform("lines", T.tokens))).select("claim_id", "doc_id", "_k.*")
+    got = got.select("claim_id", "doc_id", kept(lines=F.col("lines"), words=F.col("words"), sizes=F.transform("words", lambda x: F.size(x).cast("bigint")))).select("claim_id", "doc_id", "_k.*")
+    held = ["lines", "sizes", *["words"] * words]
+    got = got.select("claim_id", "doc_id", kept(**{n: F.col(n) for n in held}, ids=T.chunk_by_budget(F.col("sizes"), 40))).select("claim_id", "doc_id", "_k.*")
     # Chunk numbers grow, so a chunk is a slice from where its number begins to where the next one does.
     at = F.filter(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: (i == 0) | (F.get("ids", i) != F.get("ids", i - 1)))
-    got = got.select("claim_id", "doc_id", kept(lines=F.col("lines"), sizes=F.col("sizes"), ends=F.concat(at, F.array(F.size("ids"))))).select("claim_id", "doc_id", "_k.*")
-    parts = got.select("claim_id", "doc_id", "lines", "sizes", "ends", F.posexplode(F.slice("ends", F.lit(1), F.size("ends") - 1)).alias("chunk", "first"))
-    mine = lambda c: F.slice(c, F.col("first") + 1, F.get("ends", F.col("chunk") + 1) - F.col("first"))
-    return parts.select("claim_id", "doc_id", "chunk", F.array_join(mine("lines"), " ").alias("body"), F.aggregate(mine("sizes"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
+    got = got.select("claim_id", "doc_id", kept(**{n: F.col(n) for n in held}, ends=F.concat(at, F.array(F.size("ids"))))).select("claim_id", "doc_id", "_k.*")
+
+    def one(first, chunk):
+        mine = lambda c: F.slice(c, first + 1, F.get("ends", chunk + 1) - first)
+        n = F.aggregate(mine("sizes"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return F.struct(chunk.alias("chunk"), F.array_join(mine("lines"), " ").alias("body"), n.alias("n"), *[F.array_distinct(F.flatten(mine("words"))).alias("words")] * words)
+
+    # A chunk leaves with its own lines alone, not with all of its document's.
+    return got.select("claim_id", "doc_id", F.inline(F.transform(F.slice("ends", F.lit(1), F.size("ends") - 1), one)))
 
 
 @query(f"with recursive {CHUNKS} select claim_id, doc_id, chunk, md5(body) as body_md5, n::bigint as n from chunks")
@@ -160,8 +168,9 @@ PAIRS = f"pairs as (select claim_id, doc_id, chunk, body, round({jac('list_disti
 
 def scored_chunks(s, d):
     asked = claims(s, d).select("claim_id", F.array_distinct(T.tokens(F.col("claim"))).alias("asked"))
-    scored = chunked(s, d).join(R.small(asked), "claim_id")
-    return scored.select("claim_id", "doc_id", "chunk", "body", F.round(overlap(F.col("asked"), F.array_distinct(T.tokens(F.col("body")))), 6).alias("score"))
+    both = chunked(s, d, words=True).join(R.small(asked), "claim_id").withColumn("both", F.size(F.array_intersect("asked", "words")))
+    either = F.size("asked") + F.size("words") - F.col("both")
+    return both.select("claim_id", "doc_id", "chunk", "body", F.round(F.when(either > 0, F.col("both") / either).otherwise(0.0), 6).alias("score"))
 
 
 @query(f"with recursive {CHUNKS}, {PAIRS} select claim_id, doc_id, chunk, score, rank from (select *, row_number() over (partition by claim_id order by score desc, doc_id, chunk) as rank from pairs) where rank <= 10")

@@ -172,3 +172,20 @@ def test_lists_of_any_length_are_joined(prose, spark, monkeypatch):
 
 
 df_schema = "doc_id long, text string"
+
+
+def test_words_of_chunks_are_made_once(spark, tmp_path):
+    from evidentia.plans import retrieval
+
+    texts = ["One, two; THREE\n\n ÉTÉ2 d'été\n---\n" * 9, "", "\n", " one \n", None, "x" * 50]
+    spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "two one été"), (1, "---"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = retrieval.scored_chunks(spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count(r"[^\p{L}\p{N}]+") == 2  # of claims and of lines
+    split = lambda x: set(re.sub(r"[\W_]+", " ", (x or "").lower()).split())
+    claims = ["two one été", "---", None]
+    rows = got.collect()
+    assert {r.doc_id for r in rows} == {0, 1, 2, 3, 5} and sum(r.doc_id == 0 for r in rows) > 1
+    for r in rows:
+        a, b = split(claims[r.claim_id]), split(r.body)
+        assert r.score == (round(len(a & b) / len(a | b), 6) if claims[r.claim_id] is not None and a | b else 0)
