@@ -30,8 +30,8 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def over_batches(df: DataFrame, one: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one batch that returns columns by name."""
+def over_batches(df: DataFrame, one: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch | None], schema: str, limit: int = CHUNK_BYTES) -> DataFrame:
+    """``mapInArrow`` with a function of one batch, of about ``limit`` bytes, that returns columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -39,7 +39,7 @@ def over_batches(df: DataFrame, one: Callable[[pa.RecordBatch], dict[str, list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch):
+            for part in by_bytes(batch, limit):
                 out = one(part)
                 if out is not None:
                     yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)

@@ -12,6 +12,7 @@ shapes; these score every document. Texts are taken apart in numpy, many at a ti
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import CHUNK_BYTES, SPACE, as_bytes, cut, mix64, over_batches, table
+from evidentia.llm.common import SPACE, as_bytes, by_bytes, cut, mix64, over_batches, table
 
 #: Documents that the scorers and the labellers' word lists are fitted on, at most: labelled ones
 #: first, by a hash of the id.
 SAMPLE = 20_000
+#: Bytes of text that are taken apart at once; about fifty times as much is held meanwhile.
+PIECE = 1 << 19
 #: Hashed features of a kind: words, and their first 4, 5 and 6 bytes; then bins of the text's shape.
 KIND, BEGINNINGS, BINS = 1 << 19, (4, 5, 6), 256
 FEATURES = (1 + len(BEGINNINGS)) * KIND + BINS
@@ -194,25 +197,76 @@ def posteriors(patterns: list[tuple[str, int]], rounds: int = 60) -> dict[str, f
     return dict(zip(names, p.tolist()))
 
 
-def associated(rows: list[np.ndarray], target: np.ndarray, sure: float = 2.5, least: float = 1.0) -> np.ndarray:
-    """Which features go with the answer 1: the log ratio of their rates in both classes, less ``sure``
-    standard errors, passes ``least``. The last feature, the constant, always counts."""
-    joined = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    weight = np.repeat(target, [len(r) for r in rows])
-    yes = np.bincount(joined, weights=weight, minlength=FEATURES)
-    no = np.bincount(joined, weights=1 - weight, minlength=FEATURES)
-    ratio = np.log((yes + 0.5) / (target.sum() + 1)) - np.log((no + 0.5) / (len(target) - target.sum() + 1))
-    good = ratio - sure * np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5)) > least
-    good[-1] = True
-    return good
+#: Answers are summed up in whole parts of this size, so that sums are the same in any order.
+PARTS = 1 << 32
+
+
+def entries(column: pa.Array) -> list[np.ndarray]:
+    """The features of each row, from what ``train`` stores."""
+    return [np.frombuffer(b, dtype=np.int32) for b in column.to_pylist()]
+
+
+def summed(rows: DataFrame, answers: Callable[[pa.RecordBatch, list[np.ndarray]], dict[str, np.ndarray]]) -> DataFrame:
+    """For each question and feature, in how many rows with an answer it is (``n``), and the sum of
+    their answers in ``PARTS`` (``yes``). ``answers`` gives each row's for each question, between 0 and 1, or not
+    a number. Tasks send a row at most for each feature that they saw; no task holds more than sums and a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, yes = ({q: np.zeros(FEATURES, kind) for q in QUESTIONS} for kind in (np.int32, np.int64))
+        for part in (part for batch in batches for part in by_bytes(batch)):
+            x = entries(part.column("x"))
+            for q, y in answers(part, x).items():
+                for r, one in zip(x, y):
+                    if one == one:
+                        n[q][r] += 1
+                        yes[q][r] += round(one * PARTS)
+        for q in QUESTIONS:
+            live = np.flatnonzero(n[q])
+            for at in range(0, len(live), 1 << 16):
+                some = live[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(some)), pa.array(some), pa.array(n[q][some].astype(np.int64)), pa.array(yes[q][some])], names=["question", "feature", "n", "yes"])
+
+    return rows.mapInArrow(run, "question string, feature bigint, n bigint, yes bigint").groupBy("question", "feature").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes"))
+
+
+def associated(n: np.ndarray, yes: np.ndarray, rows: int, positive: float, sure: float = 2.5, least: float = 1.0) -> np.ndarray:
+    """Which features go with the answer 1, from the rows and the sum of answers of each, and of all: the log
+    ratio of their rates in both classes, less ``sure`` standard errors, passes ``least``."""
+    no = n - yes
+    ratio = np.log((yes + 0.5) / (positive + 1)) - np.log((no + 0.5) / (rows - positive + 1))
+    return ratio - sure * np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5)) > least
+
+
+def chosen_features(rows: DataFrame, answers: Callable, seen: int = 0) -> dict[str, np.ndarray]:
+    """The features associated with each question's answer 1, in order, that occur with a sum of answers of ``seen`` at least,
+    and the constant, which always counts and which every row has; nothing for a question without answers."""
+    sums = cut(summed(rows, answers))
+    total = {r.question: (r.n, r.yes / PARTS) for r in sums.where(F.col("feature") == FEATURES - 1).collect()}  # two rows at most
+
+    def good(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, yes = batch.column("n").to_numpy(), batch.column("yes").to_numpy() / PARTS
+        out = batch.column("feature").to_numpy() == FEATURES - 1
+        of = np.array(batch.column("question").to_pylist())
+        for q, (count, positive) in total.items():
+            out |= (of == q) & (yes >= seen) & associated(n, yes, count, positive)
+        return batch.select(["question", "feature"]).filter(pa.array(out))
+
+    found = over_batches(sums, good, "question string, feature bigint").collect()  # a row for each such feature
+    return {q: np.array(sorted(r.feature for r in found if r.question == q), dtype=np.int64) for q in total}
+
+
+def among(chosen: np.ndarray, x: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each row, the places in ``chosen`` of those of its features that are there."""
+    joined = np.concatenate(x) if x else np.zeros(0, np.int32)
+    at = np.minimum(np.searchsorted(chosen, joined), len(chosen) - 1)
+    hit = chosen[at] == joined
+    return np.split(at[hit].astype(np.int32), np.cumsum(np.bincount(np.repeat(np.arange(len(x)), [len(r) for r in x]), weights=hit, minlength=len(x)))[:-1].astype(int))
 
 
 def fit(rows: list[np.ndarray], target: np.ndarray, steps: int = 60_000, alpha: float = 0.3, l1: float = 0.05, l2: float = 0.5) -> np.ndarray:
-    """Weights of a logistic scorer over associated features by follow-the-regularised-leader, sparse
-    by its l1 term. The same rows in the same order give the same weights."""
-    good = associated(rows, target)
-    rows = [x[good[x]] for x in rows]
-    z, n = np.zeros(FEATURES), np.zeros(FEATURES)
+    """Weights of a logistic scorer by follow-the-regularised-leader, sparse by its l1 term. Features are
+    numbered from 0. The same rows in the same order give the same weights."""
+    z, n = np.zeros((2, max((int(x.max()) + 1 for x in rows if len(x)), default=0)))
     for _ in range(max(4, min(60, steps // max(1, len(rows))))):
         for x, y in zip(rows, target):
             zx, root = z[x], np.sqrt(n[x])
@@ -232,8 +286,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     0, 1 or null; the larger of repeated labels counts).
 
     Vote patterns are counted over all documents, null texts as empty. Word lists and scorers are fitted
-    on at most ``sample`` documents, those with human labels first, in one task; of rows with one id,
-    the least text counts; rows without an id are voted on, not fitted on. Without documents there are
+    on at most ``sample`` documents, those with human labels first; of rows with one id, the least text
+    counts; rows without an id are voted on, not fitted on. Features are summed up and chosen in many tasks;
+    one task fits the scorers, on what the sample has of the chosen features. Without documents there are
     no weights and nothing is rejected. Very long texts are taken apart whole, a row at a time.
     """
     spark = docs.sparkSession
@@ -254,21 +309,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         out = {n: batch.column(i).to_pylist() for i, n in enumerate(("id", "low", "toxic", "place"))}
         return out | {"shape": shape_votes(p.shape), "x": [x.astype(np.int32).tobytes() for x in distinct(p, len(texts))]}
 
-    fitted_on = cut(over_batches(sampled, featured, f"id {kind}, low string, toxic string, place bigint, shape string, x binary")).withColumn("one", F.lit(0))
+    fitted_on = cut(over_batches(sampled, featured, f"id {kind}, low string, toxic string, place bigint, shape string, x binary", PIECE))
 
-    def mine(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"question": [], "feature": []}).astype({"question": str, "feature": int})]
-        for q in QUESTIONS:
-            with_label = pdf[pdf[q] != "-"]
-            x = [np.frombuffer(b, dtype=np.int32) for b in with_label["x"]]
-            y = (with_label[q] == "1").to_numpy(float)
-            seen = np.bincount(np.concatenate([r for r, one in zip(x, y) if one] or [np.zeros(0, int)]), minlength=FEATURES)
-            good = np.flatnonzero(associated(x, y) & (seen >= SEEN))
-            out.append(pd.DataFrame({"question": q, "feature": good[good < FEATURES - BINS]}))
-        return pd.concat(out)
+    def told(batch: pa.RecordBatch, x: list[np.ndarray]) -> dict[str, np.ndarray]:
+        return {q: np.array([{"0": 0.0, "1": 1.0}.get(v, np.nan) for v in batch.column(q).to_pylist()]) for q in QUESTIONS}
 
-    found = fitted_on.groupBy("one").applyInPandas(mine, "question string, feature int").collect()  # a row for each listed feature
-    mined = spark.sparkContext.broadcast({q: np.array(sorted(r.feature for r in found if r.question == q), dtype=np.int64) for q in QUESTIONS})
+    found = chosen_features(fitted_on.select("low", "toxic", "x"), told, SEEN)
+    mined = spark.sparkContext.broadcast({q: of[of < FEATURES - BINS] for q, of in found.items()})
 
     def vote(batch: pa.RecordBatch) -> dict[str, list]:
         texts = as_bytes(batch.column(1))
@@ -277,7 +324,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         cast = list_votes(_kept(mined, to_lists), len(texts), entry // FEATURES, entry % FEATURES)
         return {"id": batch.column(0).to_pylist(), "low_votes": [a + b for a, b in zip(shape_votes(p.shape), cast["low"])], "toxic_votes": cast["toxic"]}
 
-    voted = marked(over_batches(rows, vote, f"id {kind}, low_votes string, toxic_votes string"))
+    voted = marked(over_batches(rows, vote, f"id {kind}, low_votes string, toxic_votes string", PIECE))
     counts = voted.groupBy("low_votes", "toxic_votes", "low", "toxic").count().collect()  # one row for each pattern that occurs
     belief = {}
     for q in QUESTIONS:
@@ -287,19 +334,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             total[key] = total.get(key, 0) + r["count"]
         belief[q] = posteriors(sorted(total.items()))
 
+    def believed(batch: pa.RecordBatch, x: list[np.ndarray]) -> dict[str, np.ndarray]:
+        cast = list_votes(_kept(mined, to_lists), len(x), np.repeat(np.arange(len(x)), [len(r) for r in x]), np.concatenate(x))
+        shape = batch.column("shape").to_pylist()
+        own = {"low": [a + b for a, b in zip(shape, cast["low"])], "toxic": cast["toxic"]}
+        return {q: np.array([belief[q].get(v + h, 0.5) for v, h in zip(own[q], batch.column(q).to_pylist())]) for q in QUESTIONS}
+
+    chosen_of = spark.sparkContext.broadcast(chosen_features(fitted_on.select("low", "toxic", "shape", "x"), believed))
+
+    def lessened(batch: pa.RecordBatch) -> dict[str, list]:
+        x = entries(batch.column("x"))
+        y, out = believed(batch, x), {"id": batch.column("id").to_pylist(), "place": batch.column("place").to_pylist()}
+        for q in QUESTIONS:
+            out |= {f"{q}_y": y[q], f"{q}_x": [r.tobytes() for r in among(chosen_of.value[q], x)]}
+        return out
+
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["place", "id"])
-        x = [np.frombuffer(b, dtype=np.int32) for b in pdf["x"]]
-        cast = list_votes(to_lists(mined.value), len(x), np.repeat(np.arange(len(x)), [len(r) for r in x]), np.concatenate(x))
         out = []
         for q in QUESTIONS:
-            own = [a + b for a, b in zip(pdf["shape"], cast[q])] if q == "low" else cast[q]
-            w = fit(x, np.array([belief[q].get(v + h, 0.5) for v, h in zip(own, pdf[q])]))
+            w = fit([np.frombuffer(b, dtype=np.int32) for b in pdf[f"{q}_x"]], pdf[f"{q}_y"].to_numpy())
             live = np.flatnonzero(w)
-            out.append(pd.DataFrame({"question": q, "feature": live, "weight": w[live]}))
+            out.append(pd.DataFrame({"question": q, "feature": chosen_of.value[q][live], "weight": w[live]}))
         return pd.concat(out)
 
-    learnt = fitted_on.groupBy("one").applyInPandas(learn, "question string, feature int, weight double").collect()  # at most a row for each feature
+    less = over_batches(fitted_on, lessened, f"id {kind}, place bigint, low_y double, toxic_y double, low_x binary, toxic_x binary").withColumn("one", F.lit(0))
+    learnt = less.groupBy("one").applyInPandas(learn, "question string, feature bigint, weight double").collect()  # at most a row for each feature
     weights = {}
     for q in QUESTIONS:
         if of := [r for r in learnt if r.question == q]:
@@ -343,7 +403,7 @@ def score(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: s
         return {"id": batch.column(0).to_pylist(), "quality": 1 - p["low"], "toxic": p["toxic"], "keep": (p["low"] < 0.5) & (p["toxic"] < 0.5)}
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return over_batches(rows, one, f"id {dict(rows.dtypes)['id']}, quality double, toxic double, keep boolean")
+    return over_batches(rows, one, f"id {dict(rows.dtypes)['id']}, quality double, toxic double, keep boolean", PIECE)
 
 
 def filter_documents(docs: DataFrame, weights: Weights, text_col: str = "text") -> DataFrame:
@@ -351,19 +411,13 @@ def filter_documents(docs: DataFrame, weights: Weights, text_col: str = "text")
     included; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("boolean")
-    def stays(texts: pd.Series) -> pd.Series:
-        data = as_bytes(pa.array(texts, pa.string()))
-        out, at = [], 0
-        while at < len(data):
-            end, size = at, 0
-            while end < len(data) and (size == 0 or size + len(data[end]) <= CHUNK_BYTES):
-                size += len(data[end]) + 1
-                end += 1
-            s = log_odds(shared.value, data[at:end])
+    @F.arrow_udf("boolean")
+    def stays(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0, dtype=bool)]
+        for part in by_bytes(pa.RecordBatch.from_arrays([texts], names=["text"]), PIECE):
+            s = log_odds(shared.value, as_bytes(part.column(0)))
             out.append(np.all([x < 0 for x in s.values()], axis=0))
-            at = end
-        return pd.Series(np.concatenate(out) if out else [], dtype=bool)
+        return pa.array(np.concatenate(out))
 
     return docs.where(stays(F.col(text_col).cast("string")))
 

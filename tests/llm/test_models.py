@@ -1,7 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
 
 from evidentia.llm import decontamination as D
 from evidentia.llm import html_extraction as H
@@ -89,6 +92,50 @@ def test_classifier_edges(make, spark):
     assert Q.filter_documents(rows, Q.train(rows, nulls)).count() >= 2
 
 
+def test_no_task_gets_the_features_of_the_sample(make, spark, monkeypatch):
+    docs, labels, _ = labelled(random.Random(7), 400)
+    given, grouped = [], PandasGroupedOpsMixin.applyInPandas
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", lambda self, f, schema: given.append(self._df) or grouped(self, f, schema))
+    assert set(Q.train(make(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))) == set(Q.QUESTIONS)
+    whole = 4 * sum(len(x) for x in Q.distinct(Q.parse([t.encode() for _, t in docs]), len(docs)))
+    for df in given:
+        size = sum((F.length(c) for c, kind in df.dtypes if kind == "binary"), F.lit(0))
+        assert df.agg(F.sum(size)).first()[0] < whole / 4
+
+
+def test_scorer_holds_what_its_rows_have():
+    rng = np.random.default_rng(1)
+    rows = [np.sort(rng.choice(50, 8, replace=False)).astype(np.int32) for _ in range(300)]
+    tracemalloc.start()
+    w = Q.fit(rows, np.array([float(7 in x) for x in rows]), steps=1200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert w[7] > 1
+    assert peak < 2 << 20
+
+
+def test_sums_and_choice_of_features_by_brute_force(make, spark):
+    rng = np.random.default_rng(2)
+    last = Q.FEATURES - 1
+    x = [np.append(np.sort(rng.choice(40, rng.integers(0, 12), replace=False)), last).astype(np.int32) for _ in range(150)]
+    y = [float(5 in r) if i % 3 else float("nan") for i, r in enumerate(x)]
+    frame = spark.createDataFrame([(v, bytearray(r.tobytes())) for v, r in zip(y, x)], "y double, x binary").repartition(5)
+
+    def answers(batch, _):
+        told = batch.column("y").to_numpy()
+        return {"low": told, "toxic": 1 - told / 4}
+
+    got = {(r.question, r.feature): (r.n, r.yes) for r in Q.summed(frame, answers).collect()}
+    some = [(v, set(r.tolist())) for v, r in zip(y, x) if v == v]
+    for q, f in (("low", lambda v: v), ("toxic", lambda v: 1 - v / 4)):
+        for k in (*range(40), last):
+            own = [f(v) for v, r in some if k in r]
+            assert got.get((q, k), (0, 0)) == (len(own), sum(own) * Q.PARTS)
+    chosen = Q.chosen_features(frame, answers, seen=4)
+    assert chosen["low"].tolist() == [5, last]
+    assert [r.tolist() for r in Q.among(chosen["low"], x)] == [[0, 1] if 5 in r else [1] for r in x]
+
+
 def test_posteriors_follow_the_human_vote():
     p = Q.posteriors([("1-1", 40), ("0-0", 400), ("1--", 30), ("0--", 500), ("-1-", 5)])
     assert p["1--"] > 0.8
